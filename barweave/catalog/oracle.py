@@ -74,7 +74,7 @@ cte(
 _register_bars("", "trades", "bars")
 _register_bars("mkt_", "mkt_trades", "mkt")
 _register_bars("brand_", "brand_trades", "brand_bars")
-cte("ticks", (), "SELECT event_type AS symbol, ts, 100.0e0 + value AS adj_close FROM events")
+cte("ticks", (), "SELECT event_type AS symbol, ts, 100.0e0 + value / 7 AS adj_close FROM events")
 
 cte(
     "dirty",

@@ -199,6 +199,9 @@ def _(spark, sf):
     return M.comprehensive_metrics(port_rets(spark, sf), ("portfolio_id",), benchmark=bench(spark, sf))
 
 
-@query("brand_metrics", with_ctes(["brand_met"], f"SELECT symbol, {', '.join([*PERF, *MORE])} FROM brand_met") if cte("brand_met", ("brand_ret",), metrics_sql("brand_ret", "symbol")) is None else None)
+cte("brand_met", ("brand_ret",), metrics_sql("brand_ret", "symbol"))
+
+
+@query("brand_metrics", with_ctes(["brand_met"], f"SELECT symbol, {', '.join([*PERF, *MORE])} FROM brand_met"))
 def _(spark, sf):
     return M.comprehensive_metrics(simple_returns(D.brand_bars(spark, sf)))

@@ -21,7 +21,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c, digits) + F.lit(0.0)
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType)):
+        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("long")
@@ -31,13 +31,13 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def query(key: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def query(key: str, oracle: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finish(fn(spark, sf_dir))
+            return finish(fn(spark, sf_dir), digits)
 
         run.__name__ = key
         run.__doc__ = fn.__doc__

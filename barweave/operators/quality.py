@@ -70,10 +70,12 @@ def fill_forward_backward(
     if calendar_bounded(bars, order):
         o = Window.partitionBy(*key).orderBy(order)
         past = o.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        future = o.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        # what the forward fill leaves NULL precedes the first value of the key, so the backward
+        # fill is that one value; a frame "current row to the end" would cost rows squared
+        whole = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return bars.withColumns(
             {
-                c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(future))
+                c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(whole))
                 for c in cols
             }
         )

@@ -92,7 +92,7 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values as an unbounded tick series per event type."""
     return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("symbol"), "ts", (F.lit(100.0) + F.col("value")).alias("adj_close")
+        F.col("event_type").alias("symbol"), "ts", (F.lit(100.0) + F.col("value") / 7).alias("adj_close")
     )
 
 
