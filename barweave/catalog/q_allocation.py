@@ -1 +1,371 @@
-"""Registered queries."""
+"""Weights per walk-forward window, candidate grids and moments."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barweave.catalog.oracle import cte, d, r, with_ctes
+from barweave.catalog.q_metrics import port_rets, portfolios
+from barweave.catalog.q_returns import REGIONS, panel, panel_rets
+from barweave.catalog.registry import query
+from barweave.operators import allocation as A
+from barweave.operators import covariance as C
+from barweave.operators import metrics as M
+from barweave.plans import walkforward as B
+from barweave.session import settle
+from barweave.sources import derived as D
+
+N = 5
+CAP = 0.3
+KEY = ("window_id",)
+
+# ---- windows --------------------------------------------------------------------------------
+
+cte("pcal", ("panel",), "SELECT DISTINCT dt FROM panel")
+cte(
+    "win",
+    ("pcal",),
+    """SELECT 0 AS n, s.m0 AS st, (SELECT MAX(c.dt) FROM pcal c WHERE c.dt <= s.m0 + 252) AS te, (SELECT MAX(c.dt) FROM pcal c WHERE c.dt <= s.m0 + 315) AS xe
+   FROM (SELECT MIN(dt) m0, MAX(dt) m1 FROM pcal) s WHERE s.m0 + 315 <= s.m1
+   UNION ALL
+   SELECT n + 1, xe + 1, (SELECT MAX(c.dt) FROM pcal c WHERE c.dt <= win.xe + 253), (SELECT MAX(c.dt) FROM pcal c WHERE c.dt <= win.xe + 316)
+   FROM win WHERE win.xe + 316 <= (SELECT MAX(dt) FROM pcal)""",
+)
+cte("wrows", ("panel", "win"), "SELECT CAST(n AS BIGINT) AS window_id, symbol, dt, price, CASE WHEN dt <= te THEN 'train' ELSE 'test' END AS role FROM panel JOIN win ON dt BETWEEN st AND xe")
+cte("wret", ("wrows",), """SELECT * FROM (SELECT window_id, role, symbol, dt, price / LAG(price) OVER (PARTITION BY window_id, role, symbol ORDER BY dt) - 1 AS ret FROM wrows)
+  WHERE ret IS NOT NULL""")
+cte("train", ("wret",), "SELECT * FROM wret WHERE role = 'train'")
+cte("test", ("wret",), "SELECT * FROM wret WHERE role = 'test'")
+
+
+def windows(spark, sf):
+    return B.walk_forward_windows(panel(spark, sf).select("dt"))
+
+
+def segments(spark, sf):
+    rows = settle(panel(spark, sf))
+    return B.segment_returns(B.split_rows(rows, B.walk_forward_windows(rows.select("dt"))))
+
+
+def split(spark, sf):
+    """Train and test returns of every window, written once."""
+    seg = settle(segments(spark, sf).select("window_id", "role", "symbol", "dt", "ret"))
+    return seg.filter("role = 'train'").drop("role"), seg.filter("role = 'test'").drop("role")
+
+
+def moments(train):
+    return M.mean_returns(train, ("window_id", "symbol")), C.cov_sample(train, group=KEY)
+
+
+# ---- the same moments and candidates in SQL -------------------------------------------------
+
+_s = [f"'{x}'" for x in REGIONS]
+cte("wmu", ("train",), "SELECT window_id, symbol, AVG(ret) * 252 AS mu FROM train GROUP BY window_id, symbol")
+cte(
+    "wcov",
+    ("train",),
+    """SELECT a.window_id, a.symbol AS i, b.symbol AS j, COVAR_SAMP(a.ret, b.ret) * 252 AS cov FROM train a JOIN train b
+    ON a.window_id = b.window_id AND a.dt = b.dt GROUP BY a.window_id, a.symbol, b.symbol""",
+)
+_mu = ", ".join(f"MAX(CASE WHEN symbol = {s} THEN mu END) AS m{k}" for k, s in enumerate(_s))
+_cov = ", ".join(f"MAX(CASE WHEN i = {a} AND j = {b} THEN cov END) AS c{x}{y}" for x, a in enumerate(_s) for y, b in enumerate(_s))
+cte("prob", ("wmu", "wcov"), f"SELECT * FROM (SELECT window_id, {_mu} FROM wmu GROUP BY window_id) JOIN (SELECT window_id, {_cov} FROM wcov GROUP BY window_id) USING (window_id)")
+_imp = ", ".join("2.5e0 * 0.2e0 * (" + " + ".join(f"c{x}{y}" for y in range(N)) + f") AS m{x}" for x in range(N))
+_imp2 = _imp.replace("2.5e0", "2.0e0")
+_call = ", ".join(f"c{x}{y}" for x in range(N) for y in range(N))
+cte("prob_bl", ("prob",), f"SELECT window_id, {_imp}, {_call} FROM prob")
+cte(
+    "grid",
+    (),
+    """SELECT a / 10e0 AS w0, b / 10e0 AS w1, c / 10e0 AS w2, e / 10e0 AS w3, (10 - a - b - c - e) / 10e0 AS w4
+    FROM range(11) t0(a), range(11) t1(b), range(11) t2(c), range(11) t3(e) WHERE a + b + c + e <= 10""",
+)
+WS = ", ".join(f"w{k}" for k in range(N))
+RET = " + ".join(f"w{k} * m{k}" for k in range(N))
+VAR = " + ".join(f"w{x} * w{y} * c{x}{y}" for x in range(N) for y in range(N))
+cte("cand", ("prob", "grid"), f"SELECT window_id, {WS}, {RET} AS ret, {VAR} AS var FROM prob, grid")
+cte("cand_bl", ("prob_bl", "grid"), f"SELECT window_id, {WS}, {RET} AS ret, {VAR} AS var FROM prob_bl, grid")
+DESC = ", ".join(f"w{k} DESC" for k in range(N))
+
+
+def capped(cap: float) -> str:
+    return f"GREATEST({WS}) <= {cap} + 1e-9"
+
+
+UNPIVOT = "UNION ALL".join(f" SELECT window_id, {s} AS symbol, w{k} AS w FROM {{src}} " for k, s in enumerate(_s))
+
+
+def best_ctes(name: str, source: str, where: str, score: str) -> None:
+    """Grid winner per window in long form; windows without a candidate get equal weights."""
+    cte(f"{name}_b", (source,), f"SELECT * FROM {source} WHERE {where} QUALIFY ROW_NUMBER() OVER (PARTITION BY window_id ORDER BY ROUND({score}, 12) DESC, {DESC}) = 1")
+    cte(
+        name,
+        (f"{name}_b", "wmu"),
+        f"""SELECT m.window_id, m.symbol, COALESCE(b.w, 0.2e0) AS w, CASE WHEN b.w IS NULL THEN 'infeasible' ELSE 'optimal' END AS status
+        FROM wmu m LEFT JOIN ({UNPIVOT.format(src=f'{name}_b')}) b ON m.window_id = b.window_id AND m.symbol = b.symbol""",
+    )
+
+
+ENT = " + ".join(f"(w{k} + 1e-8) * LN(w{k} + 1e-8)" for k in range(N))
+L1 = " + ".join(f"ABS(w{k} - 0.2e0)" for k in range(N))
+L2 = " + ".join(f"(w{k} - 0.2e0) * (w{k} - 0.2e0)" for k in range(N))
+best_ctes("mv", "cand", "TRUE", "ret - 0.5e0 * var")
+best_ctes("mv_cap", "cand", capped(CAP), "ret - 0.5e0 * var")
+best_ctes("mv_cap18", "cand", capped(0.18), "ret - 0.5e0 * var")
+best_ctes("mv_ent", "cand", capped(CAP), f"ret - 0.5e0 * var - 0.05e0 * ({ENT})")
+best_ctes("mv_to", "cand", f"{capped(CAP)} AND {L1} <= 0.3e0 + 1e-9", f"ret - 0.5e0 * var - 0.1e0 * ({L2})")
+best_ctes("mv_target", "cand", "ret >= 0.02e0 - 1e-9", "-var")
+best_ctes("bl", "cand_bl", capped(CAP), "ret - 0.5e0 * var")
+# least CVaR: losses of every candidate over the training days of its window
+_rd = ", ".join(f"MAX(CASE WHEN symbol = {s} THEN ret END) AS r{k}" for k, s in enumerate(_s))
+cte("scen", ("train",), f"SELECT window_id, dt, {_rd} FROM train GROUP BY window_id, dt")
+_loss = " + ".join(f"w{k} * r{k}" for k in range(N))
+
+
+def cvar_ctes(name: str, level: float) -> None:
+    cte(
+        f"cand_{name}",
+        ("scen", "grid"),
+        f"""SELECT window_id, {WS}, t + SUM(GREATEST(loss - t, 0)) / ((1 - {level}e0) * COUNT(*)) AS cvar FROM
+        (SELECT *, QUANTILE_DISC(loss, {level}) OVER (PARTITION BY window_id, {WS}) AS t FROM (SELECT window_id, {WS}, -({_loss}) AS loss FROM scen, grid WHERE {capped(CAP)}))
+        GROUP BY window_id, {WS}, t""",
+    )
+    best_ctes(name, f"cand_{name}", "TRUE", "-cvar")
+
+
+cvar_ctes("cvar", 0.9)
+cvar_ctes("cvar95", 0.95)
+cte("invvol_raw", ("train",), "SELECT window_id, symbol, inv / SUM(inv) OVER (PARTITION BY window_id) AS w FROM (SELECT window_id, symbol, 1 / (STDDEV_SAMP(ret) * SQRT(252e0) + 1e-8) AS inv FROM train GROUP BY window_id, symbol)")
+
+
+def _cap_once(src: str, cap: float) -> str:
+    return f"SELECT window_id, symbol, LEAST(w, {cap}) / SUM(LEAST(w, {cap})) OVER (PARTITION BY window_id) AS w FROM {src}"
+
+
+cte("invvol", ("invvol_raw",), _cap_once("invvol_raw", 0.2))
+cte("equal", ("wmu",), "SELECT window_id, symbol, 0.2e0 AS w FROM wmu")
+# signals: half of the last training return; ASIA has none, window 0 has equal ones
+cte(
+    "signals",
+    ("train",),
+    "SELECT window_id, symbol, CASE WHEN window_id = 0 THEN 0.001e0 ELSE 0.5e0 * ret END AS signal FROM train WHERE symbol <> 'ASIA' OR window_id = 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY window_id, symbol ORDER BY dt DESC) = 1",
+)
+cte(
+    "zs",
+    ("signals", "wmu"),
+    """SELECT window_id, symbol, CASE WHEN ROUND(sd, 15) > 0 THEN GREATEST(-2e0, LEAST(2e0, (s - m) / sd)) ELSE 0e0 END AS z FROM
+    (SELECT window_id, symbol, s, AVG(s) OVER (PARTITION BY window_id) AS m, STDDEV_POP(s) OVER (PARTITION BY window_id) AS sd FROM
+    (SELECT w.window_id, w.symbol, COALESCE(g.signal, 0e0) AS s FROM wmu w LEFT JOIN signals g ON w.window_id = g.window_id AND w.symbol = g.symbol))""",
+)
+cte(
+    "tilt_raw",
+    ("zs", "mv_cap"),
+    """SELECT window_id, symbol, CASE WHEN g < 0.1e0 THEN w ELSE w * EXP(0.2e0 * LEAST(1e0, g) * z) END AS w FROM
+    (SELECT m.window_id, m.symbol, m.w, z, AVG(ABS(z)) OVER (PARTITION BY m.window_id) AS g FROM mv_cap m JOIN zs ON m.window_id = zs.window_id AND m.symbol = zs.symbol)""",
+)
+cte("tilt_norm", ("tilt_raw",), "SELECT window_id, symbol, w / SUM(w) OVER (PARTITION BY window_id) AS w FROM tilt_raw")
+cte("tilt", ("tilt_norm",), _cap_once("tilt_norm", CAP))
+
+
+def signals(train):
+    from barweave.operators.returns import latest_row
+
+    last = latest_row(train.filter("symbol <> 'ASIA' or window_id = 0"), ("window_id", "symbol"))
+    return last.select("window_id", "symbol", F.when(F.col("window_id") == 0, 0.001).otherwise(0.5 * F.col("ret")).alias("signal"))
+
+
+def tilted(train, base, cap=CAP):
+    z = A.signal_zscore(signals(train), base.select("window_id", "symbol"), KEY)
+    return A.tilt_weights(base, z, KEY, cap=cap)
+
+
+# ---- queries --------------------------------------------------------------------------------
+
+
+def weights_query(key: str, name: str, fn, status: bool = True) -> None:
+    cols = ", status" if status else ""
+
+    @query(key, with_ctes([name], f"SELECT window_id, symbol, {r('w')}{cols} FROM {name}"))
+    def _(spark, sf):
+        return fn(split(spark, sf)[0])
+
+
+def _problems(train):
+    return A.problems(*moments(train), KEY)
+
+
+def _bl(train, delta=2.5):
+    cov = C.cov_sample(train, group=KEY)
+    return A.problems(A.implied_returns(cov, KEY, delta), cov, KEY)
+
+
+def with_even_prev(rows):
+    return rows.withColumn("prev", F.transform("symbols", lambda s: F.lit(1.0) / F.size("symbols")))
+
+
+weights_query("equal_weight", "equal", lambda t: A.equal_weight(t, KEY), status=False)
+weights_query("inverse_vol_weights", "invvol", lambda t: A.inverse_vol_weights(t, KEY, cap=0.2), status=False)
+weights_query("mv_best", "mv", lambda t: A.mv_best(_problems(t), KEY, N))
+weights_query("mv_best_capped", "mv_cap", lambda t: A.mv_best(_problems(t), KEY, N, cap=CAP))
+weights_query("mv_best_entropy", "mv_ent", lambda t: A.mv_best(_problems(t), KEY, N, cap=CAP, entropy=0.05))
+weights_query(
+    "mv_best_turnover_limited", "mv_to",
+    lambda t: A.mv_best(with_even_prev(_problems(t)), KEY, N, cap=CAP, turnover_penalty=0.1, max_turnover=0.3),
+)
+weights_query("mv_best_target_return", "mv_target", lambda t: A.mv_best(_problems(t), KEY, N, target=0.02))
+weights_query("infeasible_fallback", "mv_cap18", lambda t: A.mv_best(_problems(t), KEY, N, cap=0.18))
+weights_query("black_litterman_best", "bl", lambda t: A.mv_best(_bl(t), KEY, N, cap=CAP))
+weights_query("min_cvar", "cvar", lambda t: A.min_cvar(A.scenarios(t, KEY), KEY, N, confidence=0.9, cap=CAP))
+weights_query("ml_tilt_weights", "tilt", lambda t: tilted(t, A.mv_best(_problems(t), KEY, N, cap=CAP)), status=False)
+
+
+@query("ml_signal_zscore", with_ctes(["zs"], f"SELECT window_id, symbol, {r('z')} FROM zs"))
+def _(spark, sf):
+    train, _ = split(spark, sf)
+    return A.signal_zscore(signals(train), train.select("window_id", "symbol").distinct(), KEY)
+
+
+@query(
+    "bl_implied_returns",
+    with_ctes(["prob_bl"], " UNION ALL ".join(f"SELECT window_id, {s} AS symbol, {r(f'm{k}', 'mu')} FROM prob_bl" for k, s in enumerate(_s))),
+)
+def _(spark, sf):
+    train, _ = split(spark, sf)
+    return A.implied_returns(C.cov_sample(train, group=KEY), KEY)
+
+
+@query(
+    "candidate_grid",
+    with_ctes(["cand"], f"SELECT window_id, {', '.join(r(f'w{k}') for k in range(N))}, {r('ret')}, {r('SQRT(GREATEST(var, 0))', 'vol')} FROM cand"),
+)
+def _(spark, sf):
+    train, _ = split(spark, sf)
+    c = A.with_moments(A.candidate_grid(_problems(train), KEY, N), N)
+    return c.select("window_id", *[F.col("w")[k].alias(f"w{k}") for k in range(N)], "ret", "vol")
+
+
+@query(
+    "efficient_frontier",
+    with_ctes(
+        ["cand", "prob"],
+        f"""SELECT window_id, point, {r('target')}, {r('ret')}, {r('vol')}, {r('CASE WHEN vol > 0 THEN (ret - 0.02e0) / vol ELSE 0e0 END', 'sharpe')}, {', '.join(r(f'w{k}') for k in range(N))} FROM
+        (SELECT window_id, CAST(k AS BIGINT) AS point, lo + k * gap AS target, ret, var, SQRT(GREATEST(var, 0)) AS vol, {WS} FROM cand JOIN
+          (SELECT window_id AS wid, lo, (hi - lo) / 9 AS gap, UNNEST(range(10)) AS k FROM
+            (SELECT window_id, LEAST(m0, m1, m2, m3, m4) AS lo, GREATEST(m0, m1, m2, m3, m4) AS hi FROM prob)) ON wid = window_id AND ret - lo + 1e-9 >= k * gap
+         QUALIFY ROW_NUMBER() OVER (PARTITION BY window_id, k ORDER BY ROUND(-var, 14) DESC, {DESC}) = 1)""",
+    ),
+)
+def _(spark, sf):
+    train, _ = split(spark, sf)
+    f = A.efficient_frontier(_problems(train), KEY, N)
+    return f.select("window_id", "point", "target", "ret", "vol", "sharpe", *[F.col("w")[k].alias(f"w{k}") for k in range(N)])
+
+
+@query(
+    "cvar_of_portfolio",
+    with_ctes(
+        ["port_ret"],
+        f"""SELECT portfolio_id, {r('t', 'var')}, {r('t + SUM(GREATEST(-ret - t, 0)) / ((1 - 0.9e0) * COUNT(*))', 'cvar')} FROM
+        (SELECT *, QUANTILE_DISC(-ret, 0.9) OVER (PARTITION BY portfolio_id) AS t FROM port_ret) GROUP BY portfolio_id, t""",
+    ),
+)
+def _(spark, sf):
+    return A.cvar_of_portfolio(port_rets(spark, sf), confidence=0.9)
+
+
+@query("effective_holdings", with_ctes(["mv_ent"], f"SELECT window_id, {r('EXP(-SUM(CASE WHEN w > 0 THEN w * LN(w + 1e-12) END))', 'enh')} FROM mv_ent GROUP BY window_id"))
+def _(spark, sf):
+    return A.effective_holdings(A.mv_best(_problems(split(spark, sf)[0]), KEY, N, cap=CAP, entropy=0.05), KEY)
+
+
+@query(
+    "top_holdings",
+    with_ctes(["invvol_raw"], f"SELECT window_id, symbol, {r('w')}, ROW_NUMBER() OVER (PARTITION BY window_id ORDER BY ROUND(w, 9) DESC, symbol) AS place FROM invvol_raw QUALIFY place <= 3"),
+)
+def _(spark, sf):
+    return A.top_holdings(A.inverse_vol_weights(split(spark, sf)[0], KEY), KEY, n=3)
+
+
+_ALL = "(SELECT portfolio_id, r_name AS symbol FROM (SELECT DISTINCT portfolio_id FROM ports), region)"
+
+
+def full_universe(spark, sf):
+    ports = portfolios(spark, sf)
+    names = D.table(spark, sf, "region").agg(F.sort_array(F.collect_set("r_name")).alias("_s"))
+    ids = ports.select("portfolio_id").distinct()
+    return ids.select("portfolio_id", F.explode(names.scalar()).alias("symbol"))
+
+
+@query(
+    "align_weights",
+    with_ctes(["ports"], f"SELECT portfolio_id, symbol, {r('COALESCE(w, 0) / SUM(w) OVER (PARTITION BY portfolio_id)', 'w')} FROM {_ALL} LEFT JOIN ports USING (portfolio_id, symbol)"),
+)
+def _(spark, sf):
+    return A.align_weights(portfolios(spark, sf), full_universe(spark, sf))
+
+
+@query(
+    "validate_weights",
+    with_ctes(
+        ["ports"],
+        """SELECT portfolio_id, COUNT(*) = 5 AS same_symbols, ROUND(SUM(w), 6) + 0.0 AS total, COUNT(*) = 5 AND ABS(SUM(w) - 1) <= 0.01 AS is_valid FROM ports GROUP BY portfolio_id""",
+    ),
+)
+def _(spark, sf):
+    return A.validate_weights(portfolios(spark, sf), full_universe(spark, sf))
+
+
+@query(
+    "param_grid",
+    with_ctes(["win"], "SELECT CAST(n AS BIGINT) AS window_id, risk_model, cap, entropy FROM win, (VALUES ('sample'), ('ledoit_wolf'), ('oas')) a(risk_model), (VALUES (0.2e0), (0.25e0), (0.3e0)) b(cap), (VALUES (0e0), (0.01e0), (0.05e0), (0.1e0)) c(entropy)"),
+)
+def _(spark, sf):
+    return A.expand_grid(
+        windows(spark, sf).select("window_id"), risk_model=["sample", "ledoit_wolf", "oas"], cap=[0.2, 0.25, 0.3], entropy=[0.0, 0.01, 0.05, 0.1]
+    )
+
+
+# portfolios of the whole history compared by method
+@query(
+    "method_comparison",
+    with_ctes(
+        ["met_p", "ports"],
+        f"""SELECT portfolio_id, {r('ar', 'annual_return')}, {r('av', 'annual_volatility')}, {r('sharpe', 'sharpe_ratio')}, {r('mdd', 'max_drawdown')}, {r('wins', 'win_rate')},
+        top_holding, {r('top_weight')} FROM met_p JOIN (SELECT portfolio_id, symbol AS top_holding, w AS top_weight FROM ports
+          QUALIFY ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY w DESC, symbol) = 1) USING (portfolio_id)""",
+    ),
+)
+def _(spark, sf):
+    ports = portfolios(spark, sf)
+    top = A.top_holdings(ports, ("portfolio_id",), n=1).select("portfolio_id", F.col("symbol").alias("top_holding"), F.col("w").alias("top_weight"))
+    m = M.performance_metrics(port_rets(spark, sf), ("portfolio_id",))
+    return m.select("portfolio_id", "annual_return", "annual_volatility", "sharpe_ratio", "max_drawdown", "win_rate").join(top, "portfolio_id")
+
+
+@query(
+    "method_ranking",
+    with_ctes(
+        ["met_p"],
+        """SELECT portfolio_id, RANK() OVER (ORDER BY ROUND(sharpe, 9) DESC) AS by_sharpe, RANK() OVER (ORDER BY ROUND(mdd, 9) DESC) AS by_drawdown FROM met_p""",
+    ),
+)
+def _(spark, sf):
+    return M.method_ranking(M.performance_metrics(port_rets(spark, sf), ("portfolio_id",)), "portfolio_id")
+
+
+_board = "GREATEST(" + WS + ") <= 0.5e0 + 1e-9"
+_sh = "(ret - 0.02e0) / GREATEST(SQRT(GREATEST(var, 0)), 1e-8)"
+
+
+@query(
+    "grid_leaderboard",
+    with_ctes(
+        ["cand"],
+        f"""SELECT window_id, {', '.join(r(f'w{k}') for k in range(N))}, {r('ret')}, {r(_sh, 'sharpe')} FROM cand WHERE {_board}
+        ORDER BY ROUND({_sh}, 9) DESC, ROUND(ret, 9) DESC, window_id, {DESC} LIMIT 12""",
+    ),
+)
+def _(spark, sf):
+    train, _ = split(spark, sf)
+    c = A.with_moments(A.candidate_grid(_problems(train), KEY, N), N)
+    return A.leaderboard(c, cap=0.5, assets=N).select("window_id", *[F.col("w")[k].alias(f"w{k}") for k in range(N)], "ret", "sharpe")

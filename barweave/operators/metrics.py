@@ -216,3 +216,12 @@ def regression_scores(predictions: DataFrame, key: Sequence[str] = ("symbol",),
         F.avg(F.abs(err)).alias("mae"),
         F.avg(hit.cast("double")).alias("directional_accuracy"),
     )
+
+
+def method_ranking(metrics: DataFrame, key: str = "method") -> DataFrame:
+    """Places by Sharpe ratio and by drawdown; one row per method, so the methods share a task."""
+    m = metrics.select(key, F.round("sharpe_ratio", 9).alias("_s"), F.round("max_drawdown", 9).alias("_d")).withColumn("_one", F.lit(1))
+    one = Window.partitionBy("_one")
+    return m.select(
+        key, F.rank().over(one.orderBy(F.desc("_s"))).alias("by_sharpe"), F.rank().over(one.orderBy(F.desc("_d"))).alias("by_drawdown")
+    )
