@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barweave.catalog.oracle import cte, d, r, with_ctes
+from barweave.catalog.oracle_grid import (
+    DESC, ENT, L1, L2, N, NAMES, WS, best_ctes, candidate_ctes, cap_once, capped, cvar_ctes, inverse_vol_cte, mu_cte, sample_cov_cte,
+)
 from barweave.catalog.q_metrics import port_rets, portfolios
-from barweave.catalog.q_returns import REGIONS, panel, panel_rets
+from barweave.catalog.q_returns import panel
 from barweave.catalog.registry import query
 from barweave.operators import allocation as A
 from barweave.operators import covariance as C
@@ -15,7 +18,6 @@ from barweave.plans import walkforward as B
 from barweave.session import settle
 from barweave.sources import derived as D
 
-N = 5
 CAP = 0.3
 KEY = ("window_id",)
 
@@ -59,56 +61,9 @@ def moments(train):
 
 # ---- the same moments and candidates in SQL -------------------------------------------------
 
-_s = [f"'{x}'" for x in REGIONS]
-cte("wmu", ("train",), "SELECT window_id, symbol, AVG(ret) * 252 AS mu FROM train GROUP BY window_id, symbol")
-cte(
-    "wcov",
-    ("train",),
-    """SELECT a.window_id, a.symbol AS i, b.symbol AS j, COVAR_SAMP(a.ret, b.ret) * 252 AS cov FROM train a JOIN train b
-    ON a.window_id = b.window_id AND a.dt = b.dt GROUP BY a.window_id, a.symbol, b.symbol""",
-)
-_mu = ", ".join(f"MAX(CASE WHEN symbol = {s} THEN mu END) AS m{k}" for k, s in enumerate(_s))
-_cov = ", ".join(f"MAX(CASE WHEN i = {a} AND j = {b} THEN cov END) AS c{x}{y}" for x, a in enumerate(_s) for y, b in enumerate(_s))
-cte("prob", ("wmu", "wcov"), f"SELECT * FROM (SELECT window_id, {_mu} FROM wmu GROUP BY window_id) JOIN (SELECT window_id, {_cov} FROM wcov GROUP BY window_id) USING (window_id)")
-_imp = ", ".join("2.5e0 * 0.2e0 * (" + " + ".join(f"c{x}{y}" for y in range(N)) + f") AS m{x}" for x in range(N))
-_imp2 = _imp.replace("2.5e0", "2.0e0")
-_call = ", ".join(f"c{x}{y}" for x in range(N) for y in range(N))
-cte("prob_bl", ("prob",), f"SELECT window_id, {_imp}, {_call} FROM prob")
-cte(
-    "grid",
-    (),
-    """SELECT a / 10e0 AS w0, b / 10e0 AS w1, c / 10e0 AS w2, e / 10e0 AS w3, (10 - a - b - c - e) / 10e0 AS w4
-    FROM range(11) t0(a), range(11) t1(b), range(11) t2(c), range(11) t3(e) WHERE a + b + c + e <= 10""",
-)
-WS = ", ".join(f"w{k}" for k in range(N))
-RET = " + ".join(f"w{k} * m{k}" for k in range(N))
-VAR = " + ".join(f"w{x} * w{y} * c{x}{y}" for x in range(N) for y in range(N))
-cte("cand", ("prob", "grid"), f"SELECT window_id, {WS}, {RET} AS ret, {VAR} AS var FROM prob, grid")
-cte("cand_bl", ("prob_bl", "grid"), f"SELECT window_id, {WS}, {RET} AS ret, {VAR} AS var FROM prob_bl, grid")
-DESC = ", ".join(f"w{k} DESC" for k in range(N))
-
-
-def capped(cap: float) -> str:
-    return f"GREATEST({WS}) <= {cap} + 1e-9"
-
-
-UNPIVOT = "UNION ALL".join(f" SELECT window_id, {s} AS symbol, w{k} AS w FROM {{src}} " for k, s in enumerate(_s))
-
-
-def best_ctes(name: str, source: str, where: str, score: str) -> None:
-    """Grid winner per window in long form; windows without a candidate get equal weights."""
-    cte(f"{name}_b", (source,), f"SELECT * FROM {source} WHERE {where} QUALIFY ROW_NUMBER() OVER (PARTITION BY window_id ORDER BY ROUND({score}, 12) DESC, {DESC}) = 1")
-    cte(
-        name,
-        (f"{name}_b", "wmu"),
-        f"""SELECT m.window_id, m.symbol, COALESCE(b.w, 0.2e0) AS w, CASE WHEN b.w IS NULL THEN 'infeasible' ELSE 'optimal' END AS status
-        FROM wmu m LEFT JOIN ({UNPIVOT.format(src=f'{name}_b')}) b ON m.window_id = b.window_id AND m.symbol = b.symbol""",
-    )
-
-
-ENT = " + ".join(f"(w{k} + 1e-8) * LN(w{k} + 1e-8)" for k in range(N))
-L1 = " + ".join(f"ABS(w{k} - 0.2e0)" for k in range(N))
-L2 = " + ".join(f"(w{k} - 0.2e0) * (w{k} - 0.2e0)" for k in range(N))
+mu_cte("", "train")
+sample_cov_cte("", "train")
+candidate_ctes("", "wmu")
 best_ctes("mv", "cand", "TRUE", "ret - 0.5e0 * var")
 best_ctes("mv_cap", "cand", capped(CAP), "ret - 0.5e0 * var")
 best_ctes("mv_cap18", "cand", capped(0.18), "ret - 0.5e0 * var")
@@ -116,33 +71,9 @@ best_ctes("mv_ent", "cand", capped(CAP), f"ret - 0.5e0 * var - 0.05e0 * ({ENT})"
 best_ctes("mv_to", "cand", f"{capped(CAP)} AND {L1} <= 0.3e0 + 1e-9", f"ret - 0.5e0 * var - 0.1e0 * ({L2})")
 best_ctes("mv_target", "cand", "ret >= 0.02e0 - 1e-9", "-var")
 best_ctes("bl", "cand_bl", capped(CAP), "ret - 0.5e0 * var")
-# least CVaR: losses of every candidate over the training days of its window
-_rd = ", ".join(f"MAX(CASE WHEN symbol = {s} THEN ret END) AS r{k}" for k, s in enumerate(_s))
-cte("scen", ("train",), f"SELECT window_id, dt, {_rd} FROM train GROUP BY window_id, dt")
-_loss = " + ".join(f"w{k} * r{k}" for k in range(N))
-
-
-def cvar_ctes(name: str, level: float) -> None:
-    cte(
-        f"cand_{name}",
-        ("scen", "grid"),
-        f"""SELECT window_id, {WS}, t + SUM(GREATEST(loss - t, 0)) / ((1 - {level}e0) * COUNT(*)) AS cvar FROM
-        (SELECT *, QUANTILE_DISC(loss, {level}) OVER (PARTITION BY window_id, {WS}) AS t FROM (SELECT window_id, {WS}, -({_loss}) AS loss FROM scen, grid WHERE {capped(CAP)}))
-        GROUP BY window_id, {WS}, t""",
-    )
-    best_ctes(name, f"cand_{name}", "TRUE", "-cvar")
-
-
-cvar_ctes("cvar", 0.9)
-cvar_ctes("cvar95", 0.95)
-cte("invvol_raw", ("train",), "SELECT window_id, symbol, inv / SUM(inv) OVER (PARTITION BY window_id) AS w FROM (SELECT window_id, symbol, 1 / (STDDEV_SAMP(ret) * SQRT(252e0) + 1e-8) AS inv FROM train GROUP BY window_id, symbol)")
-
-
-def _cap_once(src: str, cap: float) -> str:
-    return f"SELECT window_id, symbol, LEAST(w, {cap}) / SUM(LEAST(w, {cap})) OVER (PARTITION BY window_id) AS w FROM {src}"
-
-
-cte("invvol", ("invvol_raw",), _cap_once("invvol_raw", 0.2))
+cvar_ctes("cvar", "train", 0.9, CAP)
+inverse_vol_cte("invvol_raw", "train")
+cte("invvol", ("invvol_raw",), cap_once("invvol_raw", 0.2))
 cte("equal", ("wmu",), "SELECT window_id, symbol, 0.2e0 AS w FROM wmu")
 # signals: half of the last training return; ASIA has none, window 0 has equal ones
 cte(
@@ -164,7 +95,7 @@ cte(
     (SELECT m.window_id, m.symbol, m.w, z, AVG(ABS(z)) OVER (PARTITION BY m.window_id) AS g FROM mv_cap m JOIN zs ON m.window_id = zs.window_id AND m.symbol = zs.symbol)""",
 )
 cte("tilt_norm", ("tilt_raw",), "SELECT window_id, symbol, w / SUM(w) OVER (PARTITION BY window_id) AS w FROM tilt_raw")
-cte("tilt", ("tilt_norm",), _cap_once("tilt_norm", CAP))
+cte("tilt", ("tilt_norm",), cap_once("tilt_norm", CAP))
 
 
 def signals(train):
@@ -227,7 +158,7 @@ def _(spark, sf):
 
 @query(
     "bl_implied_returns",
-    with_ctes(["prob_bl"], " UNION ALL ".join(f"SELECT window_id, {s} AS symbol, {r(f'm{k}', 'mu')} FROM prob_bl" for k, s in enumerate(_s))),
+    with_ctes(["prob_bl"], " UNION ALL ".join(f"SELECT window_id, {s} AS symbol, {r(f'm{k}', 'mu')} FROM prob_bl" for k, s in enumerate(NAMES))),
 )
 def _(spark, sf):
     train, _ = split(spark, sf)

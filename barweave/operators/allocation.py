@@ -245,6 +245,71 @@ def mv_best(rows: DataFrame, key: Sequence[str], assets: int, step: int = 10, ca
     return _with_fallback(rows, best, key, item)
 
 
+def _simplex(assets: int, step: int) -> Column:
+    """The simplex grid as one array of weight arrays."""
+
+    def grow(left: Column, chosen: list[Column], k: int) -> Column:
+        if k == assets - 1:
+            return F.array(F.array(*[u / F.lit(step) for u in [*chosen, left]]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), left), lambda u: grow(left - u, [*chosen, u], k + 1)))
+
+    return grow(F.lit(step), [], 0)
+
+
+def mv_chain(rows: DataFrame, key: Sequence[str], assets: int, step: int = 10, order: str = "window_id", cap: float | None = None,
+             entropy: float = 0.0, max_turnover: float = 0.3, item: str = "symbol") -> DataFrame:
+    """Grid weights window after window, each within ``max_turnover`` (absolute change) of the one before.
+
+    A window needs the choice of the previous one, so the windows of a key are folded inside one
+    row; keys run in parallel. The row holds the moments of the windows of one calendar and the grid.
+    """
+    if assets > GRID_MAX_ASSETS:
+        raise ValueError(f"the grid is for at most {GRID_MAX_ASSETS} assets, got {assets}")
+    key = list(key)
+    own = key or ["_k"]
+    base = rows if key else rows.withColumn("_k", F.lit(0))
+    chain = base.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct(order, "symbols", "mu", "cov"))).alias("_ps"))
+    cap_col = F.lit(cap).cast("double")
+    chain = chain.withColumn("_grid", F.filter(_simplex(assets, step), lambda w: _feasible(w, assets, cap_col, None, None)))
+
+    def choose(state: Column, p: Column) -> Column:
+        prev, held = state["prev"], state["held"]
+
+        def near(w: Column) -> Column:
+            moved = _each(w, assets, lambda x, k: F.abs(x - F.coalesce(F.try_element_at(held, p["symbols"][k]), F.lit(0.0))))
+            return prev.isNull() | (moved <= max_turnover + TOL)
+
+        def scored(w: Column) -> Column:
+            score = _dot(w, p["mu"], assets) - RISK_AVERSION * _quad(w, p["cov"], assets)
+            if entropy > 0:
+                score = score - entropy * _each(w, assets, lambda x, k: (x + ENTROPY_EPS) * F.ln(x + ENTROPY_EPS))
+            return F.struct(F.round(score, 12).alias("score"), w.alias("w"))
+
+        best = F.array_max(F.transform(F.filter("_grid", near), scored))["w"]
+        w = F.coalesce(best, F.array_repeat(F.lit(1.0 / assets), assets))
+        status = F.when(best.isNull(), F.lit("infeasible")).otherwise(F.lit("optimal"))
+        # weights are computed once and carried in an array of one element
+        return F.transform(
+            F.array(F.struct(w.alias("w"), status.alias("status"))),
+            lambda c: F.struct(
+                c["w"].alias("prev"),
+                F.map_from_arrays(p["symbols"], c["w"]).alias("held"),
+                F.array_append(
+                    state["out"], F.struct(p[order].alias(order), p["symbols"].alias("symbols"), c["w"].alias("w"), c["status"].alias("status"))
+                ).alias("out"),
+            ),
+        )[0]
+
+    kinds = {order: rows.schema[order].dataType.simpleString(), "symbols": rows.schema["symbols"].dataType.simpleString()}
+    none = f"CAST(array() AS ARRAY<STRUCT<{order}: {kinds[order]}, symbols: {kinds['symbols']}, w: ARRAY<DOUBLE>, status: STRING>>)"
+    start = F.struct(
+        F.lit(None).cast("array<double>").alias("prev"), F.lit(None).cast("map<string,double>").alias("held"), F.expr(none).alias("out")
+    )
+    done = chain.select(*own, F.explode(F.aggregate("_ps", start, choose, lambda st: st["out"])).alias("_o"))
+    long = done.select(*own, F.col(f"_o.{order}").alias(order), F.explode(F.arrays_zip("_o.symbols", "_o.w")).alias("_z"), F.col("_o.status").alias("status"))
+    return long.select(*key, order, F.col("_z.symbols").alias(item), F.col("_z.w").alias("w"), "status")
+
+
 def _cvar(sorted_losses: Column, confidence: float) -> Column:
     n = F.size(sorted_losses)
     at = F.greatest(F.lit(1), F.ceil(F.round(n * confidence, 9)).cast("int"))

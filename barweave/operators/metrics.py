@@ -185,7 +185,7 @@ def strategy_rankings(metrics: DataFrame, key: str = "strategy") -> DataFrame:
 
 
 def turnover_impact(scores: DataFrame, base: str, other: str, cols: Sequence[str], key: str = "strategy") -> DataFrame:
-    """Value of ``other`` minus value of ``base`` for each column."""
+    """Value of ``other`` minus value of ``base`` for each column, one row."""
     rows = scores.filter(F.col(key).isin(base, other))
     pick = {c: (F.max(F.when(F.col(key) == base, F.col(c))), F.max(F.when(F.col(key) == other, F.col(c)))) for c in cols}
     return rows.agg(*[(o - b).alias(f"delta_{c}") for c, (b, o) in pick.items()])

@@ -148,18 +148,18 @@ def asof_last(
 ) -> DataFrame:
     """For each left row the last right value at or before it.
 
-    Both sides go into one ordered stream per key and calendar month; the value carried into a
-    month is a running last over months. No month of one key holds more than its own rows.
+    The value is looked up once per distinct (key, date) of the left side and joined back by
+    equality, so that many rows of one date do not meet in one window. Dates and values of a key
+    form one stream per calendar month; what a month starts with is a running last over months.
     """
     part = list(key)
-    both = left.select(*part, on, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"),
-                       F.struct(*[c for c in left.columns if c not in (*part, on)] or [F.lit(0).alias("_none")]).alias("_row"))
-    rows = right.select(*part, on, F.col(value).alias("_v"), F.lit(0).alias("_side"),
-                        F.lit(None).cast(both.schema["_row"].dataType).alias("_row"))
-    stream = both.unionByName(rows).withColumn("_month", F.trunc(on, "month"))
-    carried = stream.filter(F.col("_side") == 0).groupBy(*part, "_month").agg(F.max_by("_v", on).alias("_m"))
+    none = F.lit(None).cast(right.schema[value].dataType)
+    asked = left.select(*part, on).distinct().select(*part, on, none.alias("_v"), F.lit(1).alias("_side"))
+    known = right.groupBy(*part, on).agg(F.max(value).alias("_v")).select(*part, on, "_v", F.lit(0).alias("_side"))
+    stream = asked.unionByName(known).withColumn("_month", F.trunc(on, "month"))
     months = (
-        stream.select(*part, "_month").distinct().join(carried, [*part, "_month"], "left")
+        stream.groupBy(*part, "_month")
+        .agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col(on))).alias("_m"))
         .withColumn(
             "_carry",
             F.last("_m", ignorenulls=True).over(
@@ -172,11 +172,11 @@ def asof_last(
     found = (
         stream.withColumn("_here", F.last("_v", ignorenulls=True).over(w))
         .filter(F.col("_side") == 1)
-        .join(months, [*part, "_month"], "left")
+        .join(months, [*part, "_month"])
+        .select(*part, on, F.coalesce("_here", "_carry").alias(value))
     )
-    got = F.coalesce(F.col("_here"), F.col("_carry"), *([F.lit(default)] if default is not None else []))
-    keep = [F.col(f"_row.{c}").alias(c) for c in left.columns if c not in (*part, on)]
-    return found.select(*part, on, *keep, got.alias(value))
+    got = F.coalesce(F.col(value), F.lit(default)) if default is not None else F.col(value)
+    return left.join(found, [*part, on], "left").withColumn(value, got)
 
 
 def portfolio_returns(returns: DataFrame, weights: DataFrame, key: Sequence[str] = ("portfolio_id",), order: str = "dt",

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barweave.session import settle
+
 SLICE_ROWS = 65_536
 
 
@@ -24,31 +26,36 @@ def calendar_bounded(df: DataFrame, order: str) -> bool:
 
 
 def row_index(df: DataFrame, key: Sequence[str], order: str, name: str = "rn") -> DataFrame:
-    """1-based row number per key. Beyond the calendar bound: counts per (key, hour) are summed
-    up first, so that only rows of one hour of one key are sorted together."""
+    """1-based row number per key.
+
+    Beyond the calendar bound the rows are cut into ranges of (key, order), written once with the
+    number of their range, and numbered inside it; the rows of earlier ranges of the key are added
+    from counts. A range holds its share of all rows however few keys or hours they fall into.
+    """
     key = list(key)
     if calendar_bounded(df, order):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(order)).cast("long"))
-    hour = df.withColumn("_hour", F.date_trunc("hour", F.col(order)))
+    # the number of a range depends on sampled bounds, so it is fixed by writing it
+    ranged = settle(df.repartitionByRange(*key, order).withColumn("_range", F.spark_partition_id()))
     before = (
-        hour.groupBy(*key, "_hour")
+        ranged.groupBy(*key, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
             "_before",
             F.coalesce(
                 F.sum("_n").over(
-                    Window.partitionBy(*key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+                    Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ),
         )
         .drop("_n")
     )
-    within = Window.partitionBy(*key, "_hour").orderBy(order)
+    within = Window.partitionBy(*key, "_range").orderBy(order)
     return (
-        hour.join(before, [*key, "_hour"])
+        ranged.join(before, [*key, "_range"])
         .withColumn(name, F.col("_before") + F.row_number().over(within))
-        .drop("_hour", "_before")
+        .drop("_range", "_before")
     )
 
 

@@ -7,10 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barweave.operators import allocation as A
 from barweave.operators.allocation import effective_holdings
-from barweave.operators.metrics import comprehensive_metrics
+from barweave.operators.covariance import COVARIANCES
+from barweave.operators.metrics import comprehensive_metrics, mean_returns
+from barweave.session import settle
 
+# Costs and limits of a walk-forward run.
 BPS = 7.5
+ENTROPY = 0.03
+CONFIDENCE = 0.90
+MAX_TURNOVER = 0.30
 
 
 def walk_forward_windows(calendar: DataFrame, key: Sequence[str] = (), order: str = "dt", train_days: int = 252,
@@ -68,6 +75,43 @@ def segment_returns(rows: DataFrame, price: str = "price", item: str = "symbol",
     return rows.withColumn("ret", F.try_divide(F.col(price), F.lag(price).over(o)) - 1).filter(F.col("ret").isNotNull())
 
 
+def window_problems(train: DataFrame, risk_model: str = "ledoit_wolf", implied: float | None = None) -> DataFrame:
+    """One allocation problem per window; ``implied`` takes equilibrium returns at that risk aversion."""
+    key = ["window_id"]
+    cov = COVARIANCES[risk_model](train, group=key).select("window_id", "i", "j", "cov")
+    mu = mean_returns(train, ("window_id", "symbol")) if implied is None else A.implied_returns(cov, key, implied)
+    return A.problems(mu, cov, key)
+
+
+def strategy_weights(train: DataFrame, assets: int, cap: float, signals: DataFrame | None = None, risk_model: str = "ledoit_wolf",
+                     entropy: float = ENTROPY, confidence: float = CONFIDENCE, max_turnover: float = MAX_TURNOVER, step: int = 10) -> DataFrame:
+    """(strategy, window_id, symbol, w) of every strategy; names carry the cap that was used.
+
+    ``signals`` (window_id, symbol, signal) add the forecast overlay on the capped weights.
+    """
+    key = ["window_id"]
+    tag = f"_capped_{round(cap * 100)}"
+    rows = settle(window_problems(train, risk_model))
+    pooled = settle(window_problems(train, risk_model, implied=2.5))
+    best = {
+        "mean_variance": A.mv_best(rows, key, assets, step, entropy=entropy),
+        f"mean_variance{tag}": A.mv_best(rows, key, assets, step, cap=cap, entropy=entropy),
+        "mean_variance_turnover_constrained": A.mv_chain(rows, [], assets, step, cap=cap, entropy=entropy, max_turnover=max_turnover),
+        f"cvar{tag}": A.min_cvar(A.scenarios(train, key), key, assets, step, confidence, cap),
+        f"black_litterman{tag}": A.mv_best(pooled, key, assets, step, cap=cap),
+        "equal_weight": A.equal_weight(train, key),
+    }
+    if signals is not None:
+        base = best[f"mean_variance{tag}"]
+        z = A.signal_zscore(signals, base.select("window_id", "symbol"), key)
+        best["ml_overlay"] = A.tilt_weights(base, z, key, cap=cap)
+    parts = [w.select(F.lit(name).alias("strategy"), "window_id", "symbol", "w") for name, w in best.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def weights_delta(weights: DataFrame, key: Sequence[str] = ("strategy",), item: str = "symbol") -> DataFrame:
     """(key, window_id, item, w, prev, is_first): each weight next to that of the previous window.
 
