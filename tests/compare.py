@@ -87,7 +87,7 @@ def main(argv: list[str]) -> int:
         except Exception as e:  # noqa: BLE001
             diff, tag = [str(e)[:1500]], "ERROR"
         failed += bool(diff)
-        print(f"{tag:6} {time.time() - t:6.2f}s {k}", flush=True)
+        print(f"\n{tag:6} {time.time() - t:6.2f}s {k}", flush=True)
         for line in diff:
             print("        ", line, flush=True)
     print("failed", failed)
