@@ -14,6 +14,7 @@ from barweave.catalog.registry import query
 from barweave.operators import allocation as A
 from barweave.operators import covariance as C
 from barweave.operators import metrics as M
+from barweave.operators import sweep as S
 from barweave.plans import walkforward as B
 from barweave.session import settle
 from barweave.sources import derived as D
@@ -300,3 +301,51 @@ def _(spark, sf):
     train, _ = split(spark, sf)
     c = A.with_moments(A.candidate_grid(_problems(train), KEY, N), N)
     return A.leaderboard(c, cap=0.5, assets=N).select("window_id", *[F.col("w")[k].alias(f"w{k}") for k in range(N)], "ret", "sharpe")
+
+
+# ---- continuous weights for many tasks -------------------------------------------------------
+
+# The parameter grid of the risk models, caps and entropy levels.
+CAPS = [None, 0.40, 0.35, 0.30, 0.25, 0.20]
+ENTROPIES = [0.0, 0.01, 0.02, 0.03]
+
+
+def sweep_tasks(train):
+    """Every window under every risk model, cap and entropy level."""
+    parts = [B.window_problems(train, m).withColumn("risk_model", F.lit(m)) for m in C.COVARIANCES]
+    rows = settle(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return A.expand_grid(rows, cap=CAPS, entropy=ENTROPIES)
+
+
+@query("param_grid_metrics")
+def _(spark, sf):
+    out = S.portfolio_sweep(sweep_tasks(split(spark, sf)[0]), ["window_id", "risk_model"])
+    return out.select("window_id", "risk_model", "cap", "entropy", "sharpe", "vol", "ret", "status")
+
+
+@query("portfolio_sweep")
+def _(spark, sf):
+    """Weights of plain, capped, turnover-limited, equilibrium and frontier tasks of every window."""
+    train, _ = split(spark, sf)
+    rows = settle(with_even_prev(_problems(train)))
+    num = lambda v: F.lit(v).cast("double")
+    task = lambda df, name, cap, limit, target: df.select(
+        F.lit(name).alias("method"), "window_id", "symbols", "mu", "cov", "prev", num(cap).alias("cap"), num(limit).alias("max_turnover"), target.alias("target")
+    )
+    none = num(None)
+    frontier = S.frontier_tasks(rows).withColumn("method", F.concat(F.lit("frontier_"), F.col("point")))
+    tasks = [
+        task(rows, "mean_variance", None, None, none),
+        task(rows, "mean_variance_capped", CAP, None, none),
+        task(rows, "turnover_limited", CAP, 0.3, none),
+        task(with_even_prev(_bl(train)), "black_litterman", CAP, None, none),
+        task(rows, "infeasible", 0.18, None, none),
+        frontier.select("method", "window_id", "symbols", "mu", "cov", "prev", none.alias("cap"), none.alias("max_turnover"), "target"),
+    ]
+    union = tasks[0]
+    for t in tasks[1:]:
+        union = union.unionByName(t)
+    out = S.portfolio_sweep(union, ["method", "window_id"])
+    return out.select("method", "window_id", "status", "ret", "vol", "sharpe", F.explode(F.arrays_zip("symbols", "w")).alias("_z")).select(
+        "method", "window_id", "status", "ret", "vol", "sharpe", F.col("_z.symbols").alias("symbol"), F.col("_z.w").alias("w")
+    )

@@ -1,0 +1,206 @@
+"""Continuous long-only weights for many tasks: every combination of problem and parameters is one row.
+
+Rows are independent, so Spark spreads them over tasks and each Arrow batch is solved at once by a
+proximal gradient method whose projection is exact.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from barweave.operators.allocation import ENTROPY_EPS, RISK_AVERSION, VOL_EPS
+from barweave.schemas import RISK_FREE
+
+PARAMETERS = ["cap", "entropy", "turnover_penalty", "max_turnover", "target"]
+ROUNDS, HALVINGS = 300, 50
+STILL = 1e-9
+FLOOR = 1e-4  # least weight in the curvature of the entropy
+
+
+def _halve(lo: np.ndarray, hi: np.ndarray, too_low) -> np.ndarray:
+    """Root per row of a function that ``too_low`` says lies above the middle."""
+    for _ in range(HALVINGS):
+        mid = (lo + hi) / 2
+        up = too_low(mid)
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    return (lo + hi) / 2
+
+
+def _to_simplex(y: np.ndarray, scale: np.ndarray, cap: np.ndarray, prev: np.ndarray | None = None, cut: np.ndarray | None = None) -> np.ndarray:
+    """Nearest weights, in the metric ``scale``, in [0, cap] with sum 1; with ``cut`` each
+    coordinate is first drawn by at most that much towards ``prev``.
+
+    The sum falls piecewise linearly in the multiplier: its kinks are searched, the rest is exact.
+    """
+    top = cap[:, None]
+
+    def at(tau: np.ndarray) -> np.ndarray:
+        x = y - tau[:, None] / scale
+        if cut is not None:
+            z = x - prev
+            x = prev + np.sign(z) * np.maximum(np.abs(z) - cut, 0.0)
+        return np.clip(x, 0.0, top)
+
+    bends = [np.zeros_like(y), np.broadcast_to(top, y.shape)] if cut is None else [-cut, prev - cut, prev + cut, top + cut, top - cut]
+    kinks = np.sort(np.concatenate([scale * (y - x) for x in bends], axis=1), axis=1)
+    rows, lo, hi = np.arange(len(y)), np.zeros(len(y), int), np.full(len(y), kinks.shape[1] - 1)
+    for _ in range(int(np.ceil(np.log2(kinks.shape[1]))) + 1):
+        mid = (lo + hi) // 2
+        over = at(kinks[rows, mid]).sum(1) >= 1.0
+        lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)
+    t0, t1 = kinks[rows, lo], kinks[rows, hi]
+    s0, s1 = at(t0).sum(1), at(t1).sum(1)
+    drop = s0 - s1
+    share = np.divide(s0 - 1.0, drop, out=np.zeros_like(drop), where=drop > 0)
+    return at(t0 + np.clip(share, 0.0, 1.0) * (t1 - t0))
+
+
+def _project(y: np.ndarray, scale: np.ndarray, cap: np.ndarray, mu: np.ndarray, target: np.ndarray, prev: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Projection on the capped simplex, and where given on a least return or a largest change."""
+    w = _to_simplex(y, scale, cap)
+    short = np.flatnonzero((w * mu).sum(1) < target)
+    if short.size:
+        ys, ds, cs, ms, ts = y[short], scale[short], cap[short], mu[short], target[short]
+        up = lambda lam: _to_simplex(ys + lam[:, None] * ms / ds, ds, cs)
+        hi = np.full(short.size, 1.0)
+        for _ in range(40):
+            low = (up(hi) * ms).sum(1) < ts
+            if not low.any():
+                break
+            hi = np.where(low, hi * 2, hi)
+        w[short] = up(_halve(np.zeros(short.size), hi, lambda lam: (up(lam) * ms).sum(1) < ts))
+    far = np.flatnonzero(np.abs(w - prev).sum(1) > limit)
+    if far.size:
+        yf, df, cf, pf, lf = y[far], scale[far], cap[far], prev[far], limit[far]
+
+        near = lambda theta: _to_simplex(yf, df, cf, pf, theta[:, None] / df)
+        top = (df * (np.abs(yf) + np.abs(pf) + 2.0)).max(1)
+        w[far] = near(_halve(np.zeros(far.size), top, lambda th: np.abs(near(th) - pf).sum(1) > lf))
+    return w
+
+
+def solve_batch(mu, cov, cap, entropy, penalty, limit, target, prev) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (B, n) and feasibility (B,) of B tasks of n assets."""
+    b, n = mu.shape
+    order = np.argsort(-mu, axis=1)
+    room = np.clip(1.0 - cap[:, None] * np.arange(n), 0.0, cap[:, None])
+    best = (np.take_along_axis(mu, order, 1) * room).sum(1)
+    kept = np.minimum(prev, cap[:, None])
+    least_change = (prev - kept).sum(1) + np.abs(1.0 - kept.sum(1))
+    both = np.isfinite(target) & np.isfinite(limit)
+    ok = (n * cap >= 1 - 1e-9) & (target <= best + 1e-9) & (least_change <= limit + 1e-9) & ~both
+    out = np.full((b, n), 1.0 / n)
+    live = np.flatnonzero(ok)
+    if live.size:
+        goal = np.minimum(target, best)
+        seek = np.where(np.isfinite(target), 0.0, 1.0)  # with a target only risk counts
+        out[live] = _descend(*(x[live] for x in (mu, cov, cap, entropy, penalty, limit, goal, prev, seek)))
+    return out, ok
+
+
+def _descend(mu, cov, cap, entropy, penalty, limit, goal, prev, seek) -> np.ndarray:
+    b, n = mu.shape
+    flat = np.abs(cov).sum(2).max(1) * 2 * RISK_AVERSION + 2 * penalty
+
+    def value(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        risk = RISK_AVERSION * np.einsum("bi,bij,bj->b", w, cov[at], w)
+        ent = entropy[at] * ((w + ENTROPY_EPS) * np.log(w + ENTROPY_EPS)).sum(1)
+        return risk + ent + penalty[at] * ((w - prev[at]) ** 2).sum(1) - seek[at] * (mu[at] * w).sum(1)
+
+    def slope(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ent = entropy[at, None] * (np.log(w + ENTROPY_EPS) + 1.0)
+        return 2 * RISK_AVERSION * np.einsum("bij,bj->bi", cov[at], w) + ent + 2 * penalty[at, None] * (w - prev[at]) - seek[at, None] * mu[at]
+
+    every = np.arange(b)
+    w = _project(np.full((b, n), 1.0 / n), np.ones((b, n)), cap, mu, goal, prev, limit)
+    f, step = value(w, every), np.ones(b)
+    at = every  # rows that still move
+    for _ in range(ROUNDS):
+        g = slope(w[at], at)
+        scale = (flat[at, None] + entropy[at, None] / np.maximum(w[at], FLOOR)) / step[at, None]
+        new = _project(w[at] - g / scale, scale, cap[at], mu[at], goal[at], prev[at], limit[at])
+        d = new - w[at]
+        fn = value(new, at)
+        good = fn <= f[at] + (g * d).sum(1) + (scale * d * d).sum(1) / 2 + 1e-14
+        w[at[good]], f[at[good]] = new[good], fn[good]
+        step[at] = np.where(good, np.minimum(step[at] * 1.5, 50.0), step[at] * 0.5)
+        at = at[~good | (np.abs(d).max(1) > STILL)]
+        if not at.size:
+            break
+    return w / w.sum(1, keepdims=True)
+
+
+def _solve_frame(pdf: pd.DataFrame) -> tuple[list, list]:
+    w: list = [None] * len(pdf)
+    status: list = [None] * len(pdf)
+    num = lambda c, none: pdf[c].to_numpy(dtype=float, na_value=np.nan) if none is None else np.nan_to_num(
+        pdf[c].to_numpy(dtype=float, na_value=np.nan), nan=none
+    )
+    cap = np.minimum(num("cap", 1.0), 1.0)
+    limit, target = num("max_turnover", np.inf), num("target", -np.inf)
+    size = pdf["mu"].map(len).to_numpy()
+    has_prev = pdf["prev"].notna().to_numpy()
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        prev = np.stack([p if h else np.full(n, 1.0 / n) for p, h in zip(pdf["prev"].iloc[at], has_prev[at])])
+        free = ~has_prev[at]  # nothing held before: no limit and no penalty
+        got, ok = solve_batch(
+            np.stack(pdf["mu"].iloc[at]), np.stack(pdf["cov"].iloc[at]).reshape(-1, n, n), cap[at], num("entropy", 0.0)[at],
+            np.where(free, 0.0, num("turnover_penalty", 0.0)[at]), np.where(free, np.inf, limit[at]), target[at], prev,
+        )
+        for k, row in enumerate(at):
+            w[row], status[row] = got[k], "optimal" if ok[k] else "infeasible"
+    return w, status
+
+
+def portfolio_sweep(tasks: DataFrame, key: Sequence[str], rf: float = RISK_FREE) -> DataFrame:
+    """(key, parameters, symbols, w, status, ret, vol, sharpe) per task.
+
+    A task is a problem row (``symbols``, ``mu``, ``cov``, optional ``prev``) with any of the
+    parameters cap, entropy, turnover_penalty, max_turnover and target; NULL or absent means none.
+    """
+    key = list(key)
+    full = tasks
+    for p in PARAMETERS:
+        if p not in tasks.columns:
+            full = full.withColumn(p, F.lit(None).cast("double"))
+    if "prev" not in tasks.columns:
+        full = full.withColumn("prev", F.lit(None).cast("array<double>"))
+    cols = [*key, *PARAMETERS, "symbols", "mu", "cov"]
+    # a few problems expand into many tasks, which are spread by their parameters
+    full = full.select(*cols, "prev").repartition(*key, *PARAMETERS)
+    schema = T.StructType([full.schema[c] for c in cols] + [T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("status", T.StringType())])
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                w, status = _solve_frame(pdf)
+                yield pdf.drop(columns="prev").assign(w=w, status=status)
+
+    out = full.mapInPandas(solve, schema)
+    n = F.size("symbols")
+    ret = F.aggregate(F.zip_with("w", "mu", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    at = F.sequence(F.lit(0), n - 1)
+    var = F.aggregate(
+        at, F.lit(0.0),
+        lambda s, i: s + F.col("w")[i] * F.aggregate(at, F.lit(0.0), lambda q, j: q + F.col("w")[j] * F.col("cov")[i * n + j]),
+    )
+    return (
+        out.withColumns({"ret": ret, "vol": F.sqrt(F.greatest(var, F.lit(0.0)))})
+        .withColumn("sharpe", (F.col("ret") - rf) / F.greatest("vol", F.lit(VOL_EPS)))
+        .drop("mu", "cov")
+    )
+
+
+def frontier_tasks(rows: DataFrame, points: int = 10) -> DataFrame:
+    """Each problem with ``points`` target returns from its least to its largest expected return."""
+    lo, hi = F.array_min("mu"), F.array_max("mu")
+    return rows.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
+        "target", lo + F.col("point") * (hi - lo) / (points - 1)
+    )
