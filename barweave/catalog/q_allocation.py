@@ -46,7 +46,7 @@ def windows(spark, sf):
 
 
 def segments(spark, sf):
-    rows = settle(panel(spark, sf))
+    rows = panel(spark, sf)
     return B.segment_returns(B.split_rows(rows, B.walk_forward_windows(rows.select("dt"))))
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from barweave.catalog.oracle import cte, d, r, with_ctes
 from barweave.catalog.q_returns import CUM, W, bench, rets
+from barweave.catalog.q_quality import dirty
 from barweave.catalog.registry import query
 from barweave.operators import metrics as M
+from barweave.operators import quality as Q
 from barweave.operators.returns import portfolio_returns, simple_returns
+from barweave.plans.summary import asset_summary, symbol_lookup
 from barweave.sources import derived as D
 
 
@@ -205,3 +208,46 @@ cte("brand_met", ("brand_ret",), metrics_sql("brand_ret", "symbol"))
 @query("brand_metrics", with_ctes(["brand_met"], f"SELECT symbol, {', '.join([*PERF, *MORE])} FROM brand_met"))
 def _(spark, sf):
     return M.comprehensive_metrics(simple_returns(D.brand_bars(spark, sf)))
+
+
+# ---- summaries -------------------------------------------------------------------------------
+
+_whole = " AND ".join(f"{c} IS NOT NULL" for c in ("open", "high", "low", "close", "adj_close", "volume"))
+cte("usable", ("once",), f"SELECT * FROM once WHERE {_whole}")
+cte("usable_ret", ("usable",), f"SELECT * FROM (SELECT symbol, dt, adj_close / NULLIF(LAG(adj_close) OVER {W}, 0) - 1 AS ret FROM usable) WHERE ret IS NOT NULL")
+cte("met_u", ("usable_ret", "mkt_ret"), metrics_sql("usable_ret", "symbol", BJ))
+
+
+@query(
+    "asset_summary",
+    with_ctes(
+        ["met_u", "usable"],
+        f"""SELECT symbol, n AS data_points, {', '.join([*PERF, *REL])}, records FROM met_u JOIN
+        (SELECT symbol, STRING_AGG(CAST(dt AS VARCHAR) || '=' || CAST(CAST(volume AS BIGINT) AS VARCHAR), '; ' ORDER BY dt) AS records FROM usable GROUP BY symbol) USING (symbol)""",
+    ),
+)
+def _(spark, sf):
+    out = asset_summary(Q.dedup_bars(dirty(spark, sf).drop("rn"), first_by="src"), bench(spark, sf))
+    text = F.transform("prices", lambda p: F.concat(p["dt"].cast("string"), F.lit("="), p["volume"].cast("string")))
+    return out.withColumn("records", text).drop("prices")
+
+
+# nations stand for symbols; those of two regions have no attributes, one has a short name only
+@query(
+    "symbol_lookup",
+    """SELECT n_name AS symbol, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 'N/A' WHEN n_nationkey % 3 = 0 THEN LOWER(n_name) ELSE n_name || ' of ' || r_name END AS name,
+      CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 'N/A' ELSE r_name END AS sector, 'N/A' AS industry,
+      CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 0 ELSE n_nationkey * 1000 END AS market_cap, 'USD' AS currency, 'N/A' AS exchange
+    FROM nation JOIN region ON n_regionkey = r_regionkey""",
+)
+def _(spark, sf):
+    nation, region = D.table(spark, sf, "nation"), D.table(spark, sf, "region")
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    attributes = both.filter(~F.col("r_name").isin("ASIA", "EUROPE")).select(
+        F.col("n_name").alias("symbol"),
+        F.when(F.col("n_nationkey") % 3 != 0, F.concat("n_name", F.lit(" of "), "r_name")).alias("long_name"),
+        F.lower("n_name").alias("short_name"),
+        F.col("r_name").alias("sector"),
+        (F.col("n_nationkey") * 1000).alias("market_cap"),
+    )
+    return symbol_lookup(nation.select(F.col("n_name").alias("symbol")), attributes)

@@ -124,12 +124,13 @@ cte("agross", ("aw", "asched", "panel_ret"), """SELECT 'regime_adaptive' AS stra
 
 
 def known_labels(spark, sf):
-    return labels(spark, sf).filter(F.datediff("dt", F.lit("1990-01-01")) % 5 == 0).select("dt", "regime")
+    return settle(labels(spark, sf).filter(F.datediff("dt", F.lit("1990-01-01")) % 5 == 0).select("dt", "regime"))
 
 
 @query("asof_regime", with_ctes(["awin"], f"SELECT window_id, {d()}, regime FROM awin"))
 def _(spark, sf):
-    schedule = B.rebalance_rows(panel_rets(spark, sf)).filter("is_rebalance").select("window_id", "dt")
+    # a few dates, written once: they are looked up and joined back
+    schedule = settle(B.rebalance_rows(panel_rets(spark, sf)).filter("is_rebalance").select("window_id", "dt"))
     return asof_last(schedule, known_labels(spark, sf), "dt", "regime", default="Sideways")
 
 
@@ -137,7 +138,7 @@ def adaptive(spark, sf):
     """Returns, schedule and weights, each written once."""
     returns = settle(panel_rets(spark, sf))
     schedule = settle(B.rebalance_rows(returns))
-    at = schedule.filter("is_rebalance").select("window_id", "dt")
+    at = settle(schedule.filter("is_rebalance").select("window_id", "dt"))
     regimes = settle(asof_last(at, known_labels(spark, sf), "dt", "regime", default="Sideways"))
     train = returns.join(schedule.filter("role = 'train'").select("window_id", "dt"), "dt")
     return returns, schedule, settle(G.regime_weights(train, regimes, N, CAP))

@@ -36,7 +36,7 @@ def _(spark, sf):
 
 @query("train_test_split_rows", with_ctes(["wrows"], f"SELECT window_id, symbol, {d()}, {r('price')}, role FROM wrows"))
 def _(spark, sf):
-    rows = settle(panel(spark, sf))
+    rows = panel(spark, sf)
     return B.split_rows(rows, B.walk_forward_windows(rows.select("dt"))).select("window_id", "symbol", "dt", "price", "role")
 
 

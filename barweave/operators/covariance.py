@@ -23,21 +23,30 @@ TILE = 1024  # items per side of one partial product held in memory
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
-def _tiles(names: np.ndarray, x: np.ndarray) -> Iterator[pd.DataFrame]:
-    seen = (~np.isnan(x)).astype(float)
-    val = np.nan_to_num(x)
+def _tiles(names: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, n_rows: int) -> Iterator[pd.DataFrame]:
+    """Sums of all pairs from (date, item, value) triples; only two tiles of items are dense at a time."""
+    order = np.argsort(col, kind="stable")
+    row, col, val = row[order], col[order], val[order]
+
+    def dense(a: int) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = np.searchsorted(col, [a, a + TILE])
+        shape = (n_rows, min(TILE, len(names) - a))
+        x, seen = np.zeros(shape), np.zeros(shape)
+        x[row[lo:hi], col[lo:hi] - a] = val[lo:hi]
+        seen[row[lo:hi], col[lo:hi] - a] = 1.0
+        return x, seen
+
     for a in range(0, len(names), TILE):
+        xa, ma = dense(a)
         for b in range(a, len(names), TILE):
-            xa, xb, ma, mb = val[:, a : a + TILE], val[:, b : b + TILE], seen[:, a : a + TILE], seen[:, b : b + TILE]
+            xb, mb = (xa, ma) if a == b else dense(b)
             n = ma.T @ mb
             keep = n > 0
             if a == b:
                 keep &= np.tri(*n.shape, dtype=bool).T
             i, j = np.nonzero(keep)
             sums = [n, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb]
-            yield pd.DataFrame(
-                {"i": names[a : a + TILE][i], "j": names[b : b + TILE][j], **{c: s[i, j] for c, s in zip(_SUMS, sums)}}
-            )
+            yield pd.DataFrame({"i": names[a + i], "j": names[b + j], **{c: s[i, j] for c, s in zip(_SUMS, sums)}})
 
 
 def pair_sums(df: DataFrame, item: str = "symbol", on: str = "dt", value: str = "ret", group: Sequence[str] = ()) -> DataFrame:
@@ -73,9 +82,7 @@ def pair_sums(df: DataFrame, item: str = "symbol", on: str = "dt", value: str =
                 days_of = np.flatnonzero(gid == g)
                 mine = gid[row] == g
                 used, col = np.unique(codes[mine], return_inverse=True)
-                x = np.full((len(days_of), len(used)), np.nan)
-                x[np.searchsorted(days_of, row[mine]), col] = vals[mine]
-                for part in _tiles(np.asarray(names)[used], x):
+                for part in _tiles(np.asarray(names)[used], np.searchsorted(days_of, row[mine]), col, vals[mine], len(days_of)):
                     for k, c in enumerate(group):
                         part.insert(k, c, groups[c].iloc[days_of[0]])
                     yield pa.RecordBatch.from_pandas(part, schema=batch_schema(batch), preserve_index=False)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barweave.functions.exprs import ratio
 from barweave.operators.series import over_rows, running
+from barweave.session import settle
 
 
 def simple_returns(
@@ -91,11 +92,12 @@ def drop_all_null_dates(df: DataFrame, value: str = "adj_close") -> DataFrame:
     return df.filter(F.col(value).isNotNull())
 
 
-def complete_dates_only(df: DataFrame, item: str = "symbol", order: str = "dt", value: str = "adj_close") -> DataFrame:
+def complete_dates_only(df: DataFrame, item: str = "symbol", order: str = "dt", value: str = "adj_close", items: Column | None = None) -> DataFrame:
     """Rows of dates on which every item has a value. Items and dates are counted by aggregation,
-    and the dates come back through a semi join."""
+    and the dates come back through a semi join. ``items`` is the number of items where it is known."""
     have = df.filter(F.col(value).isNotNull())
-    items = have.select(F.count_distinct(item)).scalar()
+    if items is None:
+        items = have.select(F.count_distinct(item)).scalar()
     days = have.groupBy(order).agg(F.count_distinct(item).alias("_n")).filter(F.col("_n") == items).select(order)
     return have.join(days, order, "left_semi")
 
@@ -105,15 +107,17 @@ def filled_panel(bars: DataFrame, price: str = "adj_close", item: str = "symbol"
     and dates before every symbol has started are dropped.
 
     Each bar is expanded over the days to the next one, then reduced to calendar days, so the work
-    grows with the gaps and not with symbols x dates.
+    grows with the gaps and not with symbols x dates. The bars are written once: calendar, last
+    date, number of symbols and rows all come from them.
     """
-    have = bars.filter(F.col(price).isNotNull()).select(item, order, F.col(price).alias("price"))
+    have = settle(bars.filter(F.col(price).isNotNull()).select(item, order, F.col(price).alias("price")))
     calendar = have.select(order).distinct()
     last = have.select(F.max(order)).scalar()
     o = Window.partitionBy(item).orderBy(order)
     held = have.withColumn("_until", F.coalesce(F.date_sub(F.lead(order).over(o), 1), last))
     days = held.select(item, F.explode(F.sequence(order, "_until")).alias(order), "price")
-    return complete_dates_only(days.join(calendar, order, "left_semi"), item, order, "price")
+    items = have.select(F.count_distinct(item)).scalar()
+    return complete_dates_only(days.join(calendar, order, "left_semi"), item, order, "price", items)
 
 
 def rebuild_panel(bars: DataFrame, symbols: Sequence[str], price: str = "adj_close", how: str = "any") -> DataFrame:

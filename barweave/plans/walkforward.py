@@ -75,10 +75,14 @@ def segment_returns(rows: DataFrame, price: str = "price", item: str = "symbol",
     return rows.withColumn("ret", F.try_divide(F.col(price), F.lag(price).over(o)) - 1).filter(F.col("ret").isNotNull())
 
 
-def window_problems(train: DataFrame, risk_model: str = "ledoit_wolf", implied: float | None = None) -> DataFrame:
+def window_cov(train: DataFrame, risk_model: str = "ledoit_wolf") -> DataFrame:
+    return COVARIANCES[risk_model](train, group=["window_id"]).select("window_id", "i", "j", "cov")
+
+
+def window_problems(train: DataFrame, risk_model: str = "ledoit_wolf", implied: float | None = None, cov: DataFrame | None = None) -> DataFrame:
     """One allocation problem per window; ``implied`` takes equilibrium returns at that risk aversion."""
     key = ["window_id"]
-    cov = COVARIANCES[risk_model](train, group=key).select("window_id", "i", "j", "cov")
+    cov = window_cov(train, risk_model) if cov is None else cov
     mu = mean_returns(train, ("window_id", "symbol")) if implied is None else A.implied_returns(cov, key, implied)
     return A.problems(mu, cov, key)
 
@@ -91,8 +95,9 @@ def strategy_weights(train: DataFrame, assets: int, cap: float, signals: DataFra
     """
     key = ["window_id"]
     tag = f"_capped_{round(cap * 100)}"
-    rows = settle(window_problems(train, risk_model))
-    pooled = settle(window_problems(train, risk_model, implied=2.5))
+    cov = settle(window_cov(train, risk_model))
+    rows = settle(window_problems(train, cov=cov))
+    pooled = window_problems(train, cov=cov, implied=2.5)
     best = {
         "mean_variance": A.mv_best(rows, key, assets, step, entropy=entropy),
         f"mean_variance{tag}": A.mv_best(rows, key, assets, step, cap=cap, entropy=entropy),
