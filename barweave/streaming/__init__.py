@@ -1,0 +1 @@
+"""Empty: no operator of the blueprint works on a stream."""
