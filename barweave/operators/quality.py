@@ -39,9 +39,11 @@ def dedup_bars(
         values = [c for c in bars.columns if c != order and c != first_by]
         return bars.groupBy(*values).agg(F.min(order).alias(order)).select(*[c for c in bars.columns if c != first_by])
     rest = [c for c in bars.columns if c not in key and c != first_by]
-    row = F.struct(*rest)
-    pick = F.min_by(row, F.col(first_by)) if first_by else F.min(row)
-    return bars.groupBy(*key).agg(pick.alias("_row")).select(*key, "_row.*")
+    if first_by:
+        # column by column, so that numbers are hashed and need no sort; every column follows the
+        # same comparisons of ``first_by`` and therefore comes from the same row
+        return bars.groupBy(*key).agg(*[F.min_by(c, first_by).alias(c) for c in rest])
+    return bars.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*")
 
 
 def fix_negative_low(bars: DataFrame) -> DataFrame:

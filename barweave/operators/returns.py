@@ -195,6 +195,7 @@ def portfolio_returns(returns: DataFrame, weights: DataFrame, key: Sequence[str]
 
 
 def latest_row(df: DataFrame, key: Sequence[str] = ("symbol",), order: str = "dt") -> DataFrame:
-    """Last row per key as an aggregate, so that a long series is reduced before the shuffle."""
+    """Last row per key as an aggregate, so that a long series is reduced before the shuffle. Every
+    column follows the same comparisons of ``order``, so all come from one row."""
     rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(*key, "_row.*")
+    return df.groupBy(*key).agg(*[F.max_by(c, order).alias(c) for c in rest])

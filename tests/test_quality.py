@@ -55,3 +55,11 @@ def test_normalisers(spark):
     assert abs(z[0]) < 1e-12 and abs(z[1] - 1) < 1e-12 and z[2] == 2.0
     m = Q.normalize_minmax(df).agg(F.min("open"), F.max("open")).first()
     assert (m[0], m[1]) == (0.0, 1.0)
+
+
+def test_copies_with_a_source_are_hashed_without_a_sort(spark):
+    df = bars(spark, [("a", 0, (1.0, 2.0, 0.5, 1.0, 1.0, 5.0)), ("a", 0, (None, 3.0, 0.5, 1.0, 1.0, 6.0))]).withColumn("src", F.monotonically_increasing_id())
+    first = df.withColumn("src", F.when(F.col("volume") == 6, 0).otherwise(1))
+    out = Q.dedup_bars(first, first_by="src")
+    assert [(r["open"], r["high"], r["volume"]) for r in out.collect()] == [(None, 3.0, 6.0)]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
