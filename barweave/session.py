@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors can reach: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, one machine) is a fresh temporary folder set.
+    Where it is unset, a local master (tests, one machine) gets a fresh temporary folder. Any other
+    master raises: executors of a cluster do not see each other's local folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -35,10 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    require_local(spark.sparkContext.master)
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barweave-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def require_local(master: str) -> None:
+    """Raise unless all tasks run on this machine (``local`` or ``local[..]``)."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that every executor of {master} can reach")
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/barweave/{name}-{uuid.uuid4().hex}"

@@ -40,3 +40,12 @@ def test_single_symbol_files(spark, tmp_path):
 
 def test_checkpoint_dir_of_the_session_is_used(spark):
     assert workspace(spark, "x").startswith(shared_dir(spark))
+
+
+def test_shared_folder_is_required_off_one_machine():
+    from barweave.session import require_local
+
+    require_local("local[4]")
+    for master in ("local-cluster[3,2,1024]", "yarn", "k8s://https://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            require_local(master)
