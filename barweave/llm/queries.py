@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barweave.llm import decontaminate, jaccard, token_ids
+from barweave.llm import decontaminate, jaccard, langid, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,3 +43,9 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the window that is most like it."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    return langid.fold_prediction(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
