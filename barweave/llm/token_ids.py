@@ -28,7 +28,7 @@ from barweave.llm.elias_fano import Sequence, encode
 from barweave.session import workspace
 
 END_ID = 0
-FOOTER = struct.Struct("<8sQQQQQQ")  #: magic, bytes of an id, ids, null doc_ids, where boundaries, doc_ids and the footer begin
+FOOTER = "<8sQQQQQQ"  #: magic, bytes of an id, ids, null doc_ids, where boundaries, doc_ids and the footer begin
 MAGIC = b"BWTOKID1"
 #: pieces of text whose ids a worker keeps; others are encoded once for each slice of text
 KEPT_PIECES, SLICE_CHARS, BLOCK_IDS = 500_000, 1 << 20, 1 << 20
@@ -193,7 +193,7 @@ def _writer(folder: str, tokenizer_path: str):
             at = enc.dtype.itemsize * int(bounds[-1])
             coded, named = encode(bounds), encode(np.concatenate([*doc_ids, np.zeros(0, np.int64)]))
             out.write(coded + named)
-            out.write(FOOTER.pack(MAGIC, enc.dtype.itemsize, int(bounds[-1]), nulls, at, at + len(coded), at + len(coded) + len(named)))
+            out.write(struct.pack(FOOTER, MAGIC, enc.dtype.itemsize, int(bounds[-1]), nulls, at, at + len(coded), at + len(coded) + len(named)))
         fs.move(draft, name)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "docs": pa.array([len(n)], pa.int64()), "ids": pa.array([int(bounds[-1])], pa.int64())})
 
@@ -223,7 +223,7 @@ class Reader:
         fs, name = filesystem(path)
         self.file = fs.open_input_file(name)
         size = self.file.size()
-        magic, self.item, self.ids, self.nulls, a, b, c = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        magic, self.item, self.ids, self.nulls, a, b, c = struct.unpack(FOOTER, self.file.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError(f"{path} is no shard of token ids")
         self.bounds, self.names = Sequence(self.file.read_at(b - a, a)), Sequence(self.file.read_at(c - b, b))
