@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barweave.llm import decontaminate, jaccard, langid, token_ids
+from barweave.llm import decontaminate, jaccard, langid, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
     return langid.fold_prediction(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    return toxicity.fold_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
