@@ -128,7 +128,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, size: int = GRAM)
     """
     known = docs.select("text", F.col("lang").cast("string")).filter("text is not null and lang is not null")
     sums = known.mapInArrow(_bundles(dimensions, size), "lang string, dim int, total long").groupBy("lang", "dim").agg(F.sum("total").alias("total"))
-    table = sums.toPandas().pivot(index="lang", columns="dim", values="total").sort_index()
+    table = sums.toArrow().to_pandas().pivot(index="lang", columns="dim", values="total").sort_index()
     vectors = table.to_numpy(float).reshape(len(table), -1)
     length = np.sqrt((vectors**2).sum(1, keepdims=True)) if len(table) else np.ones((0, 1))
     return list(table.index), vectors / np.where(length > 0, length, 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barweave.llm import decontaminate, jaccard, langid, token_ids, toxicity
+from barweave.llm import decontaminate, hilbert, jaccard, langid, mixing, quality, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels that are not held out."""
     return toxicity.fold_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and whether it is kept by the thresholds of its language and source."""
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and the target of its source."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_mixing"] = mixing.SQL
+
+
+@query
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document along the curve over language, source and size."""
+    return hilbert.sharded(table(spark, sf_dir, "documents"))

@@ -184,9 +184,9 @@ def train(
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     p0, p1, both = (F.col("neg") + 0.5) / (n0 + 1), (F.col("pos") + 0.5) / (n1 + 1), (F.col("neg") + F.col("pos") + 0.5) / (n0 + n1 + 1)
     gap = F.abs(p1 - p0) / F.sqrt(both * (1 - both) * (1 / (n0 + 1) + 1 / (n1 + 1)) + 1e-12)
-    best = held.filter(F.col("pos") + F.col("neg") >= 3).orderBy(F.desc(F.round(gap, 6)), "bucket").limit(count).select("bucket").toPandas()
+    best = held.filter(F.col("pos") + F.col("neg") >= 3).orderBy(F.desc(F.round(gap, 6)), "bucket").limit(count).select("bucket").toArrow().to_pandas()
     buckets = np.sort(best["bucket"].to_numpy(np.int64))
-    got = rows.mapInArrow(_rows(spark.sparkContext.broadcast(buckets), terms), "label int, held array<long>, turned array<long>").toPandas()
+    got = rows.mapInArrow(_rows(spark.sparkContext.broadcast(buckets), terms), "label int, held array<long>, turned array<long>").toArrow().to_pandas()
     return fit(got["label"].to_numpy(float), list(got["held"]), list(got["turned"]), buckets, penalty)
 
 
