@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barweave.llm import decontaminate, hilbert, jaccard, langid, mixing, quality, token_ids, toxicity
+from barweave.llm import chat, decontaminate, hilbert, jaccard, langid, mixing, quality, token_ids, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,18 @@ ORACLE["op2_mixing"] = mixing.SQL
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document along the curve over language, source and size."""
     return hilbert.sharded(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that no longer one begins with, rendered."""
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op10_chat_collapse"] = chat.SQL
+
+
+@query
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and plain-text conversion records of every page."""
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
