@@ -126,12 +126,14 @@ def _search(value: np.ndarray, n_words: int, items: Items, known: np.ndarray, wi
     hits = np.concatenate(([0], np.cumsum(known)))
     tables = items.blocks(radius)
     for size in np.unique(items.sizes):
-        span = min(int(size), n_words) - width + 1 if n_words >= width else 1  # shingles of a window
+        if (size < width) != (n_words < width) or (size < width and size != n_words):
+            continue
+        span = max(1, min(int(size), n_words) - width + 1)  # shingles of a window
         count = len(value) - span + 1
         # a set that reaches the similarity shares that part of the item's weight, and a weight is 1/2 to 1
         need = max(1, int(np.ceil(least / 2 * min(span, max(1, int(size) - width + 1)) - 1e-9))) if least > 0 else 0
         starts = np.flatnonzero(hits[span:] - hits[:count] >= need)
-        if not len(starts) or (size < width) != (n_words < width) or (size < width and size != n_words):
+        if not len(starts):
             continue
         which = np.flatnonzero(items.sizes == size)
         mask = np.zeros(8 * tables[0].shape[1], bool)

@@ -29,7 +29,7 @@ GROWTH, OFFSET = 1.02, 1e-3
 REACH, LEAST_ROWS = 6.0, 50
 #: value, whether low values fail too, least spread
 RULES: tuple[tuple[str, bool, float], ...] = (
-    ("symbol_share", False, 0.01), ("line_share", False, 0.02), ("repeat_share", False, 0.02), ("mean_word", True, 0.25),
+    ("symbol_share", False, 0.01), ("line_share", False, 0.02), ("repeat_share", False, 0.08), ("mean_word", True, 0.25),
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
