@@ -74,12 +74,12 @@ def derive(record_id: str, uri: str | None, headers: str, payload: str) -> list[
     block = headers.encode() + payload.encode()
     fields = [("source-record-id", record_id), ("source-block-digest", digest(block)), ("source-payload-digest", digest(payload.encode()))]
     fields += [("source-header", line) for line in headers.split("\r\n") if line]
-    shown = HIDDEN.sub("", page := payload) if payload else ""
+    shown = HIDDEN.sub("", payload)
     if m := TITLE.search(shown):
         fields.append(("title", one_line(m[1])))
     if m := LANGUAGE.search(shown):
         fields.append(("language", m[1]))
-    fields += [("outlink", x) for x in links(page, uri)]
+    fields += [("outlink", x) for x in links(payload, uri)]
     return [
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)),
         ("conversion", "text/plain; charset=utf-8", plain_text(payload)),

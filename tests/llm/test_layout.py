@@ -35,7 +35,7 @@ def test_mix_comes_near_targets(spark):
         F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"),
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"),
     )
-    got = mixing.mixed(rows).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.first("source_size").alias("s"), F.sum("size").alias("own")).collect()
+    got = mixing.mixed(rows).join(rows.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.first("source_size").alias("s"), F.sum("size").alias("own")).collect()
     assert all(abs(r.t - r.w) <= 18 and r.s == r.own and r.w <= 2 * r.s for r in got)
     assert abs(sum(r.w for r in got) - 1.5 * sum(r.s for r in got)) < 1e-6
 
