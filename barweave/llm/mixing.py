@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.ranks import numbered
+from barweave.llm.ranks import numbered, unused
 from barweave.session import settle
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -91,7 +91,7 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with doc_id, source, size and draw, written once; the thresholds of their sources)."""
     rows = settle(
-        docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"), draw(F.col("doc_id")).alias("draw"))
+        docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"), draw(F.col("doc_id").cast("long")).alias("draw"))
     )
     return rows, settle(thresholds(rows, targets(rows)))
 
@@ -115,10 +115,12 @@ def mixed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as the mix takes them."""
     _, cuts = plan(docs)
-    cuts = cuts.select(F.col("source").alias("_s"), F.col("times").alias("_times"), F.col("cut").alias("_cut"))
-    joined = docs.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    taken = F.col("_times") + (draw(F.col("doc_id")) <= F.col("_cut")).cast("long")
-    return joined.withColumn("_n", taken).filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    source, times, cut, copy = (unused(docs, c) for c in ("_source", "_times", "_cut", "_copy"))
+    cuts = cuts.select(F.col("source").alias(source), F.col("times").alias(times), F.col("cut").alias(cut))
+    joined = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts[source]))
+    taken = F.col(times) + (draw(docs["doc_id"].cast("long")) <= F.col(cut)).cast("long")
+    copies = F.explode(F.when(taken > 0, F.sequence(F.lit(1).cast("long"), taken)))
+    return joined.withColumn(copy, copies).drop(source, times, cut, copy)
 
 
 SQL = r"""

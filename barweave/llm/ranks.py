@@ -31,3 +31,11 @@ def levels(rows: DataFrame, value: Column, count: int, name: str) -> DataFrame:
     total = max(1, distinct.count())
     ranked = numbered(distinct, "_value").select(F.col("_value").alias("_v"), F.floor(F.col("place") * count / total).cast("int").alias(name))
     return valued.join(ranked, F.col("_value").eqNullSafe(F.col("_v"))).drop("_value", "_v")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -20,9 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barweave.llm.decontaminate import fold
 from barweave.llm.langid import held_out
+from barweave.llm.ranks import unused
 from barweave.llm.words import BYTE, SPACE, U, Text, rolled, slices, span_hash
 from barweave.session import settle
 
@@ -176,7 +178,8 @@ def train(
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
-    rows = settle(docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("text", "label").coalesce(8))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = settle(texts.join(F.broadcast(chosen), "_id").select("text", "label").coalesce(8))
     held = rows.mapInArrow(_counts(), "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -190,7 +193,7 @@ def train(
     return fit(got["label"].to_numpy(float), list(got["held"]), list(got["turned"]), buckets, penalty)
 
 
-def _scores(shared):
+def _scores(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         wanted, weight = np.zeros(BUCKETS, bool), np.zeros(BUCKETS)
@@ -200,18 +203,17 @@ def _scores(shared):
             for text in slices(fold(batch.column("text"))):
                 doc, bucket = features(text, wanted)
                 score[text.first : text.first + len(text.bounds) - 1] += np.bincount(doc, weight[bucket], minlength=len(text.bounds) - 1)
-            # a batch keeps its columns and gains the score
             value = np.round(1 / (1 + np.exp(-np.clip(score, -700, 700))), 6)
             value[np.isneginf(score)] = 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with all columns and ``_toxicity`` (0 to 1), from the text alone. A null or empty text has the base rate."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, _toxicity double")
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with all columns and a score (0 to 1), from the text alone. A null or empty text has the base rate."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_scores(shared, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def learnable(labels: DataFrame, doc_id: Column) -> DataFrame:
@@ -223,10 +225,11 @@ def fold_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     are not held out."""
     model = train(docs, learnable(labels, F.col("doc_id")), **options)
     rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the classifier does not reject."""
     model = train(docs, learnable(labels, F.col("doc_id")), **options)
-    return scored(docs, model).filter("_toxicity < 0.5").drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    return scored(docs, model, name).filter(F.col(name) < 0.5).drop(name)
