@@ -148,12 +148,15 @@ def problems(mu: DataFrame, cov: DataFrame, key: Sequence[str], item: str = "sym
 
 
 def scenarios(returns: DataFrame, key: Sequence[str], item: str = "symbol", on: str = "dt", ret: str = "ret") -> DataFrame:
-    """One row per key with ``symbols`` and the returns of every date as an array of arrays.
+    """One row per key with ``symbols`` and the returns of every complete date as an array of arrays.
 
-    A key is a training span, whose calendar bounds the number of dates.
+    Dates on which a symbol of the key has no return are left out. A key is a training span, whose
+    calendar bounds the number of dates.
     """
     key = list(key)
-    days = returns.groupBy(*key, on).agg(F.sort_array(F.collect_list(F.struct(item, ret))).alias("_r"))
+    known = returns.filter(F.col(ret).isNotNull())
+    width = known.groupBy(*key).agg(F.count_distinct(item).alias("_n"))
+    days = known.groupBy(*key, on).agg(F.sort_array(F.collect_list(F.struct(item, ret))).alias("_r")).join(width, key).filter(F.size("_r") == F.col("_n"))
     return days.groupBy(*key).agg(
         F.first(F.transform("_r", lambda s: s[item])).alias("symbols"),
         F.transform(F.sort_array(F.collect_list(F.struct(on, "_r"))), lambda d: F.transform(d["_r"], lambda s: s[ret])).alias("scenarios"),
@@ -168,7 +171,11 @@ def candidate_grid(rows: DataFrame, key: Sequence[str], assets: int, step: int =
     """
     if assets > GRID_MAX_ASSETS:
         raise ValueError(f"the grid is for at most {GRID_MAX_ASSETS} assets, got {assets}")
-    out = rows.withColumn("_left", F.lit(step))
+    fits = F.size("symbols") == assets
+    if "cov" in rows.columns:
+        fits = fits & (F.size("cov") == assets * assets)
+    wrong = F.raise_error(F.concat(F.lit(f"the grid is for {assets} assets with all covariances, a row has "), F.to_json(F.struct("symbols"))))
+    out = rows.withColumn("_left", F.when(fits, F.lit(step)).otherwise(wrong.cast("int")))
     for k in range(assets - 1):
         out = out.withColumn(f"_u{k}", F.explode(F.sequence(F.lit(0), F.col("_left")))).withColumn(
             "_left", F.col("_left") - F.col(f"_u{k}")
@@ -221,12 +228,23 @@ def _with_fallback(rows: DataFrame, best: DataFrame, key: list[str], item: str =
     ).select(*key, F.col("_z.symbols").alias(item), F.col("_z.w").alias("w"), "status")
 
 
-def mv_best(rows: DataFrame, key: Sequence[str], assets: int, step: int = 10, cap: float | None = None,
+def off_grid(assets: int | None, cap: float | None, step: int) -> bool:
+    """Whether a problem needs continuous weights: many or unnamed assets, or a cap between grid steps."""
+    return assets is None or assets > GRID_MAX_ASSETS or (cap is not None and abs(cap * step - round(cap * step)) > TOL)
+
+
+def mv_best(rows: DataFrame, key: Sequence[str], assets: int | None = None, step: int = 10, cap: float | None = None,
             entropy: float = 0.0, turnover_penalty: float = 0.0, max_turnover: float | None = None,
             target: float | None = None, item: str = "symbol") -> DataFrame:
     """Best grid weights by mu'w - w'Sigma w / 2 plus entropy minus the squared change from ``prev``;
     with a target return the least variance that reaches it. ``rows`` are problems, with a ``prev``
-    array when turnover matters. Ties go to the largest weights in symbol order."""
+    array when turnover matters. Ties go to the largest weights in symbol order.
+
+    Without ``assets``, beyond GRID_MAX_ASSETS or with a cap between steps the weights are continuous."""
+    if off_grid(assets, cap, step):
+        from barweave.operators.sweep import best_weights
+
+        return best_weights(rows, key, item, cap=cap, entropy=entropy, turnover_penalty=turnover_penalty, max_turnover=max_turnover, target=target)
     key = list(key)
     w = F.col("w")
     prev = F.col("prev") if "prev" in rows.columns else None
@@ -256,15 +274,18 @@ def _simplex(assets: int, step: int) -> Column:
     return grow(F.lit(step), [], 0)
 
 
-def mv_chain(rows: DataFrame, key: Sequence[str], assets: int, step: int = 10, order: str = "window_id", cap: float | None = None,
+def mv_chain(rows: DataFrame, key: Sequence[str], assets: int | None = None, step: int = 10, order: str = "window_id", cap: float | None = None,
              entropy: float = 0.0, max_turnover: float = 0.3, item: str = "symbol") -> DataFrame:
     """Grid weights window after window, each within ``max_turnover`` (absolute change) of the one before.
 
     A window needs the choice of the previous one, so the windows of a key are folded inside one
     row; keys run in parallel. The row holds the moments of the windows of one calendar and the grid.
+    Off the grid (see :func:`off_grid`) the weights are continuous.
     """
-    if assets > GRID_MAX_ASSETS:
-        raise ValueError(f"the grid is for at most {GRID_MAX_ASSETS} assets, got {assets}")
+    if off_grid(assets, cap, step):
+        from barweave.operators.sweep import weights_chain
+
+        return weights_chain(rows, key, order, cap, entropy, max_turnover, item)
     key = list(key)
     own = key or ["_k"]
     base = rows if key else rows.withColumn("_k", F.lit(0))
@@ -318,9 +339,13 @@ def _cvar(sorted_losses: Column, confidence: float) -> Column:
     return t + F.aggregate(beyond, F.lit(0.0), lambda a, x: a + (x - t)) / ((1 - confidence) * n)
 
 
-def min_cvar(rows: DataFrame, key: Sequence[str], assets: int, step: int = 10, confidence: float = 0.90,
+def min_cvar(rows: DataFrame, key: Sequence[str], assets: int | None = None, step: int = 10, confidence: float = 0.90,
              cap: float | None = None, item: str = "symbol") -> DataFrame:
-    """Grid weights of least CVaR. ``rows`` come from :func:`scenarios`."""
+    """Weights of least CVaR, on the grid where it fits, else continuous. ``rows`` come from :func:`scenarios`."""
+    if off_grid(assets, cap, step):
+        from barweave.operators.sweep import least_cvar
+
+        return least_cvar(rows, key, confidence, cap, item)
     key = list(key)
     w = F.col("w")
     c = candidate_grid(rows, key, assets, step).filter(_feasible(w, assets, F.lit(cap).cast("double"), None, None))

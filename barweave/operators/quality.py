@@ -86,11 +86,9 @@ def fill_forward_backward(
     firsts = bars.groupBy(*key).agg(
         *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_first_{c}") for c in cols]
     )
-    out = bars
-    for c in cols:
-        out = running(
-            out, key, order, F.col(c), lambda x: F.last(x, ignorenulls=True), lambda b, h: F.coalesce(h, b), f"_ff_{c}"
-        )
+    out = running(
+        bars, key, order, {f"_ff_{c}": F.col(c) for c in cols}, lambda x: F.last(x, ignorenulls=True), lambda b, h: F.coalesce(h, b)
+    )
     return (
         out.join(firsts, key, "left")
         .withColumns({c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_first_{c}")) for c in cols})

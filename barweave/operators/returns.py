@@ -45,10 +45,9 @@ def equity_curve(returns: DataFrame, key: Sequence[str] = ("symbol",), order: st
         returns,
         key,
         order,
-        1.0 + F.col(ret),
+        {"equity": 1.0 + F.col(ret)},
         F.product,
         lambda before, here: F.coalesce(before, F.lit(1.0)) * here,
-        "equity",
         **kw,
     )
 
@@ -56,7 +55,7 @@ def equity_curve(returns: DataFrame, key: Sequence[str] = ("symbol",), order: st
 def drawdown_curve(returns: DataFrame, key: Sequence[str] = ("symbol",), order: str = "dt", ret: str = "ret", **kw) -> DataFrame:
     """Adds ``equity`` and ``drawdown``; the peak starts at the first compounded value, not at 1."""
     curve = equity_curve(returns, key, order, ret, **kw)
-    peak = running(curve, key, order, F.col("equity"), F.max, lambda b, h: F.greatest(b, h), "_peak", **kw)
+    peak = running(curve, key, order, {"_peak": F.col("equity")}, F.max, lambda b, h: F.greatest(b, h), **kw)
     return peak.withColumn("drawdown", ratio(F.col("equity"), F.col("_peak")) - 1).drop("_peak")
 
 

@@ -85,42 +85,36 @@ def running(
     df: DataFrame,
     key: Sequence[str],
     order: str,
-    value: Column,
+    values: dict[str, Column],
     agg: Callable[[Column], Column],
     join: Callable[[Column, Column], Column],
-    name: str,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Cumulative ``agg(value)`` from the first row of the key to the current one.
+    """Cumulative ``agg(value)`` from the first row of the key to the current one, for each name in ``values``.
 
     ``join(before, here)`` merges the result of all earlier slices (NULL for the first) with the
-    result inside the slice.
+    result inside the slice. All values share one numbering and one sort.
     """
     key = list(key)
     cum = (Window.unboundedPreceding, Window.currentRow)
     if calendar_bounded(df, order):
         w = Window.partitionBy(*key).orderBy(order).rowsBetween(*cum)
-        return df.withColumn(name, agg(value).over(w))
+        return df.withColumns({name: agg(v).over(w) for name, v in values.items()})
+    w = Window.partitionBy(*key, "_slice").orderBy(order).rowsBetween(*cum)
     rows = (
         row_index(df, key, order, "_rn")
         .withColumn("_slice", F.floor((F.col("_rn") - 1) / slice_rows))
-        .withColumn("_v", value)
+        .withColumns({f"_here_{name}": agg(v).over(w) for name, v in values.items()})
     )
-    earlier = (
+    # the result of a slice is the one at its last row, so it does not depend on how rows meet
+    earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
         rows.groupBy(*key, "_slice")
-        .agg(agg(F.col("_v")).alias("_a"))
-        .withColumn(
-            "_before",
-            agg(F.col("_a")).over(
-                Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .drop("_a")
+        .agg(*[F.max_by(f"_here_{name}", "_rn").alias(f"_a_{name}") for name in values])
+        .select(*key, "_slice", *[agg(F.col(f"_a_{name}")).over(earlier).alias(f"_before_{name}") for name in values])
     )
-    w = Window.partitionBy(*key, "_slice").orderBy(order).rowsBetween(*cum)
     return (
-        rows.withColumn("_here", agg(F.col("_v")).over(w))
-        .join(earlier, [*key, "_slice"])
-        .withColumn(name, join(F.col("_before"), F.col("_here")))
-        .drop("_rn", "_slice", "_v", "_here", "_before")
+        rows.join(carried, [*key, "_slice"])
+        .withColumns({name: join(F.col(f"_before_{name}"), F.col(f"_here_{name}")) for name in values})
+        .drop("_rn", "_slice", *[f"{part}_{name}" for name in values for part in ("_here", "_before")])
     )

@@ -2,6 +2,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barweave.operators import allocation as A
 from barweave.operators.sweep import portfolio_sweep, solve_batch
@@ -27,7 +28,7 @@ def test_sweep_is_no_worse_than_the_grid(problems, cap, ent, pen, limit):
     mu, cov = problems
     b = len(mu)
     prev = np.array([0.4, 0.3, 0.3])
-    w, ok = solve_batch(mu, cov, *(np.full(b, float(v)) for v in (cap, ent, pen, limit, -np.inf)), np.tile(prev, (b, 1)))
+    w, ok, still = solve_batch(mu, cov, *(np.full(b, float(v)) for v in (cap, ent, pen, limit, -np.inf)), np.tile(prev, (b, 1)))
     assert ok.all() and np.allclose(w.sum(1), 1) and w.min() >= 0 and w.max() <= cap + 1e-9
     assert np.abs(w - prev).sum(1).max() <= limit + 1e-8
     own = np.array([score(w[k], mu[k : k + 1], cov[k : k + 1], ent, pen, prev)[0] for k in range(b)])
@@ -114,3 +115,80 @@ def test_higher_costs_never_help(spark):
     net = B.cost_sensitivity(test, w, B.half_l1_turnover(w), [1.0, 7.5, 20.0]).groupBy("bps").sum("ret").orderBy("bps").collect()
     totals = [r[1] for r in net]
     assert totals == sorted(totals, reverse=True) and totals[0] > totals[-1]
+
+
+def problem_rows(spark, mu, cov, **more):
+    rows = [(k, [f"s{i:03d}" for i in range(len(m))], m.tolist(), c.ravel().tolist(), *more.values()) for k, (m, c) in enumerate(zip(mu, cov))]
+    extra = "".join(f", {n} array<double>" for n in more)
+    return spark.createDataFrame(rows, "id int, symbols array<string>, mu array<double>, cov array<double>" + extra)
+
+
+def market(n, b=3, days=600, seed=1):
+    x = np.random.default_rng(seed).normal(size=(b, days, n)) * 0.01
+    return x, x.mean(1) * 252, np.einsum("bti,btj->bij", x, x) / (days - 1) * 252
+
+
+@pytest.mark.parametrize("n,cap", [(3, 0.35), (8, 0.18), (25, 0.18), (100, 0.05)])
+def test_any_size_and_cap(spark, n, cap):
+    _, mu, cov = market(n)
+    got = A.mv_best(problem_rows(spark, mu, cov), ["id"], n, cap=cap, entropy=0.01).toPandas()
+    assert set(got["status"]) <= {"optimal", "not_converged"} and len(got) == 3 * n
+    assert np.allclose(got.groupby("id").w.sum(), 1) and got.w.max() <= cap + 1e-9 and got.w.min() >= 0
+
+
+def test_infeasible_cap_and_wrong_size_say_so(spark):
+    _, mu, cov = market(4)
+    rows = problem_rows(spark, mu, cov)
+    assert {(r.status, r.w) for r in A.mv_best(rows, ["id"], 4, cap=0.22).collect()} == {("infeasible", 0.25)}
+    with pytest.raises(Exception, match="the grid is for 3 assets"):
+        A.mv_best(rows, ["id"], 3).collect()
+    short = rows.withColumn("cov", F.slice("cov", 1, 15))
+    assert {r.status for r in A.mv_best(short, ["id"]).collect()} == {"incomplete"}
+
+
+def test_target_and_turnover_together(spark):
+    rows = spark.createDataFrame([(0, ["a", "b"], [0.1, 0.2], [0.04, 0.0, 0.0, 0.09], [0.5, 0.5])], "id int, symbols array<string>, mu array<double>, cov array<double>, prev array<double>")
+    for target, limit, fits in ((0.15, 0.5, True), (0.17, 0.5, True), (0.18, 0.5, False), (0.175, 0.5, True)):
+        got = portfolio_sweep(rows.withColumns({"target": F.lit(target), "max_turnover": F.lit(limit)}), ["id"]).first()
+        assert (got.status == "infeasible") != fits
+        if fits:
+            assert got.ret >= target - 1e-6 and abs(got.w[0] - 0.5) * 2 <= limit + 1e-6
+    # against a fine grid in three assets
+    _, mu, cov = market(3, b=1, seed=4)
+    prev, cap, limit = np.array([0.2, 0.3, 0.5]), 0.7, 0.4
+    fine = np.array([(i, j, 200 - i - j) for i in range(201) for j in range(201 - i)]) / 200
+    fine = fine[(fine.max(1) <= cap) & (np.abs(fine - prev).sum(1) <= limit)]
+    target = np.quantile(fine @ mu[0], 0.8)
+    w, ok, _ = solve_batch(mu, cov, *(np.array([float(v)]) for v in (cap, 0, 0, limit, target)), prev[None])
+    risk = np.einsum("ki,ij,kj->k", fine, cov[0], fine)[fine @ mu[0] >= target].min()
+    assert ok[0] and w[0] @ mu[0] >= target - 1e-6 and np.abs(w[0] - prev).sum() <= limit + 1e-6 and w[0] @ cov[0] @ w[0] <= risk + 1e-6
+
+
+def test_a_run_that_is_cut_short_says_so(spark):
+    _, mu, cov = market(40)
+    rows = problem_rows(spark, mu, cov)
+    assert "not_converged" in {r.status for r in portfolio_sweep(rows, ["id"], rounds=2).collect()}
+
+
+def test_chain_of_any_size(spark):
+    _, mu, cov = market(20, b=5)
+    rows = problem_rows(spark, mu, cov).withColumn("universe", (F.col("id") >= 3).cast("int")).withColumnRenamed("id", "window_id")
+    got = A.mv_chain(rows, ["universe"], cap=0.18, max_turnover=0.2).toPandas().pivot(index="window_id", columns="symbol", values="w")
+    assert np.allclose(got.sum(axis=1), 1) and got.to_numpy().max() <= 0.18 + 1e-9
+    moved = got.diff().abs().sum(axis=1)
+    assert moved[[1, 2, 4]].max() <= 0.2 + 1e-6
+
+
+def test_cvar_of_any_size_and_incomplete_dates(spark):
+    from barweave.operators.sweep import cvar, cvar_weights
+
+    x, _, _ = market(3, b=1, days=300)
+    best = min(cvar(-x[0] @ g, 0.9) for g in GRID)
+    assert cvar(-x[0] @ cvar_weights(x[0], 0.9, 1.0, 2000)[0], 0.9) <= best * 1.01
+    x, _, _ = market(12, b=1, days=80)
+    rows = [(0, d, f"s{i:02d}", float(v)) for d, day in enumerate(x[0]) for i, v in enumerate(day) if (d, i) not in {(3, 4), (7, 0)}]
+    s = A.scenarios(spark.createDataFrame(rows, "id int, dt int, symbol string, ret double"), ["id"])
+    one = s.first()
+    assert len(one.scenarios) == 78 and {len(d) for d in one.scenarios} == {12}
+    got = A.min_cvar(s, ["id"], 12, cap=0.18).toPandas()
+    assert np.isclose(got.w.sum(), 1) and got.w.max() <= 0.18 + 1e-9 and set(got["status"]) == {"optimal"}

@@ -63,6 +63,28 @@ def test_fill_unbounded(ticks, spark):
     assert np.allclose(got["adj_close"], want)
 
 
+def test_fill_over_many_slices_and_partitions(spark):
+    """The value carried between slices does not depend on the order in which their rows meet."""
+    from barweave.operators.series import running
+    from pyspark.sql import functions as F
+
+    n = 4000
+    rows = [("k", i, None if i % 7 < 4 else float(i), None if i % 300 else float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, tick long, a double, b double").repartition(40)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for size in (130, 300):
+            out = running(df, ["symbol"], "tick", {"x": F.col("a"), "y": F.col("b")}, lambda v: F.last(v, ignorenulls=True), lambda b, h: F.coalesce(h, b), slice_rows=size)
+            got = out.toPandas().sort_values("tick")
+            want = pd.DataFrame(rows, columns=["s", "t", "a", "b"])[["a", "b"]].ffill()
+            assert np.allclose(got["x"], want["a"], equal_nan=True) and np.allclose(got["y"], want["b"])
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_asof_last(spark):
     from datetime import date
 
