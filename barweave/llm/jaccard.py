@@ -5,8 +5,9 @@ equal sets are one node. Two nodes link when 100 * intersection >= percent * uni
 
 Order 0 puts tokens that were counted often last and breaks ties by hash. Nodes that link must share
 a token within the prefixes that their sizes allow, so only prefix tokens are shuffled, and only those
-held by two or more nodes are kept. Orders 1 and 2 permute the hashes; a pair that shares no prefix
-token under each of them is dropped before its sets are compared.
+held in two or more places are kept. A pair then has to pass counts of tokens per hash bucket, whose
+smaller ones bound the intersection, and, with its sets at hand, orders 1 and 2, which permute the
+hashes: a pair that shares no prefix token under each of them is dropped before its sets are compared.
 
 A group of g near copies never becomes g * g pairs: each node first meets the most copied node of
 each of its tokens, links found so are closed to components, and only pairs of nodes in different
@@ -16,7 +17,7 @@ left out, so components are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,16 @@ from pyspark.sql import functions as F
 
 from barweave.llm.graph import components
 from barweave.llm.words import U, distinct, mix, shingles, slices, words
+from barweave.llm.ranks import unused
 from barweave.session import settle
 
 WIDTH, PERCENT = 5, 75
 #: counted tokens that order 0 knows by rank; others rank by hash alone. It bounds a broadcast, not the result.
 RANKED, RANK_FROM = 1 << 18, 8
+#: tokens that a task counts at a time
+RUN_TOKENS = 1 << 21
+#: size of the map of shared tokens (4 MB)
+HELD_BITS = 1 << 25
 #: rows of live nodes that may be broadcast (8 bytes each); beyond it the same join shuffles
 BROADCAST_ROWS = 1 << 20
 LOW = U((1 << 56) - 1)
@@ -42,6 +48,22 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]
         yield text.first, distinct(doc, value >> U(8), len(text.bounds) - 1)
 
 
+def _histogram(tokens: np.ndarray) -> bytes:
+    """Tokens per bucket of their lowest bits, one byte each; empty if a byte cannot hold a count."""
+    size = max(256, 1 << (len(tokens) // 4).bit_length())
+    held = np.bincount((tokens & U(size - 1)).astype(np.int64), minlength=size)
+    return held.astype(np.uint8).tobytes() if held.max() < 256 else b""
+
+
+def shared_at_most(x: bytes, y: bytes) -> float:
+    """A bound on the intersection of two sets from their histograms."""
+    if not x or not y:
+        return float("inf")
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
+    size = min(len(a), len(b))  # the larger one is folded, as both count by the lowest bits
+    return int(np.minimum(a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)).sum())
+
+
 def _node(tokens: np.ndarray) -> int:
     """64 bits that name a set: equal for equal sets."""
     if not len(tokens):
@@ -64,36 +86,49 @@ def _rank(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray])
 
 
 def _profiles(width: int):
+    """A row for every text (node and size), and one for every token that several nodes of a run of texts hold."""
+
+    def rows(batch: pa.RecordBatch, first: int, sets: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, n = np.array([_node(s) for s in sets], np.int64), len(sets)
+        # equal sets count once, as order 0 is about nodes
+        _, once = np.unique(nodes, return_index=True)
+        tokens, counts = np.unique(np.concatenate([sets[i] for i in once]), return_counts=True)
+        tokens, counts = tokens[counts > 1], counts[counts > 1]
+        none = pa.nulls(len(tokens), pa.int64())
+        first_of = np.zeros(n, bool)
+        first_of[once] = True
+        counts_of = [_histogram(s) if f and len(s) else None for s, f in zip(sets, first_of, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat([False, True], [n, len(tokens)])),
+                pa.concat_arrays([batch.column("doc_id").slice(first, n), none]),
+                pa.concat_arrays([batch.column("row_key").slice(first, n), none]),
+                pa.array(np.concatenate((nodes, tokens.astype(np.int64)))),
+                pa.array(np.concatenate(([len(s) for s in sets], counts)).astype(np.int64)),
+                pa.array([*counts_of, *[None] * len(tokens)], pa.binary()),
+            ],
+            names=["counted", "doc_id", "row_key", "node", "n", "histogram"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, all_tokens = [], [], []
+            held: list[np.ndarray] = []
+            first = size = 0
             for _, sets in _sets(batch.column("text"), width):
-                for s in sets:
-                    nodes.append(_node(s))
-                    sizes.append(len(s))
-                all_tokens.extend(sets)
-            n = len(nodes)
-            # equal sets count once, as order 0 is about nodes
-            _, once = np.unique(np.array(nodes, np.int64), return_index=True)
-            tokens, counts = np.unique(np.concatenate([all_tokens[i] for i in once] or [np.zeros(0, U)]), return_counts=True)
-            tokens, counts = tokens[counts > 1].view(np.int64), counts[counts > 1]
-            k = len(tokens)
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat([False, True], [n, k])),
-                    pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), none]),
-                    pa.concat_arrays([batch.column("text_key").cast(pa.int64()), none]),
-                    pa.array(np.concatenate((np.array(nodes, np.int64), tokens.astype(np.int64)))),
-                    pa.array(np.concatenate((np.array(sizes, np.int64), counts.astype(np.int64)))),
-                ],
-                names=["counted", "doc_id", "text_key", "node", "n"],
-            )
+                held.extend(sets)
+                size += sum(map(len, sets))
+                if size >= RUN_TOKENS:
+                    yield rows(batch, first, held)
+                    first, size, held = first + len(held), 0, []
+            if held:
+                yield rows(batch, first, held)
 
     return run
 
 
-def _postings(width: int, percent: int, table):
+def _postings(width: int, percent: int, table, held=None):
+    """Prefix tokens under order 0; with ``held``, only those whose bit in that map is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: set[int] = set()
@@ -110,15 +145,13 @@ def _postings(width: int, percent: int, table):
                 if parts:
                     kept = np.array(kept)
                     pos = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(parts).view(np.int64)),
-                            pa.array(np.repeat(np.array(nodes, np.int64), kept)),
-                            pa.array(np.repeat(np.array(sizes, np.int32), kept)),
-                            pa.array(pos.astype(np.int32)),
-                        ],
-                        names=["token", "node", "n", "pos"],
-                    )
+                    tokens = np.concatenate(parts)
+                    columns = [tokens.view(np.int64), np.repeat(np.array(nodes, np.int64), kept), np.repeat(np.array(sizes, np.int32), kept), pos.astype(np.int32)]
+                    if held is not None:
+                        bit = tokens & U(HELD_BITS - 1)
+                        some = ((held.value[bit >> U(6)] >> (bit & U(63))) & U(1)).astype(bool)
+                        columns = [c[some] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "pos"])
 
     return run
 
@@ -161,6 +194,18 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
+def _near(percent: int):
+    """Pairs whose histograms allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("x", "y", "n", "m")]
+            hit = [shared_at_most(x, y) >= needed(n, m, percent) for x, y, n, m in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +224,7 @@ def _ranking(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         .filter(F.col("n") >= RANK_FROM)
         .orderBy(F.desc("n"), "token")
         .limit(RANKED)
-        .toPandas()
+        .toArrow().to_pandas()
     )
     known = top["token"].to_numpy(np.int64).view(U)
     order = np.argsort(known)
@@ -189,6 +234,21 @@ def _ranking(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return known[order], classes[order], sieve
 
 
+def _held(shared: DataFrame) -> np.ndarray:
+    """A map of HELD_BITS bits, set for tokens that several nodes hold. Its size is fixed; with more
+    tokens it lets more others through, which the join after it removes."""
+    bit = F.col("token").bitwiseAND(HELD_BITS - 1)
+    words = shared.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow().to_pandas()
+    out = np.zeros(HELD_BITS // 64, U)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U)
+    return out
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Written keys, to be broadcast if they are few enough; else the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def _fits(pos: Column, n: Column, m: Column, percent: int) -> Column:
     """Whether a token at ``pos`` of a set of n can be the first shared one with a set of m."""
     return pos <= n - F.ceil(F.lit(percent) * (n + m) / (100 + percent))
@@ -205,9 +265,13 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs that link. Sets are read again only for nodes of pairs that their histograms allow."""
+    x, y = heads.select("node", "n", "histogram").toDF("a", "n", "x"), heads.select("node", "n", "histogram").toDF("b", "m", "y")
+    near = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_near(percent), "a long, b long"))
+    sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
+    return settle(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct())
 
 
 def _across(live: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -246,7 +310,7 @@ def _across(live: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node and component_id of every row of ``docs(doc_id, text)``; other columns are ignored.
+    """doc_id, n_shingles, row_key (a hash of id and text) and component_id of every row of ``docs(doc_id, text)``; other columns are ignored.
 
     ``component_id`` is the least doc_id reachable by links, its own included. A null, empty or blank
     text has no shingles and links with nothing; fewer than ``width`` words are one shingle. Equal texts
@@ -254,49 +318,59 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     a component_id unless all of the component are null. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-    profiled = settle(rows.mapInArrow(_profiles(width), "counted boolean, doc_id long, text_key long, node long, n long"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text", "doc_id").alias("row_key"))
+    spec = "counted boolean, doc_id long, row_key long, node long, n long, histogram binary"
+    profiled = settle(rows.mapInArrow(_profiles(width), spec))
     own = profiled.filter("not counted").drop("counted")
+    heads = settle(
+        own.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies"), F.max("histogram").alias("histogram"))
+    )
     table = spark.sparkContext.broadcast(_ranking(profiled.filter("counted")))
 
-    postings = rows.select("text").mapInArrow(_postings(width, percent, table), "token long, node long, n int, pos int")
-    shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
-    live = settle(postings.join(shared, "token", "left_semi").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
-
-    nodes = settle(live.select("node").distinct())
-    texts = own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key").distinct()
-    if nodes.count() <= BROADCAST_ROWS:
-        texts = F.broadcast(texts)
-    sets = settle(
-        rows.join(texts, "text_key", "left_semi")
-        .select("text")
-        .mapInArrow(_tokens(width, table), "node long, tokens binary")
-        .join(nodes, "node", "left_semi")
-        .groupBy("node")
-        .agg(F.first("tokens").alias("tokens"))
-    )
+    spec = "token long, node long, n int, pos int"
+    postings = rows.select("text").mapInArrow(_postings(width, percent, table), spec)
+    shared = settle(postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token"))
+    held = spark.sparkContext.broadcast(_held(shared))
+    live = rows.select("text").mapInArrow(_postings(width, percent, table, held), spec).join(shared, "token", "left_semi")
+    live = settle(live.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        chosen = settle(heads.join(nodes, "node", "left_semi").select("row_key"))
+        return settle(rows.join(_small(chosen), "row_key", "left_semi").select("text").mapInArrow(_tokens(width, table), "node long, tokens binary"))
 
-    copies = own.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    hubs = live.join(copies, "node").groupBy("token").agg(F.max(F.struct("copies", "node", "n", "pos")).alias("hub"))
+    # a node with very many copies is the likeliest centre of a group of near copies
+    hubs = live.join(heads.select("node", "copies"), "node").groupBy("token").agg(F.max(F.struct("copies", "node", "n", "pos")).alias("hub"))
     toward = live.join(hubs.select("token", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("pos2")), "token")
-    links = _links(_pairs(toward, percent), sets, percent)
-    further = _links(_across(live, components(links), percent), sets, percent)
+    links = _links(_pairs(toward, percent), heads, sets_of, percent)
+    further = _links(_across(live, components(links), percent), heads, sets_of, percent)
     # pairs closed by the first links need no second look, so both tables together hold the components
     found = components(links.union(further))
 
     placed = own.join(found.withColumnRenamed("component", "_c"), "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
     least = placed.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; all texts without words stay.
+    """The rows of ``docs``, with all their columns, less all but one of each component.
 
-    Of repeated rows with that doc_id all stay but exact repeats of doc_id and text. Rows with a null
-    doc_id go only where their component has another document.
+    The document with the least doc_id stays (nulls last; of rows that share it, the one whose text hashes least),
+    and of repeated rows one. Texts without words all stay.
     """
-    found = jaccard_components(docs, width, percent)
-    drop = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["doc_id"]), "left_anti")
+    found = settle(jaccard_components(docs, width, percent).filter("n_shingles > 0"))
+    # components of null ids only have no component_id; each such row key stands for itself
+    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row_key")).alias("alone")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("k")
+    )
+    kept = kept.select(F.col("k.row_key").alias("row_key"))
+    gone = settle(found.select("row_key").distinct().join(kept, "row_key", "left_anti"))
+    name = unused(docs, "_row_key")
+    keyed = docs.withColumn(name, F.xxhash64("text", F.col("doc_id").cast("long")))
+    rows = keyed.join(_small(gone).withColumnRenamed("row_key", name), name, "left_anti")
+    again = settle(found.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(gone, "row_key", "left_anti").select(F.col("row_key").alias(name)))
+    if not again.isEmpty():  # repeated rows of what stays
+        once = rows.join(_small(again), name, "left_semi").dropDuplicates([name])
+        rows = rows.join(_small(again), name, "left_anti").unionByName(once)
+    return rows.drop(name)
