@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barweave.catalog.oracle import cte, d, r, with_ctes
@@ -14,6 +15,7 @@ from barweave.catalog.registry import query
 from barweave.operators import allocation as A
 from barweave.operators import covariance as C
 from barweave.operators import metrics as M
+from barweave.operators import returns as R
 from barweave.operators import sweep as S
 from barweave.plans import walkforward as B
 from barweave.session import settle
@@ -212,10 +214,10 @@ def _(spark, sf):
 
 @query(
     "top_holdings",
-    with_ctes(["invvol_raw"], f"SELECT window_id, symbol, {r('w')}, ROW_NUMBER() OVER (PARTITION BY window_id ORDER BY ROUND(w, 9) DESC, symbol) AS place FROM invvol_raw QUALIFY place <= 3"),
+    with_ctes(["invvol_raw"], f"SELECT window_id, symbol, {r('w')}, ROW_NUMBER() OVER (PARTITION BY window_id ORDER BY ROUND(w, 9) DESC, symbol) AS place FROM invvol_raw QUALIFY place <= 5"),
 )
 def _(spark, sf):
-    return A.top_holdings(A.inverse_vol_weights(split(spark, sf)[0], KEY), KEY, n=3)
+    return A.top_holdings(A.inverse_vol_weights(split(spark, sf)[0], KEY), KEY, n=5)
 
 
 _ALL = "(SELECT portfolio_id, r_name AS symbol FROM (SELECT DISTINCT portfolio_id FROM ports), region)"
@@ -247,14 +249,18 @@ def _(spark, sf):
     return A.validate_weights(portfolios(spark, sf), full_universe(spark, sf))
 
 
+# The parameter grid of the risk models, caps and entropy levels.
+CAPS = [None, 0.40, 0.35, 0.30, 0.25, 0.20]
+ENTROPIES = [0.0, 0.01, 0.02, 0.03]
+
+
 @query(
     "param_grid",
-    with_ctes(["win"], "SELECT CAST(n AS BIGINT) AS window_id, risk_model, cap, entropy FROM win, (VALUES ('sample'), ('ledoit_wolf'), ('oas')) a(risk_model), (VALUES (0.2e0), (0.25e0), (0.3e0)) b(cap), (VALUES (0e0), (0.01e0), (0.05e0), (0.1e0)) c(entropy)"),
+    with_ctes(["win"], """SELECT CAST(n AS BIGINT) AS window_id, risk_model, cap, entropy FROM win, (VALUES ('sample'), ('ledoit_wolf'), ('oas')) a(risk_model),
+      (VALUES (CAST(NULL AS DOUBLE)), (0.4e0), (0.35e0), (0.3e0), (0.25e0), (0.2e0)) b(cap), (VALUES (0e0), (0.01e0), (0.02e0), (0.03e0)) c(entropy)"""),
 )
 def _(spark, sf):
-    return A.expand_grid(
-        windows(spark, sf).select("window_id"), risk_model=["sample", "ledoit_wolf", "oas"], cap=[0.2, 0.25, 0.3], entropy=[0.0, 0.01, 0.05, 0.1]
-    )
+    return A.expand_grid(windows(spark, sf).select("window_id"), risk_model=["sample", "ledoit_wolf", "oas"], cap=CAPS, entropy=ENTROPIES)
 
 
 # portfolios of the whole history compared by method
@@ -305,11 +311,6 @@ def _(spark, sf):
 
 # ---- continuous weights for many tasks -------------------------------------------------------
 
-# The parameter grid of the risk models, caps and entropy levels.
-CAPS = [None, 0.40, 0.35, 0.30, 0.25, 0.20]
-ENTROPIES = [0.0, 0.01, 0.02, 0.03]
-
-
 def sweep_tasks(train):
     """Every window under every risk model, cap and entropy level."""
     parts = [B.window_problems(train, m).withColumn("risk_model", F.lit(m)) for m in C.COVARIANCES]
@@ -349,3 +350,76 @@ def _(spark, sf):
     return out.select("method", "window_id", "status", "ret", "vol", "sharpe", F.explode(F.arrays_zip("symbols", "w")).alias("_z")).select(
         "method", "window_id", "status", "ret", "vol", "sharpe", F.col("_z.symbols").alias("symbol"), F.col("_z.w").alias("w")
     )
+
+
+# ---- continuous weights, as facts that SQL can state -----------------------------------------
+
+
+def _facts(weights, cap):
+    w = F.col("w")
+    return weights.groupBy("window_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(w), 6).alias("total"), (F.max(w) <= cap + 1e-9).alias("within_cap"), (F.min(w) >= 0).alias("long_only")
+    )
+
+
+cte("brand_win", ("brand_ret", "win"), "SELECT CAST(n AS BIGINT) AS window_id, symbol, dt, ret FROM brand_ret JOIN win ON dt BETWEEN st AND te")
+
+
+def brand_train(spark, sf):
+    returns = R.simple_returns(D.brand_bars(spark, sf)).select("symbol", "dt", "ret")
+    return settle(B.split_rows(returns, windows(spark, sf)).filter("role = 'train'").drop("role"))
+
+
+@query(
+    "strategy_weights_brands",
+    with_ctes(["brand_win"], "SELECT window_id, COUNT(DISTINCT symbol) AS n, 1e0 AS total, TRUE AS within_cap, TRUE AS long_only FROM brand_win GROUP BY window_id"),
+)
+def _(spark, sf):
+    """A capped universe of 25 brands: more assets than the grid takes, and a cap between its steps."""
+    rows = A.problems(*moments(brand_train(spark, sf)), KEY)
+    return _facts(A.mv_best(rows, KEY, cap=0.18, entropy=0.03), 0.18)
+
+
+@query(
+    "turnover_chain_brands",
+    with_ctes(["brand_win"], """SELECT window_id, n, CASE WHEN prior IS NULL OR prior = names THEN TRUE END AS within_limit FROM (SELECT *, LAG(names) OVER (ORDER BY window_id) AS prior FROM
+      (SELECT window_id, COUNT(DISTINCT symbol) AS n, LIST_SORT(LIST(DISTINCT symbol)) AS names FROM brand_win GROUP BY window_id))"""),
+)
+def _(spark, sf):
+    """Windows of 25 brands, each within the turnover limit of the one before where both hold the same brands."""
+    rows = A.problems(*moments(brand_train(spark, sf)), KEY)
+    held = settle(A.mv_chain(rows, [], cap=0.18, entropy=0.03, max_turnover=0.3)).groupBy("window_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "w")))).alias("now"))
+    before = F.lag("now").over(Window.orderBy("window_id"))  # one row a window
+    moved = F.aggregate(F.map_entries("now"), F.lit(0.0), lambda a, e: a + F.abs(e["value"] - F.try_element_at(F.col("before"), e["key"])))
+    same = F.map_keys("now") == F.map_keys("before")
+    return held.withColumn("before", before).select(
+        "window_id", F.size("now").cast("long").alias("n"), F.when(F.col("before").isNull(), True).when(same, moved <= 0.3 + 1e-6).alias("within_limit")
+    )
+
+
+@query("mv_target_turnover", with_ctes(["win"], "SELECT CAST(n AS BIGINT) AS window_id, 'optimal' AS status, 1e0 AS total, TRUE AS reaches_target, TRUE AS within_limit FROM win"))
+def _(spark, sf):
+    """Least risk with a least return and a largest change from even weights at once."""
+    rows = settle(with_even_prev(_problems(split(spark, sf)[0])))
+    mean = F.aggregate("mu", F.lit(0.0), lambda a, x: a + x) / F.size("mu")
+    tasks = rows.withColumns({"target": mean + 0.25 * (F.array_max("mu") - mean), "max_turnover": F.lit(0.5)})
+    out = S.portfolio_sweep(tasks, KEY).join(rows.select("window_id", "prev"), list(KEY))
+    moved = F.aggregate(F.zip_with("w", "prev", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    return out.select(
+        "window_id", "status", F.round(total, 6).alias("total"), (F.col("ret") >= F.col("target") - 1e-6).alias("reaches_target"), (moved <= 0.5 + 1e-6).alias("within_limit")
+    )
+
+
+@query(
+    "scenarios_incomplete",
+    with_ctes(
+        ["train"],
+        """SELECT window_id, MAX(n) AS n_symbols, COUNT(*) AS n_dates FROM (SELECT window_id, dt, COUNT(*) AS k FROM train WHERE NOT (symbol = 'ASIA' AND EXTRACT(DAY FROM dt) % 3 = 0) GROUP BY ALL)
+        JOIN (SELECT window_id, COUNT(DISTINCT symbol) AS n FROM train GROUP BY window_id) USING (window_id) WHERE k = n GROUP BY window_id""",
+    ),
+)
+def _(spark, sf):
+    """Dates on which a symbol has no return give no scenario."""
+    train = split(spark, sf)[0].filter("not (symbol = 'ASIA' and day(dt) % 3 = 0)")
+    return A.scenarios(train, KEY).select("window_id", F.size("symbols").alias("n_symbols"), F.size("scenarios").alias("n_dates"))

@@ -126,7 +126,9 @@ def _(spark, sf):
 
 @query("time_series_cv")
 def _(spark, sf):
-    scores = settle(L.time_series_cv(table(spark, sf), RF))
+    # only training rows are seen, with the features chosen on them
+    train = settle(L.chronological_split(table(spark, sf))).filter("part = 'train'").drop("part")
+    scores = settle(L.time_series_cv(train, L.select_features(train, RF)))
     # five rows of scores and one of summary
     return scores.join(F.broadcast(L.cv_summary(scores)), F.lit(True))
 

@@ -9,6 +9,7 @@ from barweave.catalog.q_quality import WORLD, dirty, universe
 from barweave.catalog.registry import query
 from barweave.operators import quality as Q
 from barweave.operators import returns as R
+from barweave.operators.quality import fill_forward_backward
 from barweave.sources import derived as D
 
 W = "(PARTITION BY symbol ORDER BY dt)"
@@ -225,3 +226,21 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return R.latest_row(D.bars(spark, sf)).select("symbol", "dt", "adj_close", "volume")
+
+
+cte("holed", ("ticks",), "SELECT symbol, ts, CASE WHEN CAST(FLOOR(adj_close * 100) AS BIGINT) % 5 >= 2 THEN adj_close END AS adj_close FROM ticks")
+
+
+@query(
+    "fill_ticks",
+    with_ctes(
+        ["holed"],
+        f"""SELECT symbol, CAST(ts AS VARCHAR) AS ts, {r('COALESCE(LAST_VALUE(adj_close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FIRST_VALUE(adj_close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))', 'adj_close')}
+        FROM holed""",
+    ),
+)
+def _(spark, sf):
+    """Holes in ticks filled forward, then backward, over many slices."""
+    keep = F.floor(F.col("adj_close") * 100) % 5 >= 2
+    holed = D.ticks(spark, sf).withColumn("adj_close", F.when(keep, F.col("adj_close")))
+    return fill_forward_backward(holed, order="ts", cols=["adj_close"], slice_rows=256)

@@ -65,9 +65,9 @@ def drop_incomplete_bars(bars: DataFrame, cols: Sequence[str] = BAR_COLUMNS) ->
 
 
 def fill_forward_backward(
-    bars: DataFrame, key: Sequence[str] = ("symbol",), order: str = "dt", cols: Sequence[str] = BAR_COLUMNS
+    bars: DataFrame, key: Sequence[str] = ("symbol",), order: str = "dt", cols: Sequence[str] = BAR_COLUMNS, **kw
 ) -> DataFrame:
-    """Last earlier value, else first later value, per column."""
+    """Last earlier value, else first later value, per column. ``kw`` goes to `running`."""
     key = list(key)
     if calendar_bounded(bars, order):
         o = Window.partitionBy(*key).orderBy(order)
@@ -87,7 +87,7 @@ def fill_forward_backward(
         *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_first_{c}") for c in cols]
     )
     out = running(
-        bars, key, order, {f"_ff_{c}": F.col(c) for c in cols}, lambda x: F.last(x, ignorenulls=True), lambda b, h: F.coalesce(h, b)
+        bars, key, order, {f"_ff_{c}": F.col(c) for c in cols}, lambda x: F.last(x, ignorenulls=True), lambda b, h: F.coalesce(h, b), **kw
     )
     return (
         out.join(firsts, key, "left")

@@ -18,14 +18,14 @@ from barweave.operators.allocation import ENTROPY_EPS, RISK_AVERSION, VOL_EPS
 from barweave.schemas import RISK_FREE
 
 PARAMETERS = ["cap", "entropy", "turnover_penalty", "max_turnover", "target"]
-ROUNDS, HALVINGS, DOUBLINGS = 300, 50, 40
+ROUNDS, HALVINGS, NESTED, WIDENINGS = 300, 50, 28, 14
 STILL, NEAR = 1e-9, 1e-7
 FLOOR = 1e-4  # least weight in the curvature of the entropy
 
 
-def _halve(lo: np.ndarray, hi: np.ndarray, too_low) -> np.ndarray:
+def _halve(lo: np.ndarray, hi: np.ndarray, too_low, times: int = HALVINGS) -> np.ndarray:
     """Root per row of a function that ``too_low`` says lies above the middle."""
-    for _ in range(HALVINGS):
+    for _ in range(times):
         mid = (lo + hi) / 2
         up = too_low(mid)
         lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
@@ -61,7 +61,7 @@ def _to_simplex(y: np.ndarray, scale: np.ndarray, cap: np.ndarray, prev: np.ndar
     return at(t0 + np.clip(share, 0.0, 1.0) * (t1 - t0))
 
 
-def _within(y: np.ndarray, scale: np.ndarray, cap: np.ndarray, prev: np.ndarray, limit: np.ndarray) -> np.ndarray:
+def _within(y: np.ndarray, scale: np.ndarray, cap: np.ndarray, prev: np.ndarray, limit: np.ndarray, times: int = HALVINGS) -> np.ndarray:
     """Projection on the capped simplex, and where given on a largest change from ``prev``."""
     w = _to_simplex(y, scale, cap)
     far = np.flatnonzero(np.abs(w - prev).sum(1) > limit)
@@ -70,7 +70,7 @@ def _within(y: np.ndarray, scale: np.ndarray, cap: np.ndarray, prev: np.ndarray,
 
         near = lambda theta: _to_simplex(yf, df, cf, pf, theta[:, None] / df)
         top = (df * (np.abs(yf) + np.abs(pf) + 2.0)).max(1)
-        w[far] = near(_halve(np.zeros(far.size), top, lambda th: np.abs(near(th) - pf).sum(1) > lf))
+        w[far] = near(_halve(np.zeros(far.size), top, lambda th: np.abs(near(th) - pf).sum(1) > lf, times))
     return w
 
 
@@ -83,14 +83,15 @@ def _project(y: np.ndarray, scale: np.ndarray, cap: np.ndarray, mu: np.ndarray,
     short = np.flatnonzero((w * mu).sum(1) < target)
     if short.size:
         ys, ds, cs, ms, ts, ps, ls = (x[short] for x in (y, scale, cap, mu, target, prev, limit))
-        up = lambda lam: _within(ys + lam[:, None] * ms / ds, ds, cs, ps, ls)
+        times = NESTED if np.isfinite(ls).any() else HALVINGS  # a search within a search
+        up = lambda lam: _within(ys + lam[:, None] * ms / ds, ds, cs, ps, ls, times)
         hi = np.full(short.size, 1.0)
-        for _ in range(DOUBLINGS):
+        for _ in range(WIDENINGS):
             low = (up(hi) * ms).sum(1) < ts
             if not low.any():
                 break
-            hi = np.where(low, hi * 2, hi)
-        w[short] = up(_halve(np.zeros(short.size), hi, lambda lam: (up(lam) * ms).sum(1) < ts))
+            hi = np.where(low, hi * 8, hi)
+        w[short] = up(_halve(np.zeros(short.size), hi, lambda lam: (up(lam) * ms).sum(1) < ts, times))
     return w
 
 
@@ -142,6 +143,7 @@ def _descend(mu, cov, cap, entropy, penalty, limit, goal, prev, seek, rounds) ->
     w = _project(np.full((b, n), 1.0 / n), np.ones((b, n)), cap, mu, goal, prev, limit)
     f, step = value(w, every), np.ones(b)
     at = every  # rows that still move
+    rest = np.where(np.isfinite(limit) & np.isfinite(goal), 1e-5, STILL)  # as near as a search within a search comes
     for _ in range(rounds):
         g = slope(w[at], at)
         scale = (flat[at, None] + entropy[at, None] / np.maximum(w[at], FLOOR)) / step[at, None]
@@ -151,7 +153,7 @@ def _descend(mu, cov, cap, entropy, penalty, limit, goal, prev, seek, rounds) ->
         good = fn <= f[at] + (g * d).sum(1) + (scale * d * d).sum(1) / 2 + 1e-14
         w[at[good]], f[at[good]] = new[good], fn[good]
         step[at] = np.where(good, np.minimum(step[at] * 1.5, 50.0), step[at] * 0.5)
-        at = at[~good | (np.abs(d).max(1) > STILL)]
+        at = at[~good | (np.abs(d).max(1) > rest[at])]
         if not at.size:
             break
     still = np.ones(b, bool)
