@@ -374,3 +374,16 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         once = rows.join(_small(again), name, "left_semi").dropDuplicates([name])
         rows = rows.join(_small(again), name, "left_anti").unionByName(once)
     return rows.drop(name)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([array_to_string(ws[i:i+4], ' ') for i in range(1, len(ws) - 3)]) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
+u AS MATERIALIZED (SELECT doc_id, unnest(sh) AS t FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM u a JOIN u b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n_shingles + y.n_shingles - common)),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT l.b, r.reached FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, n_shingles, min(reached) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL
+"""

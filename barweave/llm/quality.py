@@ -167,3 +167,47 @@ def judged(docs: DataFrame, reach: float = REACH, least_rows: int = LEAST_ROWS)
         inside = inside & v.between(F.col(f"low_{name}"), F.col(f"high_{name}"))
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     return joined.select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & F.coalesce(inside, F.lit(False))).alias("kept"))
+
+
+def sql() -> str:
+    """The query over ``documents`` in SQL."""
+    step = repr(float(np.log(GROWTH)))
+    value = {
+        "symbol_share": "n_symbols / greatest(word_chars, 1)::DOUBLE", "line_share": "n_dup_lines / greatest(n_words, 1)::DOUBLE",
+        "repeat_share": "n_repeat_words / greatest(n_words, 1)::DOUBLE", "mean_word": "word_chars / greatest(n_words, 1)::DOUBLE",
+    }
+    entries = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, floor(ln({v} + {OFFSET}e0) / {step}) AS bucket FROM b WHERE NOT base_failed" for k, v in value.items())
+    quartile = lambda share: f"greatest(pow({GROWTH}e0, min(bucket) FILTER (seen >= {share}e0 * n) + 0.5e0) - {OFFSET}e0, 0e0)"
+
+    def level(name: str, by: str) -> str:
+        lead = f"{by}, " if by else ""
+        return f"""{name} AS (SELECT {lead}rule, max(n) AS n, {quartile(0.25)} AS lower, {quartile(0.75)} AS upper FROM (SELECT {lead}rule, bucket,
+          sum(k) OVER (PARTITION BY {lead}rule ORDER BY bucket) AS seen, sum(k) OVER (PARTITION BY {lead}rule) AS n
+          FROM (SELECT {lead}rule, bucket, count(*) AS k FROM e GROUP BY ALL)) GROUP BY {lead}rule)"""
+
+    pick = lambda c: f"CASE WHEN o.n >= {LEAST_ROWS} THEN o.{c} WHEN g.n >= {LEAST_ROWS} THEN g.{c} ELSE a.{c} END"
+    least = " ".join(f"WHEN '{k}' THEN {v}e0" for k, _, v in RULES)
+    low = " OR ".join(f"rule = '{k}'" for k, both, _ in RULES if both)
+    checks = " AND ".join(
+        f"{value[k]} <= max(high) FILTER (rule = '{k}') OVER m" + (f" AND {value[k]} >= max(low) FILTER (rule = '{k}') OVER m" if both else "") for k, both, _ in RULES
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g3 AS (SELECT rid, i, [ws[i], ws[i + 1], ws[i + 2]] AS gram FROM d, unnest(range(1, greatest(len(ws) - 1, 1))) AS t(i)),
+marked AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS k FROM g3) WHERE k > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM marked GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+c AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+e AS ({entries}),
+{level("own", "lang, source")}, {level("wide", "lang")}, {level("whole", "")},
+f AS (SELECT lang, source, rule, upper + spread AS high, CASE WHEN {low} THEN lower - spread END AS low FROM
+      (SELECT o.lang, o.source, rule, {pick("lower")} AS lower, {pick("upper")} AS upper, {REACH}e0 * greatest({pick("upper")} - {pick("lower")}, CASE rule {least} END) AS spread
+       FROM own o JOIN wide g USING (rule) JOIN whole a USING (rule) WHERE o.lang IS NOT DISTINCT FROM g.lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, FALSE) AS kept
+FROM (SELECT b.*, {checks} AS fits, row_number() OVER (PARTITION BY b.rid) AS nth FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
+      WINDOW m AS (PARTITION BY b.rid)) WHERE nth = 1
+"""

@@ -33,6 +33,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLE["op7_ngram_jaccard_join"] = jaccard.SQL
+
+
 @query
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of the token ids of every document, read back from the written shards."""
@@ -63,6 +66,9 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op4_adaptive_quality"] = quality.sql()
+
+
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and the target of its source."""
