@@ -96,13 +96,14 @@ cte(
     """SELECT CAST(k AS BIGINT) AS window_id, dt, CASE WHEN x < 252 + k * 63 THEN 'train' ELSE 'test' END AS role, x = 252 + k * 63 AS is_rebalance
     FROM adates, range(100000) t(k) WHERE k <= ((SELECT MAX(x) FROM adates) - 252) // 63 AND x >= k * 63 AND x < 252 + (k + 1) * 63""",
 )
-# labels of every fifth day only, so that most dates look back for the last one
+# for the as-of query alone: labels of every fifth day only, so that most dates look back for the last one
 cte("reg5", ("reg",), "SELECT dt, regime FROM reg WHERE (dt - DATE '1990-01-01') % 5 = 0")
-cte(
-    "awin",
-    ("asched", "reg5"),
-    """SELECT s.window_id, s.dt, COALESCE((SELECT MAX_BY(g.regime, g.dt) FROM reg5 g WHERE g.dt <= s.dt), 'Sideways') AS regime FROM asched s WHERE s.is_rebalance""",
-)
+for _name, _src in (("awin", "reg"), ("awin5", "reg5")):
+    cte(
+        _name,
+        ("asched", _src),
+        f"SELECT s.window_id, s.dt, COALESCE((SELECT MAX_BY(g.regime, g.dt) FROM {_src} g WHERE g.dt <= s.dt), 'Sideways') AS regime FROM asched s WHERE s.is_rebalance",
+    )
 cte("atrain", ("asched", "panel_ret"), "SELECT window_id, symbol, dt, ret FROM panel_ret JOIN asched USING (dt) WHERE role = 'train'")
 mu_cte("a_", "atrain")
 sample_cov_cte("a_", "atrain")
@@ -127,7 +128,7 @@ def known_labels(spark, sf):
     return settle(labels(spark, sf).filter(F.datediff("dt", F.lit("1990-01-01")) % 5 == 0).select("dt", "regime"))
 
 
-@query("asof_regime", with_ctes(["awin"], f"SELECT window_id, {d()}, regime FROM awin"))
+@query("asof_regime", with_ctes(["awin5"], f"SELECT window_id, {d()}, regime FROM awin5"))
 def _(spark, sf):
     # a few dates, written once: they are looked up and joined back
     schedule = settle(B.rebalance_rows(panel_rets(spark, sf)).filter("is_rebalance").select("window_id", "dt"))
@@ -139,7 +140,7 @@ def adaptive(spark, sf):
     returns = settle(panel_rets(spark, sf))
     schedule = settle(B.rebalance_rows(returns))
     at = settle(schedule.filter("is_rebalance").select("window_id", "dt"))
-    regimes = settle(asof_last(at, known_labels(spark, sf), "dt", "regime", default="Sideways"))
+    regimes = settle(asof_last(at, labels(spark, sf).select("dt", "regime"), "dt", "regime", default="Sideways"))
     train = returns.join(schedule.filter("role = 'train'").select("window_id", "dt"), "dt")
     return returns, schedule, settle(G.regime_weights(train, regimes, N, CAP))
 
