@@ -22,12 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barweave.llm.words import PUNCT, U, Text, shingles, slices, words
+from barweave.llm.words import PUNCT, U, runs, shingles, slices, words
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.75, 20
 BLOCKS, BLOCK_BITS = 4, 16
@@ -37,10 +36,6 @@ WINDOWS = 1 << 14  #: windows fingerprinted at a time
 BITS = np.array([bin(v).count("1") for v in range(1 << BLOCK_BITS)], np.uint8)
 
 
-def fold(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(column.cast(pa.large_string()))
-
-
 def bits(value: np.ndarray) -> np.ndarray:
     """-1 or 1 for every bit of every hash, one row a hash."""
     raw = np.unpackbits(np.ascontiguousarray(value.astype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -94,7 +89,7 @@ class Items:
 def prepare(ids: list[int], texts: list[str | None], width: int) -> Items | None:
     """Items with at least one word; None if there are none."""
     kept, sizes, sets = [], [], []
-    for text in slices(fold(pa.array(texts, pa.string()))):
+    for text in slices(pa.array(texts, pa.string()), fold=True):
         w = words(text, separators=PUNCT)
         doc, value = shingles(w, width)
         at = np.searchsorted(doc, np.arange(len(text.bounds)))
@@ -165,7 +160,7 @@ def search(column: pa.Array, items: Items, width: int, least: float, radius: int
     """(row, best windows) of every text that holds an item."""
     sieve = np.zeros(1 << 20, bool)
     sieve[items.vocabulary & U(len(sieve) - 1)] = True
-    for text in slices(fold(column)):
+    for text in slices(column, fold=True):
         w = words(text, separators=PUNCT)
         doc, value = shingles(w, width)
         known = sieve[value & U(len(sieve) - 1)]
@@ -238,7 +233,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, le
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in runs(whole)):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, _ in search(batch.column("text"), shared.value, width, least, radius)]] = False
                 yield batch.filter(pa.array(keep))

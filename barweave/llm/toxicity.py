@@ -18,14 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barweave.llm.decontaminate import fold
 from barweave.llm.langid import held_out
 from barweave.llm.ranks import unused
-from barweave.llm.words import BYTE, SPACE, U, Text, rolled, slices, span_hash
+from barweave.llm.words import BYTE, SPACE, U, Text, rolled, runs, slices, span_hash
 from barweave.session import settle
 
 BUCKETS, GRAMS = 1 << 20, (4, 6)
@@ -78,7 +78,7 @@ def _counts():
         held = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             label = batch.column("label").to_numpy(zero_copy_only=False)
-            for text in slices(fold(batch.column("text"))):
+            for text in slices(batch.column("text"), fold=True):
                 doc, bucket = features(text)
                 own = label[text.first + doc]
                 for k in (0, 1):
@@ -106,11 +106,11 @@ def _rows(chosen, terms: Sequence[Sequence[str]]):
                 out.extend(x.tolist() for x in np.split(bucket, np.searchsorted(doc, np.arange(1, len(text.bounds) - 1))))
             return out
 
-        for batch in batches:
-            plain = fold(batch.column("text")).fill_null("")
+        for batch in (part for whole in batches for part in runs(whole)):
+            plain = pc.utf8_lower(batch.column("text")).fill_null("")
             swapped = [exchange(t, terms, pattern) for t in plain.to_pylist()]
             names = pa.array([a != b for a, b in zip(plain.to_pylist(), swapped, strict=True)])
-            at, other = np.flatnonzero(names.to_numpy(zero_copy_only=False)), of(pa.array(swapped, pa.large_string()).filter(names))
+            at, other = np.flatnonzero(names.to_numpy(zero_copy_only=False)), of(pa.array(swapped, pa.string()).filter(names))
             turned: list[list[int] | None] = [None] * batch.num_rows
             for k, x in zip(at, other, strict=True):
                 turned[k] = x
@@ -198,9 +198,9 @@ def _scores(shared, name: str):
         model = shared.value
         wanted, weight = np.zeros(BUCKETS, bool), np.zeros(BUCKETS)
         wanted[model.buckets], weight[model.buckets] = True, model.weights
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs(whole)):
             score = np.full(batch.num_rows, model.bias)
-            for text in slices(fold(batch.column("text"))):
+            for text in slices(batch.column("text"), fold=True):
                 doc, bucket = features(text, wanted)
                 score[text.first : text.first + len(text.bounds) - 1] += np.bincount(doc, weight[bucket], minlength=len(text.bounds) - 1)
             value = np.round(1 / (1 + np.exp(-np.clip(score, -700, 700))), 6)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
@@ -71,23 +72,42 @@ class Words:
     per_doc: np.ndarray  #: number of words of every text
 
 
-def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[Text]:
-    """Consecutive runs of texts of about ``size`` bytes. A null text is an empty one."""
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Byte buffer and offsets of a text column without nulls, uncopied."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), at
+
+
+def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES, fold: bool = False) -> Iterator[Text]:
+    """Consecutive runs of texts of about ``size`` bytes, lower-cased on request. A null text is an empty one."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return
-    column = column.cast(pa.large_string()).fill_null("")
-    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    data, at = _bytes(column)
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
-        yield Text(data[at[first] : at[last]], at[first : last + 1] - at[first], first)
+        if fold:
+            own, to = _bytes(pc.utf8_lower(column.slice(first, last - first)))
+            yield Text(own[to[0] : to[-1]], to - to[0], first)
+        else:
+            yield Text(data[at[first] : at[last]], at[first : last + 1] - at[first], first)
         first = last
 
 
+def runs(batch: pa.RecordBatch, size: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, with about ``size`` bytes of text at a time, uncopied."""
+    for text in slices(batch.column("text"), size):
+        yield batch.slice(text.first, len(text.bounds) - 1)
+
+
 def rolled(values: np.ndarray) -> np.ndarray:
     """Prefix sums of values[i] * BASE ** i, one longer than the input."""
     out = np.zeros(len(values) + 1, U)
