@@ -31,7 +31,7 @@ END_ID = 0
 FOOTER = "<8sQQQQQQ"  #: magic, bytes of an id, ids, null doc_ids, where boundaries, doc_ids and the footer begin
 MAGIC = b"BWTOKID1"
 #: pieces of text whose ids a worker keeps; others are encoded once for each slice of text
-KEPT_PIECES, SLICE_CHARS, BLOCK_IDS = 500_000, 1 << 20, 1 << 20
+KEPT_PIECES, SLICE_CHARS, BLOCK_IDS = 250_000, 1 << 20, 1 << 20
 
 
 class Pieces(dict):
