@@ -2,7 +2,7 @@
 
 Text is lower-cased and cut at everything but letters, digits and non-ASCII characters. A shingle is
 ``width`` words and weighs 1/2 + 1/(2 * items that hold it), at most 1, so wording that items share
-counts less. A window of a document has as many words as the item it is held against (all words of a
+counts less. Items are counted over the whole benchmark, those of equal words once. A window of a document has as many words as the item it is held against (all words of a
 shorter document). Its fingerprint has 64 bits: bit k is set when the weights of shingles whose hash
 has bit k exceed the others.
 
@@ -12,11 +12,13 @@ the radius. Candidates are decided by the weighted Jaccard similarity of their s
 
 Only windows are fingerprinted that hold enough shingles of the benchmark to reach the similarity at
 all (3/8 of the item's at 0.75): a bound that loses nothing. Items are handled in groups of bounded size,
-a pass over the documents each, so what is sent to the executors does not grow with the benchmark.
+a pass over the documents each. Beyond the group, 16 bytes are sent for every shingle that several items
+of the benchmark hold.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barweave.llm.words import PUNCT, U, runs, shingles, slices, words
+from barweave.session import settle
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.75, 20
 BLOCKS, BLOCK_BITS = 4, 16
@@ -53,22 +56,38 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A group of benchmark items, ready to be looked up. Picklable without its block tables."""
+    """A group of benchmark items, ready to be looked up. Picklable without its block tables and fingerprints."""
 
-    ids: list[int]
+    ids: list[list[int | None]]  #: item_ids of each text
     sizes: np.ndarray  #: words
     sets: list[np.ndarray]
     vocabulary: np.ndarray
     weights: np.ndarray
-    prints: np.ndarray
+    prints: np.ndarray | None = None
+    #: shingles of the whole benchmark that several items hold, ascending, and their weights
+    common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U), np.zeros(0))
+
+    def __post_init__(self):
+        sizes = np.array([len(s) for s in self.sets], np.int64)
+        at = np.searchsorted(self.vocabulary, np.concatenate([*self.sets, np.zeros(0, U)]))
+        #: per item, places of its shingles in the vocabulary; per shingle, the items that hold it
+        self.places = np.split(at, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        owner = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(at, kind="stable")]
+        self.holding, self.first = owner, np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(self.vocabulary)))))
+        self.totals = np.array([self.weights[p].sum() for p in self.places])
 
     def weight(self, value: np.ndarray) -> np.ndarray:
-        """Weights of shingles; one that no item holds weighs 1."""
-        at = np.minimum(np.searchsorted(self.vocabulary, value), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == value, self.weights[at], np.float32(1))
+        """Weights of shingles; one that no two items of the benchmark hold weighs 1."""
+        return weighed(value, self.common)
+
+    def print_of(self, item: int) -> np.ndarray:
+        s = self.sets[item]
+        return fingerprints((self.weight(s)[:, None] * bits(s)).sum(0, keepdims=True))
 
     def blocks(self, radius: int) -> list[np.ndarray]:
         """For each block, a bit set of the items near each of its values."""
+        if self.prints is None:
+            self.prints = np.concatenate([self.print_of(m) for m in range(len(self.sets))])
         held = getattr(self, "_blocks", None)
         if held is None or held[0] != radius:
             tables = []
@@ -82,117 +101,169 @@ class Items:
             held = self._blocks = (radius, tables)
         return held[1]
 
+    def near(self, starts: np.ndarray, value: np.ndarray, weight: np.ndarray, span: int, item: int, radius: int) -> np.ndarray:
+        """Whether the fingerprints of windows are within ``radius`` of an item's."""
+        tables, out = self.blocks(radius), np.zeros(len(starts), bool)
+        for k in range(0, len(starts), WINDOWS):
+            at = starts[k : k + WINDOWS]
+            a, b = at[0], at[-1] + span
+            sums = np.zeros((b - a + 1, 64))
+            np.cumsum(weight[a:b, None] * bits(value[a:b]), axis=0, out=sums[1:])
+            prints = fingerprints(sums[at - a + span] - sums[at - a])
+            close = np.zeros(len(at), bool)
+            for block, table in enumerate(tables):
+                close |= (table[(prints >> U(BLOCK_BITS * block)) & U(0xFFFF), item // 8] >> (item % 8) & 1).astype(bool)
+            out[k : k + WINDOWS] = close & (distance(prints, self.prints[item]) <= radius)
+        return out
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_blocks"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_blocks", "common")}
 
 
-def prepare(ids: list[int], texts: list[str | None], width: int) -> Items | None:
-    """Items with at least one word; None if there are none."""
-    kept, sizes, sets = [], [], []
-    for text in slices(pa.array(texts, pa.string()), fold=True):
-        w = words(text, separators=PUNCT)
-        doc, value = shingles(w, width)
-        at = np.searchsorted(doc, np.arange(len(text.bounds)))
-        for k, n in enumerate(w.per_doc):
-            if n:
-                kept.append(ids[text.first + k])
-                sizes.append(int(n))
-                sets.append(np.unique(value[at[k] : at[k + 1]]))
-    if not kept:
-        return None
-    vocabulary, holders = np.unique(np.concatenate(sets), return_counts=True)
-    items = Items(kept, np.array(sizes), sets, vocabulary, (0.5 + 0.5 / holders).astype(np.float32), np.zeros(0, U))
-    items.prints = np.concatenate([fingerprints((items.weight(s)[:, None] * bits(s)).sum(0, keepdims=True)) for s in sets])
-    return items
-
-
-def similarity(a: np.ndarray, b: np.ndarray, items: Items) -> float:
-    """Weighted Jaccard similarity of two sets of shingles."""
-    both = items.weight(np.intersect1d(a, b)).sum(dtype=np.float64)
-    return both / (items.weight(a).sum(dtype=np.float64) + items.weight(b).sum(dtype=np.float64) - both)
-
-
-def _search(value: np.ndarray, n_words: int, items: Items, known: np.ndarray, width: int, least: float, radius: int) -> dict[int, tuple]:
+def weighed(value: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    if not len(common[0]):
+        return np.ones(len(value))
+    at = np.minimum(np.searchsorted(common[0], value), len(common[0]) - 1)
+    return np.where(common[0][at] == value, common[1][at], 1.0)
+
+
+def _shingled(width: int):
+    """Words, shingles and a name of its word sequence for every item with at least one word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in slices(batch.column("text"), fold=True):
+                w = words(text, separators=PUNCT)
+                doc, value = shingles(w, width)
+                at = np.searchsorted(doc, np.arange(len(text.bounds)))
+                first = np.concatenate(([0], np.cumsum(w.per_doc)))
+                kept = np.flatnonzero(w.per_doc)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("item_id").take(pa.array(text.first + kept)),
+                        pa.array([hashlib.sha256(w.hash[first[k] : first[k + 1]].tobytes()).digest() for k in kept], pa.binary()),
+                        pa.array(w.per_doc[kept].astype(np.int64)),
+                        pa.array([np.unique(value[at[k] : at[k + 1]]).view(np.int64) for k in kept], pa.list_(pa.int64())),
+                    ],
+                    names=["item_id", "item", "n_words", "shingles"],
+                )
+
+    return run
+
+
+def prepared(benchmark: DataFrame, width: int) -> DataFrame:
+    """A row for every distinct word sequence of the benchmark: ids, n_words, shingles."""
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_shingled(width), "item_id long, item binary, n_words long, shingles array<long>")
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("item_id"))), lambda x: x["item_id"])  # a null id is an id
+    return settle(rows.groupBy("item").agg(ids.alias("ids"), F.first("n_words").alias("n_words"), F.first("shingles").alias("shingles")).drop("item"))
+
+
+def shared_weights(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of all items hold, ascending, and their weights."""
+    held = items.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").toArrow()
+    shingle = held["shingle"].to_numpy().astype(np.int64).view(U)
+    order = np.argsort(shingle)
+    return shingle[order], 0.5 + 0.5 / held["holders"].to_numpy()[order]
+
+
+def _starts(width: int, span: int, place: np.ndarray, before: np.ndarray, amount: np.ndarray) -> np.ndarray:
+    """For each of ``width`` window starts, the sum of ``amount`` over the distinct shingles at ``place`` in ``span`` from there.
+
+    A place counts in the windows that begin behind the same shingle's place ``before``.
+    """
+    low, high = np.maximum(np.maximum(before + 1, place - span + 1), 0), np.minimum(place + 1, width)
+    some = low < high
+    step = np.bincount(low[some], amount[some], width + 1) - np.bincount(high[some], amount[some], width + 1)
+    return np.cumsum(step)[:width]
+
+
+def _search(value: np.ndarray, n_words: int, items: Items, at: np.ndarray, word: np.ndarray, width: int, least: float, radius: int | None) -> dict[int, tuple]:
     """The best window of one document for each item: item -> (similarity, -start, words, distance).
 
-    value: shingles in order; known: which are of the benchmark.
+    value: shingles in order; at: places of those that the benchmark holds; word: these in its vocabulary.
     """
+    # no window shares more of an item than the document does
+    own = np.unique(word)
+    count = items.first[own + 1] - items.first[own]
+    holder = items.holding[np.repeat(items.first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    weight = np.bincount(holder, np.repeat(items.weights[own], count), len(items.sets))
+    maybe = weight >= least * items.totals - 1e-6
+    maybe &= (items.sizes >= width) == (n_words >= width)
+    maybe &= (items.sizes >= width) | (items.sizes == n_words)
     best: dict[int, tuple] = {}
-    hits = np.concatenate(([0], np.cumsum(known)))
-    tables = items.blocks(radius)
-    for size in np.unique(items.sizes):
-        if (size < width) != (n_words < width) or (size < width and size != n_words):
-            continue
-        span = max(1, min(int(size), n_words) - width + 1)  # shingles of a window
-        count = len(value) - span + 1
-        # a set that reaches the similarity shares that part of the item's weight, and a weight is 1/2 to 1
-        need = max(1, int(np.ceil(least / 2 * min(span, max(1, int(size) - width + 1)) - 1e-9))) if least > 0 else 0
-        starts = np.flatnonzero(hits[span:] - hits[:count] >= need)
-        if not len(starts):
-            continue
-        which = np.flatnonzero(items.sizes == size)
-        mask = np.zeros(8 * tables[0].shape[1], bool)
-        mask[which] = True
-        for k in range(0, len(starts), WINDOWS):
-            at = starts[k : k + WINDOWS]
-            a, b = at[0], at[-1] + span
-            sums = np.zeros((b - a + 1, 64), np.float32)
-            part = value[a:b]
-            np.cumsum(items.weight(part)[:, None] * bits(part), axis=0, out=sums[1:], dtype=np.float32)
-            prints = fingerprints(sums[at - a + span] - sums[at - a])
-            near = np.zeros((len(at), tables[0].shape[1]), np.uint8)
-            for block, near_of in enumerate(tables):
-                near |= near_of[(prints >> U(BLOCK_BITS * block)) & U(0xFFFF)]
-            row, item = np.nonzero(np.unpackbits(near, axis=1, bitorder="little").astype(bool) & mask)
-            far = distance(prints[row], items.prints[item])
-            order = np.flatnonzero(far <= radius)
-            for i in order[np.lexsort((at[row[order]], far[order]))]:
-                start, m = int(at[row[i]]), int(item[i])
-                if best.get(m, (0.0,))[0] >= 1.0:
-                    continue
-                found = similarity(np.unique(value[start : start + span]), items.sets[m], items)
-                if found >= least - 1e-9:
-                    best[m] = max(best.get(m, (0.0, 0, 0, 0)), (float(found), -start, min(int(size), n_words), int(far[i])))
+    for m in np.flatnonzero(maybe & (weight > 0)):
+        mine = at[np.isin(word, items.places[m])]
+        size = int(items.sizes[m])
+        span = max(1, min(size, n_words) - width + 1)  # shingles of a window
+        a, b = max(0, int(mine[0]) - span + 1), min(len(value), int(mine[-1]) + span)
+        part = value[a:b]
+        order = np.argsort(part, kind="stable")
+        before = np.full(len(part), -1)
+        same = part[order[1:]] == part[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        each, every, mine = items.weight(part), np.arange(len(part)), mine - a
+        starts = len(part) - span + 1
+        both = _starts(starts, span, mine, before[mine], each[mine])
+        similar = np.round(both / (_starts(starts, span, every, before, each) + items.totals[m] - both), 9)
+        fits = np.flatnonzero((similar >= least - 1e-9) & (both > 1e-9))
+        if radius is not None and len(fits):
+            fits = fits[items.near(fits, part, each, span, m, radius)]
+        if len(fits):
+            k = int(fits[np.argmax(similar[fits])])
+            own_print = fingerprints((each[k : k + span, None] * bits(part[k : k + span])).sum(0, keepdims=True))
+            best[int(m)] = (float(similar[k]), -(a + k), min(size, n_words), int(distance(own_print, items.print_of(m))[0]))
     return best
 
 
-def search(column: pa.Array, items: Items, width: int, least: float, radius: int) -> Iterator[tuple[int, dict[int, tuple]]]:
+def search(column: pa.Array, items: Items, width: int, least: float, radius: int | None) -> Iterator[tuple[int, dict[int, tuple]]]:
     """(row, best windows) of every text that holds an item."""
     sieve = np.zeros(1 << 20, bool)
     sieve[items.vocabulary & U(len(sieve) - 1)] = True
     for text in slices(column, fold=True):
         w = words(text, separators=PUNCT)
         doc, value = shingles(w, width)
-        known = sieve[value & U(len(sieve) - 1)]
-        maybe = np.flatnonzero(known)
-        at = np.minimum(np.searchsorted(items.vocabulary, value[maybe]), len(items.vocabulary) - 1)
-        known[maybe] = items.vocabulary[at] == value[maybe]
+        maybe = np.flatnonzero(sieve[value & U(len(sieve) - 1)])
+        word = np.minimum(np.searchsorted(items.vocabulary, value[maybe]), len(items.vocabulary) - 1)
+        known = items.vocabulary[word] == value[maybe]
+        at, word = maybe[known], word[known]
         bounds = np.searchsorted(doc, np.arange(len(text.bounds)))
-        for k in np.unique(doc[known]):
-            a, b = bounds[k], bounds[k + 1]
-            if found := _search(value[a:b], int(w.per_doc[k]), items, known[a:b], width, least, radius):
+        hits = np.searchsorted(at, bounds)
+        for k in np.flatnonzero(np.diff(hits)):
+            a, b, part = bounds[k], bounds[k + 1], slice(hits[k], hits[k + 1])
+            if found := _search(value[a:b], int(w.per_doc[k]), items, at[part] - a, word[part], width, least, radius):
                 yield text.first + int(k), found
 
 
-def groups(benchmark: DataFrame, width: int) -> Iterator[Items]:
-    """The items in ascending order, GROUP_ITEMS or GROUP_BYTES at a time; one longer item stands alone."""
-    ids, texts, size = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id").toLocalIterator():
-        ids.append(row.item_id)
-        texts.append(row.text)
-        size += len(row.text or "")
+def groups(items: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Iterator[Items]:
+    """The prepared items, GROUP_ITEMS or GROUP_BYTES at a time; one longer item stands alone."""
+    ids, sizes, sets, size = [], [], [], 0
+
+    def group() -> Items:
+        vocabulary = np.unique(np.concatenate(sets))
+        return Items(ids, np.array(sizes), sets, vocabulary, weighed(vocabulary, common))
+
+    for row in items.toLocalIterator():
+        ids.append(row.ids)
+        sizes.append(row.n_words)
+        sets.append(np.sort(np.array(row.shingles, np.int64).view(U)))
+        size += 8 * (len(row.shingles) + len(row.ids))
         if len(ids) >= GROUP_ITEMS or size >= GROUP_BYTES:
-            if items := prepare(ids, texts, width):
-                yield items
-            ids, texts, size = [], [], 0
-    if ids and (items := prepare(ids, texts, width)):
-        yield items
+            yield group()
+            ids, sizes, sets, size = [], [], [], 0
+    if ids:
+        yield group()
+
+
+def ready(shared, common) -> Items:
+    """A group in a task, with the weights of the whole benchmark."""
+    shared.value.common = common.value
+    return shared.value
 
 
 HITS = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
     """A row for every document and benchmark item that it holds, with its best window.
 
     Columns: doc_id, item_id, similarity (weighted, rounded to 6 digits), start_word and n_words of the window,
@@ -203,14 +274,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     """
     spark = docs.sparkSession
 
-    def finder(shared):
+    def finder(shared, common):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = ready(shared, common)
             for batch in batches:
                 ids = batch.column("doc_id")
                 rows = [
-                    (ids[row].as_py(), shared.value.ids[m], round(s, 6), -start, n, far)
-                    for row, found in search(batch.column("text"), shared.value, width, least, radius)
+                    (ids[row].as_py(), item, round(s, 6), -start, n, far)
+                    for row, found in search(batch.column("text"), items, width, least, radius)
                     for m, (s, start, n, far) in sorted(found.items())
+                    for item in items.ids[m]
                 ]
                 columns = zip(*rows, strict=True) if rows else [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
@@ -220,22 +293,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
 
     out = None
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    for items in groups(benchmark, width):
-        part = rows.mapInArrow(finder(spark.sparkContext.broadcast(items)), HITS)
+    items = prepared(benchmark, width)
+    weights = shared_weights(items)
+    common = spark.sparkContext.broadcast(weights)
+    for group in groups(items, weights):
+        part = rows.mapInArrow(finder(spark.sparkContext.broadcast(group), common), HITS)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    out = docs
-    for items in groups(benchmark, width):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    out, context = docs, docs.sparkSession.sparkContext
+    items = prepared(benchmark, width)
+    weights = shared_weights(items)
+    common = context.broadcast(weights)
+    for group in groups(items, weights):
+        shared = context.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = ready(shared, common)
             for batch in (part for whole in batches for part in runs(whole)):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[row for row, _ in search(batch.column("text"), shared.value, width, least, radius)]] = False
+                keep[[row for row, _ in search(batch.column("text"), items, width, least, radius)]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -94,3 +94,45 @@ def test_hamming_blocks_lose_nothing():
             for b, t in enumerate(tables):
                 near |= t[(flipped >> 16 * b) & 0xFFFF]
             assert np.unpackbits(near, bitorder="little")[i]
+
+
+def holds(docs, items, plain):
+    """Pairs by brute force: weights over distinct word sequences, and plain Jaccard on request."""
+    distinct = {}
+    for _, t in items:
+        distinct.setdefault(tuple(shingled(t or "")[1]), set(shingled(t or "")[0]))
+    held = [x for s in distinct.values() for x in s]
+    holders = {x: held.count(x) for x in set(held)}
+    weight = lambda s: sum(0.5 + 0.5 / holders.get(x, 1) for x in s)
+    out = set()
+    for d, text in docs:
+        sh, w = shingled(text)
+        for i, t in items:
+            own, span = set(shingled(t)[0]), max(1, min(len(shingled(t)[1]), len(w)) - 4)
+            for a in (set(sh[k : k + span]) for k in range(len(sh) - span + 1)):
+                if weight(a & own) >= (0.75 - 1e-9) * weight(a | own) or plain and len(a & own) >= 0.75 * len(a | own):
+                    out.add((d, i))
+    return out
+
+
+def templates(rng, n, words):
+    """Items of which pairs share half their words, and copies of them with words replaced."""
+    word = lambda: f"w{rng.randrange(10**5)}"
+    items, docs = [], []
+    for k in range(n):
+        half = [word() for _ in range(words // 2)]
+        items += [(2 * k + j, " ".join(half + [word() for _ in range(words - len(half))])) for j in (0, 1)]
+    for k in range(6 * n):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            w[rng.randrange(len(w))] = word()
+        docs.append((k, " ".join([word() for _ in range(9)] + w + [word() for _ in range(9)])))
+    rng.shuffle(items)
+    return docs, [(k, t) for k, (_, t) in enumerate(items)]
+
+
+def test_groups_do_not_change_results(spark, monkeypatch):
+    docs, items = templates(random.Random(3), 20, 40)
+    whole = found(spark, docs, items)
+    monkeypatch.setattr(D, "GROUP_ITEMS", 7)
+    assert found(spark, docs, items) == whole != {}
