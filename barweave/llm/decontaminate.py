@@ -1,19 +1,20 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
+"""Benchmark decontamination: exact similarity of all item-sized windows, with their SimHash distance.
 
 Text is lower-cased and cut at everything but letters, digits and non-ASCII characters. A shingle is
 ``width`` words and weighs 1/2 + 1/(2 * items that hold it), at most 1, so wording that items share
-counts less. Items are counted over the whole benchmark, those of equal words once. A window of a document has as many words as the item it is held against (all words of a
-shorter document). Its fingerprint has 64 bits: bit k is set when the weights of shingles whose hash
-has bit k exceed the others.
-
-The 64 bits are four blocks of 16. Two fingerprints within ``radius`` agree in some block up to
-radius // 4 bits, so a table per block from value to items within that many bits finds every item within
-the radius. Candidates are decided by the weighted Jaccard similarity of their shingle sets.
-
-Only windows are fingerprinted that hold enough shingles of the benchmark to reach the similarity at
-all (3/8 of the item's at 0.75): a bound that loses nothing. Items are handled in groups of bounded size,
-a pass over the documents each. Beyond the group, 16 bytes are sent for every shingle that several items
-of the benchmark hold.
+counts less. Items are counted over the whole benchmark, those of equal words once. A window of a
+document has as many words as the item it is held against (all words of a shorter document). Its
+fingerprint has 64 bits: bit k is set when the weights of shingles whose hash has bit k exceed the others.
+
+Every window is decided by the exact weighted Jaccard similarity of shingle sets. Only items are held
+against a document of which it holds enough shingles to reach the similarity at all, a bound that
+loses nothing; sums over all windows of their distinct shingles are then taken at once. Fingerprints are
+reported, and choose windows only where a ``radius`` is asked for, which loses pairs: the 64 bits are four blocks
+of 16, and two fingerprints within ``radius`` agree in some block up to radius // 4 bits, so a table per
+block from value to items within that many bits finds every item within the radius.
+
+Items are handled in groups of bounded size, a pass over the documents each. Beyond the group, 16 bytes
+are sent for every shingle that several items of the benchmark hold.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from barweave.llm.words import PUNCT, U, runs, shingles, slices, words
 from barweave.session import settle
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.75, 20
+WIDTH, SIMILARITY = 5, 0.75
 BLOCKS, BLOCK_BITS = 4, 16
 #: items and bytes of item text sent to the executors at a time
 GROUP_ITEMS, GROUP_BYTES = 4096, 4 << 20
@@ -263,7 +264,7 @@ def ready(shared, common) -> Items:
 HITS = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """A row for every document and benchmark item that it holds, with its best window.
 
     Columns: doc_id, item_id, similarity (weighted, rounded to 6 digits), start_word and n_words of the window,
@@ -302,7 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
     out, context = docs, docs.sparkSession.sparkContext
     items = prepared(benchmark, width)

@@ -136,3 +136,18 @@ def test_groups_do_not_change_results(spark, monkeypatch):
     whole = found(spark, docs, items)
     monkeypatch.setattr(D, "GROUP_ITEMS", 7)
     assert found(spark, docs, items) == whole != {}
+
+
+def test_every_pair_at_the_similarity_is_found(spark):
+    """3,000 copies with inner words replaced; half of the items share half their words with a twin."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**5)}"
+    items = [(k, " ".join(word() for _ in range(rng.choice((39, 40, 41))))) for k in range(20)]
+    items += [(k + 20, " ".join(t.split()[:30] + [word() for _ in range(10)])) for k, t in items[:10]]
+    docs = []
+    for k in range(3000):
+        w = rng.choice(items)[1].split()
+        w[rng.randrange(5, len(w) - 5)] = word()
+        docs.append((k, " ".join(w)))
+    want = holds(docs, items, False)
+    assert len(want) > 1000 and set(found(spark, docs, items)) >= want
