@@ -6,7 +6,8 @@ counts less. Items are counted over the whole benchmark, those of equal words on
 document has as many words as the item it is held against (all words of a shorter document). Its
 fingerprint has 64 bits: bit k is set when the weights of shingles whose hash has bit k exceed the others.
 
-Every window is decided by the exact weighted Jaccard similarity of shingle sets. Only items are held
+Every window is decided by the exact weighted Jaccard similarity of shingle sets, and where none reaches it by
+the plain one, so that wording shared by items does not hide an edited copy. Only items are held
 against a document of which it holds enough shingles to reach the similarity at all, a bound that
 loses nothing; sums over all windows of their distinct shingles are then taken at once. Fingerprints are
 reported, and choose windows only where a ``radius`` is asked for, which loses pairs: the 64 bits are four blocks
@@ -75,6 +76,7 @@ class Items:
         self.places = np.split(at, np.cumsum(sizes)[:-1]) if len(sizes) else []
         owner = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(at, kind="stable")]
         self.holding, self.first = owner, np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(self.vocabulary)))))
+        self.lengths = sizes
         self.totals = np.array([self.weights[p].sum() for p in self.places])
 
     def weight(self, value: np.ndarray) -> np.ndarray:
@@ -188,7 +190,7 @@ def _search(value: np.ndarray, n_words: int, items: Items, at: np.ndarray, word:
     count = items.first[own + 1] - items.first[own]
     holder = items.holding[np.repeat(items.first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())]
     weight = np.bincount(holder, np.repeat(items.weights[own], count), len(items.sets))
-    maybe = weight >= least * items.totals - 1e-6
+    maybe = (weight >= least * items.totals - 1e-6) | (np.bincount(holder, minlength=len(items.sets)) >= least * items.lengths - 1e-6)
     maybe &= (items.sizes >= width) == (n_words >= width)
     maybe &= (items.sizes >= width) | (items.sizes == n_words)
     best: dict[int, tuple] = {}
@@ -206,6 +208,9 @@ def _search(value: np.ndarray, n_words: int, items: Items, at: np.ndarray, word:
         starts = len(part) - span + 1
         both = _starts(starts, span, mine, before[mine], each[mine])
         similar = np.round(both / (_starts(starts, span, every, before, each) + items.totals[m] - both), 9)
+        if similar.max(initial=0) < least - 1e-9:
+            both = _starts(starts, span, mine, before[mine], np.ones(len(mine)))
+            similar = np.round(both / (_starts(starts, span, every, before, np.ones(len(part))) + items.lengths[m] - both), 9)
         fits = np.flatnonzero((similar >= least - 1e-9) & (both > 1e-9))
         if radius is not None and len(fits):
             fits = fits[items.near(fits, part, each, span, m, radius)]
@@ -267,7 +272,7 @@ HITS = "doc_id long, item_id long, similarity double, start_word long, n_words l
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """A row for every document and benchmark item that it holds, with its best window.
 
-    Columns: doc_id, item_id, similarity (weighted, rounded to 6 digits), start_word and n_words of the window,
+    Columns: doc_id, item_id, similarity (weighted or, where no window reaches ``least`` so, plain; rounded to 6 digits), start_word and n_words of the window,
     hamming (of the fingerprints). Of equally similar windows the first counts. Documents without a hit give no row;
     repeated rows each give their own. A null or empty text holds nothing. An item without words is not looked
     for; an item of fewer than ``width`` words is only found where it is the whole document, as it would

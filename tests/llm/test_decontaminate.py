@@ -151,3 +151,16 @@ def test_every_pair_at_the_similarity_is_found(spark):
         docs.append((k, " ".join(w)))
     want = holds(docs, items, False)
     assert len(want) > 1000 and set(found(spark, docs, items)) >= want
+def test_repeated_items_do_not_raise_the_bar(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**5)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate(range(39, 54))]
+    docs = [(k, " ".join(w[: len(w) // 2] + ["zzz"] + w[len(w) // 2 + 1 :])) for k, w in ((k, t.split()) for k, t in items)]
+    once = found(spark, docs, items)
+    assert set(once) == {(k, k) for k in range(15)}
+    again = found(spark, docs, items + [(k + 100, t) for k, t in items] + [(k + 200, t.upper()) for k, t in items])
+    assert again == {(d, i + r): s for (d, i), s in once.items() for r in (0, 100, 200)}
+    twins = items + [(k + 100, t + " tail") for k, t in items] + [(k + 200, t + " end") for k, t in items]
+    got = found(spark, docs, twins)
+    assert set(got) == holds(docs, twins, True) > holds(docs, twins, False) and min(got.values()) >= 0.75
+    assert {(k, k) for k in range(15)} <= set(got)
