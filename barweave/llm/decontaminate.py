@@ -14,7 +14,8 @@ reported, and choose windows only where a ``radius`` is asked for, which loses p
 of 16, and two fingerprints within ``radius`` agree in some block up to radius // 4 bits, so a table per
 block from value to items within that many bits finds every item within the radius.
 
-Items are handled in groups of bounded size, a pass over the documents each. Beyond the group, 16 bytes
+Items are handled in groups of bounded size, a pass over the documents each; what
+several passes find is written, so a task holds one group. Beyond the group, 16 bytes
 are sent for every shingle that several items of the benchmark hold.
 """
 
@@ -26,10 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barweave.llm.jaccard import _small
+from barweave.llm.ranks import unused
 from barweave.llm.words import PUNCT, U, runs, shingles, slices, words
 from barweave.session import settle
 
@@ -260,6 +264,25 @@ def groups(items: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Iterator[
         yield group()
 
 
+def broadcasts(benchmark: DataFrame, width: int) -> Iterator[tuple[Broadcast, Broadcast, bool]]:
+    """Each group, the weights of the whole benchmark, and whether the group is the only one.
+
+    One of several groups is given up as the next is asked for, so what uses it must be written by then.
+    """
+    context, items = benchmark.sparkSession.sparkContext, prepared(benchmark, width)
+    weights = shared_weights(items)
+    each = groups(items, weights)
+    common, group, alone = context.broadcast(weights), next(each, None), True
+    while group is not None:
+        following = next(each, None)
+        alone &= following is None
+        shared = context.broadcast(group)
+        yield shared, common, alone
+        if not alone:
+            shared.destroy()
+        group = following
+
+
 def ready(shared, common) -> Items:
     """A group in a task, with the weights of the whole benchmark."""
     shared.value.common = common.value
@@ -299,30 +322,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
 
     out = None
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    items = prepared(benchmark, width)
-    weights = shared_weights(items)
-    common = spark.sparkContext.broadcast(weights)
-    for group in groups(items, weights):
-        part = rows.mapInArrow(finder(spark.sparkContext.broadcast(group), common), HITS)
+    for shared, common, alone in broadcasts(benchmark, width):
+        part = rows.mapInArrow(finder(shared, common), HITS)
+        part = part if alone else settle(part)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], HITS) if out is None else out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    out, context = docs, docs.sparkSession.sparkContext
-    items = prepared(benchmark, width)
-    weights = shared_weights(items)
-    common = context.broadcast(weights)
-    for group in groups(items, weights):
-        shared = context.broadcast(group)
+    """The rows of ``docs``, with all their columns, that hold no benchmark item.
+
+    Of several groups of items, each writes the keys (of their bytes) of texts that hold one; these rows then go at once.
+    """
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def stays(shared, common):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = ready(shared, common)
             for batch in (part for whole in batches for part in runs(whole)):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, _ in search(batch.column("text"), items, width, least, radius)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, T.StructType(docs.schema.fields))
-    return out
+        return run
+
+    def texts(shared, common):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = ready(shared, common)
+            for batch in batches:
+                column = batch.column("text")
+                keys = {hashlib.sha256(column[row].as_py().encode()).hexdigest() for row, _ in search(column, items, width, least, radius)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.string())], names=["key"])
+
+        return run
+
+    gone = None
+    for shared, common, alone in broadcasts(benchmark, width):
+        if alone:
+            return docs.mapInArrow(stays(shared, common), T.StructType(docs.schema.fields))
+        part = settle(docs.select("text").mapInArrow(texts(shared, common), "key string"))
+        gone = part if gone is None else gone.union(part)
+    if gone is None:
+        return docs
+    name = unused(docs, "_text_key")
+    gone = settle(gone.select(F.col("key").alias(name)).distinct())
+    return docs.withColumn(name, F.sha2("text", 256)).join(_small(gone), name, "left_anti").drop(name)

@@ -164,3 +164,14 @@ def test_repeated_items_do_not_raise_the_bar(spark):
     got = found(spark, docs, twins)
     assert set(got) == holds(docs, twins, True) > holds(docs, twins, False) and min(got.values()) >= 0.75
     assert {(k, k) for k in range(15)} <= set(got)
+
+
+def test_several_groups_are_separate_passes(spark, monkeypatch):
+    docs, items = templates(random.Random(6), 10, 40)
+    docs += [(900, None), (901, ""), (902, "clean text of some few words"), (902, "clean text of some few words"), (0, "clean text of another row")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_text_key", D.F.lit("x")), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, D.decontaminated(a, b).collect()))
+    monkeypatch.setattr(D, "GROUP_ITEMS", 7)
+    got = D.decontaminated(a, b)
+    assert got.columns == a.columns and sorted(map(str, got.collect())) == want and 5 <= len(want) < len(docs)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1
