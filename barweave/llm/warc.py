@@ -30,7 +30,9 @@ RECORD = (
     "doc_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
     "content_length long, block_digest string, source_block_digest string, source_payload_digest string, source_headers string, block string"
 )
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: comments (one may be as short as <!--> or <!--->) and the tags of elements that are not shown
+HIDDEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)(script|style|noscript|template|svg)(?=[\s/>])[^>]*(?:>|\Z)", re.S | re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in ("script", "style")}
 HEAD = re.compile(r"<head\b.*?</head\s*>", re.S | re.I)
 BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>",
@@ -47,9 +49,54 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def visible(page: str) -> str:
+    """A page less comments, scripts, styles and whole svg, template and noscript elements.
+
+    A comment, script or style without an end reaches to the end of the page. Of any other element without an end tag,
+    and of a self-closed svg, only the tag itself is not shown.
+    """
+    cut: list[tuple[int, int]] = []
+    open_: list[tuple[str, int]] = []
+    waiting = dict.fromkeys(("noscript", "template", "svg"), 0)
+    at = 0
+    while m := HIDDEN.search(page, at):
+        name, start, at = (m[2] or "").lower(), m.start(), m.end()
+        if not name:
+            cut.append((start, at))
+        elif name in RAW_END:
+            if not m[1]:
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            cut.append((start, at))
+        elif not m[1]:
+            cut.append((start, at))
+            if not (name == "svg" and m[0].endswith("/>")):
+                open_.append((name, start))
+                waiting[name] += 1
+        elif waiting[name]:
+            inner = None
+            while inner != name:
+                inner, start = open_.pop()
+                waiting[inner] -= 1
+            while cut and cut[-1][0] >= start:
+                cut.pop()
+            cut.append((start, at))
+        else:
+            cut.append((start, at))
+    kept, at = [], 0
+    for start, end in cut:
+        kept.append(page[at:start])
+        at = end
+    return "".join(kept) + page[at:]
+
+
 def plain_text(page: str) -> str:
     """The text of a page: scripts, styles, comments and the head go, blocks end lines, entities are resolved."""
-    body = TAG.sub("", BREAK.sub("\n", HEAD.sub("", HIDDEN.sub("", page))))
+    return _plain(visible(page))
+
+
+def _plain(shown: str) -> str:
+    body = TAG.sub("", BREAK.sub("\n", HEAD.sub("", shown)))
     return LINES.sub("\n", BLANKS.sub(" ", html.unescape(body))).strip(" \n")
 
 
@@ -58,8 +105,12 @@ def one_line(text: str) -> str:
 
 
 def links(page: str, uri: str | None) -> list[str]:
+    return _links(visible(page), uri)
+
+
+def _links(shown: str, uri: str | None) -> list[str]:
     out = []
-    for m in LINK.finditer(HIDDEN.sub("", page)):
+    for m in LINK.finditer(shown):
         target = html.unescape(m[3] or m[4] or m[5] or "").strip()
         if target and not target.startswith("#"):
             try:
@@ -74,15 +125,15 @@ def derive(record_id: str, uri: str | None, headers: str, payload: str) -> list[
     block = headers.encode() + payload.encode()
     fields = [("source-record-id", record_id), ("source-block-digest", digest(block)), ("source-payload-digest", digest(payload.encode()))]
     fields += [("source-header", line) for line in headers.split("\r\n") if line]
-    shown = HIDDEN.sub("", payload)
+    shown = visible(payload)
     if m := TITLE.search(shown):
         fields.append(("title", one_line(m[1])))
     if m := LANGUAGE.search(shown):
         fields.append(("language", m[1]))
-    fields += [("outlink", x) for x in links(payload, uri)]
+    fields += [("outlink", x) for x in _links(shown, uri)]
     return [
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)),
-        ("conversion", "text/plain; charset=utf-8", plain_text(payload)),
+        ("conversion", "text/plain; charset=utf-8", _plain(shown)),
     ]
 
 

@@ -141,3 +141,18 @@ def test_warc_records(spark, tmp_path):
     assert all(warc.digest(b) == h["WARC-Block-Digest"] for h, b in read)
     assert gzip.open(next(tmp_path.glob("*.gz"))).read(8) == b"WARC/1.1"
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_warc_text_behind_unclosed_elements():
+    """Only what is hidden goes: (page, text)."""
+    tail = '<title>T</title><p>after <a href="/k">k</a>'
+    for head in ("<svg class='i'/>", "<SVG/>", "<template>", "<noscript>", "<svg>", "<!-->", "<!--->", "<!-- a --!>", "<svg-icon>", "<template><template>x</template>y</template>", "<svg><style>a</style></svg>",
+                 "<template><!-- </template> --></template>", "<svg><template></svg>", "</svg>", "<script>a</script b>", "<style>a</style\n>", "<svg><svg/>x</svg>"):
+        page = f"<p>before {head}{tail}"
+        assert warc.plain_text(page) == "before\nT\nafter k", head
+        meta = warc.derive("r", "http://e.org/", "", page)[0][2]
+        assert "title: T\r\n" in meta and "outlink: http://e.org/k A/href\r\n" in meta, head
+    for head in ("<!--", "<!-- a --", "<script>", "<style>a</styl>"):
+        assert warc.plain_text(f"<p>before {head}{tail}") == "before", head
+    assert warc.plain_text("a<svg/>b<svg>c</svg>d<template>e<svg>f</template>g</svg>h") == "abdgh"
+    assert warc.plain_text("<template>" * 50_000 + "x") == "x"
