@@ -65,3 +65,13 @@ def test_features_stay_within_their_text():
             together[text.first + d].add(int(b))
     assert alone == together and together[0] == together[5] and len(together[3]) == 6
     assert np.isfinite(X.fit(np.array([1.0, 0.0]), [np.array([3]), np.array([5])], [None, None], np.array([3, 5]), 1.0).bias)
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id % 4 as doc_id", "concat('text number ', id) as text")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int")
+    seen = []
+    fit = X.fit
+    monkeypatch.setattr(X, "fit", lambda label, *rest: seen.append(len(label)) or fit(label, *rest))
+    X.train(docs, labels, sample=3)
+    assert seen == [3]
