@@ -75,3 +75,25 @@ def test_repeated_ids_keep_the_sample_bounded(spark, monkeypatch):
     monkeypatch.setattr(X, "fit", lambda label, *rest: seen.append(len(label)) or fit(label, *rest))
     X.train(docs, labels, sample=3)
     assert seen == [3]
+
+
+def test_production_penalty_keeps_groups_neutral(spark):
+    """The registered parameters, not a larger penalty, on texts in which abuse names one group more often."""
+    rng = random.Random(4)
+    neutral = "the weather in town was mild and people went to work by train early".split()
+    rows, labels = [], []
+    for k in range(1200):
+        words = [rng.choice(neutral) for _ in range(12)]
+        toxic = k % 3 == 0
+        if toxic:
+            words[3:3] = [rng.choice(("awful", "stupid", "vile"))] * (rng.random() < 0.6)
+        if rng.random() < (0.7 if toxic else 0.04):
+            words.insert(5, "muslim")
+        elif rng.random() < 0.3:
+            words.insert(5, rng.choice(("christian", "buddhist")))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    probe = spark.createDataFrame([(f"the {g} people went to work by train",) for g in ("muslim", "buddhist")], "text string")
+    a, b = (r.score for r in X.scored(probe, X.train(docs, labels)).collect())
+    assert abs(a - b) < 0.1
