@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barweave.llm import chat, decontaminate, hilbert, jaccard, langid, mixing, quality, token_ids, toxicity, warc
+from barweave.llm import chat, decontaminate, hilbert, jaccard, langid, mixing, quality, token_ids, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,9 @@ ORACLE["op10_chat_collapse"] = chat.SQL
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and plain-text conversion records of every page."""
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every vector on each of the 32 leading components, whitened."""
+    return whitening.components(table(spark, sf_dir, "embeddings"))
