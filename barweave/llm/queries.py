@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barweave.llm import chat, decontaminate, hilbert, jaccard, langid, mixing, quality, token_ids, toxicity, warc, whitening
+from barweave.llm import chat, decontaminate, hilbert, jaccard, langid, mixing, pieces, quality, token_ids, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -103,3 +104,11 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every vector on each of the 32 leading components, whitened."""
     return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of the SentencePiece ids of every document, and checksum of the text they read as."""
+    made = pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    named = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(named, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
