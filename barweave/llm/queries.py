@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import chat, decontaminate, hilbert, jaccard, langid, mixing, pieces, quality, token_ids, toxicity, warc, whitening
+from barweave.llm import chat, decontaminate, hilbert, jaccard, langid, mixing, pieces, quality, spelling, token_ids, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,3 +112,9 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     named = F.array_join(F.col("ids").cast("array<string>"), ",")
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(named, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that differ from a much more frequent one by one character, with the form that they vary."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
