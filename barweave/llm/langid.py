@@ -25,6 +25,7 @@ DIMENSIONS, GRAM = 1024, 3
 FOLDS = 5
 UNKNOWN = "und"
 GRAMS_AT_ONCE = 2048
+SLICE_BYTES = 1 << 20  #: the vectors of a slice's distinct n-grams are made once
 
 
 @cache
@@ -76,7 +77,7 @@ def grams(text: Text, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             gap_inside |= low[k : k + count] == 0
     # a gap inside is dropped only where it is the border of two texts
     border = doc[:count] != doc[size - 1 :]
-    good = ~border | ((low[size - 1 :] == 0) & ~gap_inside & (low[:count] > 0 if size > 1 else True))
+    good = ~border | ((low[size - 1 :] == 0) & ~gap_inside)
     some = np.zeros(count, bool)
     for k in range(size):
         some |= low[k : k + count] > 0
@@ -106,7 +107,7 @@ def _bundles(dimensions: int, size: int):
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             names, number = np.unique(langs.astype(str), return_inverse=True)
-            for text in slices(batch.column("text")):
+            for text in slices(batch.column("text"), SLICE_BYTES):
                 doc, which, rows, _ = grams(text, size)
                 own = number[text.first + doc]
                 counts = np.zeros((len(names), len(rows)), np.int64)
@@ -129,8 +130,8 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, size: int = GRAM)
     known = docs.select("text", F.col("lang").cast("string")).filter("text is not null and lang is not null")
     sums = known.mapInArrow(_bundles(dimensions, size), "lang string, dim int, total long").groupBy("lang", "dim").agg(F.sum("total").alias("total"))
     table = sums.toArrow().to_pandas().pivot(index="lang", columns="dim", values="total").sort_index()
-    vectors = table.to_numpy(float).reshape(len(table), -1)
-    length = np.sqrt((vectors**2).sum(1, keepdims=True)) if len(table) else np.ones((0, 1))
+    vectors = table.to_numpy(float) if len(table) else np.zeros((0, dimensions))
+    length = np.sqrt((vectors**2).sum(1, keepdims=True))
     return list(table.index), vectors / np.where(length > 0, length, 1)
 
 
@@ -140,7 +141,7 @@ def _predict(names: list[str], shared, dimensions: int, size: int):
         labels = np.array([*names, UNKNOWN], object)
         for batch in batches:
             best, score = np.full(batch.num_rows, len(names)), np.zeros(batch.num_rows)
-            for text in slices(batch.column("text")) if names else ():
+            for text in slices(batch.column("text"), SLICE_BYTES) if names else ():
                 doc, which, rows, per_text = grams(text, size)
                 if not len(rows):
                     continue
