@@ -10,13 +10,14 @@ needs a second visit, which a bit field keeps.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barweave.llm.memo import Generations
 from barweave.llm.words import slices
 
 SPACE = "▁"  #: stands for a space inside the model
@@ -56,25 +57,6 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
-class Generations(dict):
-    """Remembered results in bounded memory: what a full generation did not use again is forgotten."""
-
-    def __init__(self, make: Callable, limit: int = MEMO_BYTES):
-        super().__init__()
-        self.make, self.limit, self.size, self.old = make, limit, 0, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if self.size > self.limit:
-            self.old, self.size = dict(self), 0
-            self.clear()
-        self.size += 200 + len(key) + len(value)
-        self[key] = value
-        return value
-
-
 class Model:
     """A BPE model file: pieces with scores, bytes for what no piece covers.
 
@@ -106,7 +88,7 @@ class Model:
         self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), t[0] if len(t) > 1 else None) for t in self.ids}
         self.fits: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
-        self.memo = Generations(self._part)
+        self.memo = Generations(MEMO_BYTES, self._part)
         surface = [{CONTROL: "", UNKNOWN: UNKNOWN_SURFACE}.get(k, t.replace(SPACE, " ")).encode() for t, k in zip(self.texts, self.kinds)]
         for b, i in enumerate(self.of_byte):
             surface[i] = bytes([b])

@@ -15,7 +15,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.llm.elias_fano import Sequence, encode
+from barweave.llm.memo import Generations
 from barweave.session import workspace
 
 END_ID = 0
 FOOTER = "<8sQQQQQQ"  #: magic, bytes of an id, ids, null doc_ids, where boundaries, doc_ids and the footer begin
 MAGIC = b"BWTOKID1"
-#: pieces of text whose ids a worker keeps; others are encoded once for each slice of text
-KEPT_PIECES, SLICE_CHARS, BLOCK_IDS = 250_000, 1 << 20, 1 << 20
-
-
-class Pieces(dict):
-    """Numbers of pieces of text in the order of their first appearance."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = k = len(self)
-        return k
+#: bytes of each of two generations of pieces of text whose ids a worker remembers
+MEMO_BYTES, SLICE_CHARS, BLOCK_IDS = 40 << 20, 1 << 18, 1 << 20
 
 
 class Encoder:
@@ -53,6 +45,7 @@ class Encoder:
     CUT, ODD_SPACE = re.compile(r"(?<=\S) "), re.compile(r"\s ")
     SIMPLE = re.compile(r"[^ ]*[^ \s]\Z")
     MARKS = ".,;:!?"
+    TAILS = frozenset(MARKS)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,70 +60,56 @@ class Encoder:
         self.spaced = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token.startswith("Ġ")
-        self.pieces = Pieces()  #: each stands for itself after a space
-        self.ids, self.ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.memo = Generations(MEMO_BYTES)  #: ids of pieces that stand after a space
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, fresh: list[str], kept: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and lengths of pieces after a space. Simple pieces share a call: only their first token
-        begins with a space."""
-        out: list = [None] * len(fresh)
-        simple, odd, marks = [], [], {}
-        for k, piece in enumerate(fresh):
-            if piece and piece[-1] in self.MARKS:
-                base = piece.rstrip(self.MARKS)
-                at = self.pieces.get(base, kept) if base and base[-1].isalpha() else kept
-                if at < kept:
-                    tail = piece[len(base) :]
-                    if tail not in marks:
-                        marks[tail] = np.array(self._encode([tail])[0], self.dtype)
-                    out[k] = np.concatenate((self.ids[self.ends[at] : self.ends[at + 1]], marks[tail]))
-                    continue
-            (simple if self.SIMPLE.match(piece) else odd).append(k)
-        blocks = [simple[k : k + 256] for k in range(0, len(simple), 256)]
-        for block, ids in zip(blocks, self._encode([" " + " ".join([fresh[k] for k in b]) for b in blocks]), strict=True):
+    def _new(self, fresh: set[str]) -> dict[str, bytes]:
+        """Ids of pieces after a space, which are remembered. Simple pieces share a call: only their first token begins
+        with a space. Marks behind a word have ids of their own."""
+        simple, odd, marked, marks = set(), [], {}, {}
+        for piece in fresh:
+            base = piece.rstrip(self.MARKS) if piece[-1:] in self.TAILS else ""
+            if base and base[-1].isalpha():
+                marked[piece] = base
+            elif self.SIMPLE.match(piece):
+                simple.add(piece)
+            else:
+                odd.append(piece)
+        simple.update(base for base in marked.values() if self.memo[base].__class__ is str)
+        ordered, values, width = list(simple), [], self.dtype.itemsize
+        blocks = [ordered[k : k + 256] for k in range(0, len(ordered), 256)]
+        keys = []
+        for block, ids in zip(blocks, self._encode([" " + " ".join(b) for b in blocks]), strict=True):
             got = np.array(ids, self.dtype)
-            at = np.flatnonzero(self.spaced[got]).tolist()
+            at = (np.flatnonzero(self.spaced[got]) * width).tolist()
             if len(at) == len(block):
-                for k, x, y in zip(block, at, [*at[1:], len(got)], strict=True):
-                    out[k] = got[x:y]
+                raw = got.tobytes()
+                keys += block
+                values += [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)]
             else:  # an added token of the file stands in a piece
                 odd.extend(block)
-        for k, ids in zip(odd, self._encode([" " + fresh[k] for k in odd]), strict=True):
-            out[k] = np.array(ids, self.dtype)
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return np.concatenate([*out, np.zeros(0, self.dtype)]), lengths
+        keys += odd
+        values += [np.array(ids, self.dtype).tobytes() for ids in self._encode([" " + piece for piece in odd])]
+        made = dict(zip(keys, values, strict=True))
+        for piece, base in marked.items():
+            tail = piece[len(base) :]
+            if tail not in marks:
+                marks[tail] = np.array(self._encode([tail])[0], self.dtype).tobytes()
+            made[piece] = (made.get(base) or self.memo[base]) + marks[tail]
+        self.memo.remember(list(made), list(made.values()))
+        return made
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of every text."""
-        kept = len(self.pieces)
-        number = self.pieces.__getitem__
         split = [self.CUT.split(t) if self.ODD_SPACE.search(t) else t.split(" ") for t in texts]
         heads = self._encode([p[0] for p in split])
-        which = np.array([k for p in split for k in map(number, p[1:])], np.int64)
-        ids, ends = self.ids, self.ends
-        if len(self.pieces) > kept:
-            fresh = list(islice(self.pieces, kept, None))
-            more, lengths = self._new(fresh, kept)
-            ids, ends = np.concatenate((ids, more)), np.concatenate((ends, ends[-1] + np.cumsum(lengths)))
-            if kept < KEPT_PIECES:
-                self.ids, self.ends = ids, ends
-            else:
-                for piece in fresh:
-                    del self.pieces[piece]
-        # the heads join the table behind the pieces, for this call only
-        sizes = np.fromiter(map(len, heads), np.int64, len(heads))
-        table = np.concatenate([ids, np.array([x for h in heads for x in h], self.dtype)])
-        begin = np.concatenate((ends[:-1], ends[-1] + np.cumsum(sizes) - sizes))
-        size = np.concatenate((np.diff(ends), sizes))
-        counts = np.fromiter((len(p) - 1 for p in split), np.int64, len(split))
-        which = np.insert(which, np.cumsum(counts) - counts, np.arange(len(texts)) + len(ends) - 1)
-        starts, lengths = begin[which], size[which]
-        to = np.cumsum(lengths)
-        out = table[np.repeat(starts - (to - lengths), lengths) + np.arange(to[-1] if len(to) else 0)]
-        return out, np.diff(np.concatenate(([0], to))[np.concatenate(([0], np.cumsum(counts + 1)))])
+        known = self.memo.__getitem__
+        rows = [[np.array(head, self.dtype).tobytes(), *map(known, p[1:])] for head, p in zip(heads, split, strict=True)]
+        made = self._new({v for row in rows for v in row if v.__class__ is str})
+        rows = [b"".join([made[v] if v.__class__ is str else v for v in row]) for row in rows]
+        return np.frombuffer(b"".join(rows), self.dtype), np.array([len(r) // self.dtype.itemsize for r in rows], np.int64)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -1,7 +1,7 @@
 """Words, shingles and bounded slices of Arrow text columns, computed on the byte buffer.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are 64 bits wide and depend on the
-bytes only, so they agree between tasks, runs and machines. A slice holds a few MB of text at most
+bytes only, so they agree between tasks, runs and machines. A slice holds 256 KB of text at most
 (one longer text stands alone), which bounds the memory of a task whatever the batch size.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -45,11 +45,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64; grown by doubling and kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 16, 1 << max(0, n - 1).bit_length())
         step = np.full(size, U(base))
         step[0] = 1
         have = np.cumprod(step)
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 

@@ -73,7 +73,7 @@ def test_forgetting_changes_nothing(monkeypatch):
     words = ["".join(rng.choice("theinorsa") for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ",", "!"]) for _ in range(300)]
     monkeypatch.setattr(pieces, "PAIRS", 5)
     forgetful = pieces.Model(PATH)
-    forgetful.memo.limit = 1000
+    forgetful.memo.limit = 1000  # bytes
     for _ in range(50):
         text = " ".join(rng.choice(words) for _ in range(60))
         assert forgetful.encode(text).tolist() == LIBRARY.encode(text)
