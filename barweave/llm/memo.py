@@ -7,18 +7,15 @@ from collections.abc import Callable
 
 class Generations(dict):
     """Values of bytes by text in two generations of about ``limit`` bytes each: when one is full, what it did not
-    use is forgotten with the one before. ``make`` computes what is asked for and not remembered; without it such
-    a key is its own answer."""
+    use is forgotten with the one before. ``make`` computes what is asked for and not remembered."""
 
-    def __init__(self, limit: int, make: Callable[[str], bytes] | None = None):
+    def __init__(self, limit: int, make: Callable[[str], bytes]):
         super().__init__()
         self.limit, self.make, self.size, self.old = limit, make, 0, {}
 
-    def __missing__(self, key: str) -> bytes | str:
+    def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
-            if self.make is None:
-                return key
             value = self.make(key)
         if self.size > self.limit:
             self.turn()
@@ -29,9 +26,3 @@ class Generations(dict):
     def turn(self) -> None:
         self.old, self.size = dict(self), 0
         self.clear()
-
-    def remember(self, keys: list[str], values: list[bytes]) -> None:
-        if self.size > self.limit:
-            self.turn()
-        self.size += 200 * len(keys) + sum(map(len, keys)) + sum(map(len, values))
-        self.update(zip(keys, values, strict=True))

@@ -24,28 +24,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.llm.elias_fano import Sequence, encode
-from barweave.llm.memo import Generations
+from barweave.llm.piece_table import Table, take
+from barweave.llm.words import BYTE, Text, U, mix, rolled, slices, span_hash
 from barweave.session import workspace
 
 END_ID = 0
 FOOTER = "<8sQQQQQQ"  #: magic, bytes of an id, ids, null doc_ids, where boundaries, doc_ids and the footer begin
 MAGIC = b"BWTOKID1"
-#: bytes of each of two generations of pieces of text whose ids a worker remembers
-MEMO_BYTES, SLICE_CHARS, BLOCK_IDS = 40 << 20, 1 << 18, 1 << 20
+SLICE_BYTES, BLOCK_IDS = 1 << 18, 1 << 20
+
+
+BLANK = np.zeros(256, bool)  #: ASCII bytes that some Unicode definition of white space holds
+BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+ASCII = np.arange(256) < 128
+LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+MARK = np.isin(np.arange(256), list(b".,;:!?"))
+OTHER = mix(np.arange(1001, 1257))  #: a second value for every byte, so that pieces are told apart by 96 bits
 
 
 class Encoder:
     """Ids of whole texts with a byte-level BPE file, encoding every distinct piece of text once.
 
-    The pre-tokenizer of these files never joins a space with a non-space before it, so a text may
-    be cut before each space that follows a non-space and the pieces encoded apart. Nor does it join
-    a letter with a punctuation mark after it (apostrophes aside).
+    The pre-tokenizer of these files never joins across some places, so the pieces between them are encoded
+    apart: before a space that follows a non-space, between a letter and a punctuation mark after it
+    (apostrophes aside), and behind a single line end between non-spaces.
     """
 
-    CUT, ODD_SPACE = re.compile(r"(?<=\S) "), re.compile(r"\s ")
     SIMPLE = re.compile(r"[^ ]*[^ \s]\Z")
-    MARKS = ".,;:!?"
-    TAILS = frozenset(MARKS)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,56 +65,103 @@ class Encoder:
         self.spaced = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token.startswith("Ġ")
-        self.memo = Generations(MEMO_BYTES)  #: ids of pieces that stand after a space
+        self.table = Table(self.dtype)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, fresh: set[str]) -> dict[str, bytes]:
-        """Ids of pieces after a space, which are remembered. Simple pieces share a call: only their first token begins
-        with a space. Marks behind a word have ids of their own."""
-        simple, odd, marked, marks = set(), [], {}, {}
-        for piece in fresh:
-            base = piece.rstrip(self.MARKS) if piece[-1:] in self.TAILS else ""
-            if base and base[-1].isalpha():
-                marked[piece] = base
-            elif self.SIMPLE.match(piece):
-                simple.add(piece)
-            else:
-                odd.append(piece)
-        simple.update(base for base in marked.values() if self.memo[base].__class__ is str)
-        ordered, values, width = list(simple), [], self.dtype.itemsize
-        blocks = [ordered[k : k + 256] for k in range(0, len(ordered), 256)]
-        keys = []
-        for block, ids in zip(blocks, self._encode([" " + " ".join(b) for b in blocks]), strict=True):
+    def _new(self, pieces: list[str], bare: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of pieces, bare or after a space. Simple pieces share a call: only their first
+        token begins with a space."""
+        out: list = [None] * len(pieces)
+        simple, odd = [], []
+        for k, (piece, alone) in enumerate(zip(pieces, bare, strict=True)):
+            (simple if not alone and self.SIMPLE.match(piece) else odd).append(k)
+        blocks = [simple[k : k + 256] for k in range(0, len(simple), 256)]
+        for block, ids in zip(blocks, self._encode([" " + " ".join([pieces[k] for k in b]) for b in blocks]), strict=True):
             got = np.array(ids, self.dtype)
-            at = (np.flatnonzero(self.spaced[got]) * width).tolist()
+            at = np.flatnonzero(self.spaced[got]).tolist()
             if len(at) == len(block):
-                raw = got.tobytes()
-                keys += block
-                values += [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)]
+                for k, x, y in zip(block, at, [*at[1:], len(got)], strict=True):
+                    out[k] = got[x:y]
             else:  # an added token of the file stands in a piece
                 odd.extend(block)
-        keys += odd
-        values += [np.array(ids, self.dtype).tobytes() for ids in self._encode([" " + piece for piece in odd])]
-        made = dict(zip(keys, values, strict=True))
-        for piece, base in marked.items():
-            tail = piece[len(base) :]
-            if tail not in marks:
-                marks[tail] = np.array(self._encode([tail])[0], self.dtype).tobytes()
-            made[piece] = (made.get(base) or self.memo[base]) + marks[tail]
-        self.memo.remember(list(made), list(made.values()))
-        return made
+        for k, ids in zip(odd, self._encode([pieces[k] if bare[k] else " " + pieces[k] for k in odd]), strict=True):
+            out[k] = np.array(ids, self.dtype)
+        return np.concatenate([*out, np.zeros(0, self.dtype)]), np.fromiter(map(len, out), np.int64, len(out))
+
+    @staticmethod
+    def cuts(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, bare) of the pieces of some texts; a space before a piece that is not bare is no part of it."""
+        data, bounds = text.data, text.bounds
+        n = len(data)
+        blank = BLANK[data]
+        before = np.full(n, True)  # nothing is known to be no space before the first byte
+        before[1:] = blank[:-1]
+        space = np.flatnonzero((data == 0x20) & ~before)
+        wide = space[data[space - 1] >= 0x80]  # the character before may be a space of several bytes
+        if len(wide):
+            two, three = data[wide - 2], data[np.maximum(wide - 3, 0)]
+            odd = (two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3) & ((two == 0x9A) | (two == 0x80) | (two == 0x81)))
+            space = np.setdiff1d(space, wide[odd], assume_unique=True)
+        mark = np.flatnonzero(LETTER[data[:-1]] & MARK[data[1:]]) + 1 if n else space
+        solid = ASCII[data] & ~blank
+        line = np.flatnonzero((data[1:-1] == 0x0A) & solid[:-2] & solid[2:]) + 2 if n > 2 else space
+        kind = np.zeros(n + 1, np.int8)  # 1: a space to leave out, 2: a bare piece begins
+        kind[space], kind[mark], kind[line] = 1, 2, 2
+        heads = bounds[:-1][np.diff(bounds) > 0]
+        kind[heads] = 2
+        start = np.flatnonzero(kind[:n])
+        end = np.append(start[1:], n)[: len(start)]
+        bare = kind[start] == 2
+        return start + ~bare, end, bare
+
+    def ids_of(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts one after the other, and the number of ids of every text."""
+        start, end, bare = self.cuts(text)
+        runs, sizes = [], []
+        step = np.searchsorted(start, np.arange(0, len(text.data), SLICE_BYTES)).tolist() if len(start) else []
+        for a, b in zip(step, [*step[1:], len(start)]):
+            if a < b:
+                ids, size = self._some(text.data[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a], bare[a:b])
+                runs.append(ids)
+                sizes.append(size)
+        total = np.concatenate(([0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))))
+        # a bare piece begins with its text, any other behind a space of it: both stand inside
+        per_text = np.diff(total[np.searchsorted(start - ~bare, text.bounds)])
+        return np.concatenate([*runs, np.zeros(0, self.dtype)]), per_text
+
+    def _some(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = span_hash(rolled(BYTE[data]), start, end)
+        key[bare] = mix(key[bare] + U(1))
+        key[key == 0] = U(1)  # 0 marks a free slot
+        check = (span_hash(rolled(OTHER[data]), start, end) >> U(32)).astype(np.uint32)
+        at = self.table.find(key, check)
+        known = at >= 0
+        begins, sizes = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        begins[known], sizes[known] = self.table.begin[at[known]], self.table.size[at[known]]
+        pool = self.table.pool
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            both = np.stack((key[missing], check[missing].astype(U)), axis=1)
+            order = np.lexsort((both[:, 1], both[:, 0]))
+            new = np.ones(len(order), bool)
+            new[1:] = (both[order[1:]] != both[order[:-1]]).any(axis=1)
+            which = np.empty(len(order), np.int64)
+            which[order] = np.cumsum(new) - 1
+            first = missing[order[new]]
+            raw = data.tobytes()
+            pieces = [raw[x:y].decode() for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            ids, n = self._new(pieces, bare[first].tolist())
+            begins[missing], sizes[missing] = (self.table.filled + np.cumsum(n) - n)[which], n[which]
+            out = take(np.concatenate((pool[: self.table.filled], ids)), begins, sizes)
+            self.table.add(key[first], check[first], ids, n)
+            return out, sizes
+        return take(pool, begins, sizes), sizes
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of every text."""
-        split = [self.CUT.split(t) if self.ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = self._encode([p[0] for p in split])
-        known = self.memo.__getitem__
-        rows = [[np.array(head, self.dtype).tobytes(), *map(known, p[1:])] for head, p in zip(heads, split, strict=True)]
-        made = self._new({v for row in rows for v in row if v.__class__ is str})
-        rows = [b"".join([made[v] if v.__class__ is str else v for v in row]) for row in rows]
-        return np.frombuffer(b"".join(rows), self.dtype), np.array([len(r) // self.dtype.itemsize for r in rows], np.int64)
+        parts = [self.ids_of(t) for t in slices(pa.array(texts, pa.large_string()), SLICE_BYTES)]
+        return np.concatenate([*(p[0] for p in parts), np.zeros(0, self.dtype)]), np.concatenate([*(p[1] for p in parts), np.zeros(0, np.int64)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -126,19 +178,6 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about SLICE_CHARS characters; a null is an empty text."""
-    run, size, first = [], 0, 0
-    for k, text in enumerate(column):
-        run.append(text.as_py() or "")
-        size += len(run[-1])
-        if size >= SLICE_CHARS:
-            yield first, run
-            run, size, first = [], 0, k + 1
-    if run:
-        yield first, run
-
-
 @dataclass
 class Shard:
     number: int
@@ -162,8 +201,8 @@ def _writer(folder: str, tokenizer_path: str):
                 ids_of = batch.column("doc_id")
                 nulls += ids_of.null_count
                 doc_ids.append(ids_of.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-                for _, texts in _groups(batch.column("text")):
-                    ids, n = enc(texts)
+                for text in slices(batch.column("text"), SLICE_BYTES):
+                    ids, n = enc.ids_of(text)
                     ends = np.cumsum(n)
                     out.write(np.insert(ids, ends, END_ID).astype(enc.dtype).tobytes())
                     lengths.append(n + 1)

@@ -156,3 +156,31 @@ def test_warc_text_behind_unclosed_elements():
         assert warc.plain_text(f"<p>before {head}{tail}") == "before", head
     assert warc.plain_text("a<svg/>b<svg>c</svg>d<template>e<svg>f</template>g</svg>h") == "abdgh"
     assert warc.plain_text("<template>" * 50_000 + "x") == "x"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B c", " ", "  ", "'s", ".", ",\n", "\n", "\r\n", "\t", "é", " é.", "–", "　", "\x85", "\xa0", " ", " ", "12", "<|endoftext|>", "!?", "世"]), max_size=12).map("".join))
+def test_pieces_join_to_what_the_library_gives(text):
+    enc = token_ids.encoder(tokenizer_file())
+    assert enc([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_remembering_little_changes_nothing():
+    from barweave.llm.piece_table import Table
+
+    rng = np.random.default_rng(3)
+    enc = token_ids.Encoder(tokenizer_file())
+    enc.table = Table(enc.dtype, 256)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["ab", "cd.", "xyz", "q", "été,"]) * int(rng.integers(1, 9)) for _ in range(30)) for _ in range(4)]
+        assert enc(texts)[0].tolist() == [x for t in texts for x in enc.tokenizer.encode(t, add_special_tokens=False).ids]
+        assert enc.table.count <= 128
+
+
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    enc = token_ids.Encoder(tokenizer_file())
+    text = "some words, and\nmore 'words' " * 400
+    want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+    for size in (64, 1000):
+        monkeypatch.setattr(token_ids, "SLICE_BYTES", size)
+        assert enc([text, "", text])[0].tolist() == want * 2
