@@ -124,3 +124,22 @@ def inverse_vol_cte(name: str, train: str) -> None:
 
 def cap_once(src: str, cap: float) -> str:
     return f"SELECT window_id, symbol, LEAST(w, {cap}) / SUM(LEAST(w, {cap})) OVER (PARTITION BY window_id) AS w FROM {src}"
+
+
+def exchange_cte(name: str, prob: str, seek: float, cap: float) -> None:
+    """Best weights (window_id, w) for seek * mu'w - w'Sigma w / 2 within a cap, for problems (window_id, symbols, mu,
+    cov) of any size: weight moves between the pair that gains most until no pair gains 1e-10."""
+    cte(
+        f"{name}_run",
+        (prob,),
+        f"""SELECT window_id, 0 AS k, mu, cov, list_transform(mu, lambda x: 1e0 / len(mu)) AS w,
+        list_transform(range(len(mu)), lambda i: list_sum(cov[i * len(mu) + 1:(i + 1) * len(mu)]) / len(mu)) AS g FROM {prob}
+        UNION ALL
+        SELECT window_id, k + 1, mu, cov, list_transform(w, lambda x, q: x + CASE q WHEN i THEN d WHEN j THEN -d ELSE 0e0 END),
+          list_transform(g, lambda x, q: x + d * (cov[(q - 1) * n + i] - cov[(q - 1) * n + j])) FROM
+        (SELECT *, LEAST({cap}e0 - w[i], w[j], pull / (cov[(i - 1) * n + i] + cov[(j - 1) * n + j] - 2 * cov[(i - 1) * n + j])) AS d FROM
+        (SELECT *, list_position(up, list_max(up)) AS i, list_position(dn, list_min(dn)) AS j, list_max(up) - list_min(dn) AS pull FROM
+        (SELECT *, len(mu) AS n, list_transform(w, lambda x, q: CASE WHEN x < {cap}e0 - 1e-12 THEN {seek}e0 * mu[q] - g[q] ELSE -1e300 END) AS up,
+          list_transform(w, lambda x, q: CASE WHEN x > 0 THEN {seek}e0 * mu[q] - g[q] ELSE 1e300 END) AS dn FROM {name}_run)) WHERE pull > 1e-10) WHERE k < 20000""",
+    )
+    cte(name, (f"{name}_run",), f"SELECT window_id, arg_max(w, k) AS w FROM {name}_run GROUP BY window_id")

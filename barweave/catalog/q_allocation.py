@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barweave.catalog.oracle import cte, d, r, with_ctes
 from barweave.catalog.oracle_grid import (
-    DESC, ENT, L1, L2, N, NAMES, WS, best_ctes, candidate_ctes, cap_once, capped, cvar_ctes, inverse_vol_cte, mu_cte, sample_cov_cte,
+    DESC, ENT, L1, L2, N, NAMES, WS, best_ctes, candidate_ctes, cap_once, capped, cvar_ctes, exchange_cte, inverse_vol_cte, mu_cte, sample_cov_cte,
 )
 from barweave.catalog.q_metrics import port_rets, portfolios
 from barweave.catalog.q_returns import panel
@@ -16,7 +16,7 @@ from barweave.operators import allocation as A
 from barweave.operators import covariance as C
 from barweave.operators import metrics as M
 from barweave.operators import returns as R
-from barweave.operators import sweep as S
+from barweave.operators import optimum as S
 from barweave.plans import walkforward as B
 from barweave.session import settle
 from barweave.sources import derived as D
@@ -320,8 +320,8 @@ def sweep_tasks(train):
 
 @query("param_grid_metrics")
 def _(spark, sf):
-    out = S.portfolio_sweep(sweep_tasks(split(spark, sf)[0]), ["window_id", "risk_model"])
-    return out.select("window_id", "risk_model", "cap", "entropy", "sharpe", "vol", "ret", "status")
+    out = S.optimum(sweep_tasks(split(spark, sf)[0]), ["window_id", "risk_model"])
+    return out.select("window_id", "risk_model", "cap", "entropy", "sharpe", "vol", "ret", "gap", "status")
 
 
 @query("portfolio_sweep")
@@ -346,7 +346,7 @@ def _(spark, sf):
     union = tasks[0]
     for t in tasks[1:]:
         union = union.unionByName(t)
-    out = S.portfolio_sweep(union, ["method", "window_id"])
+    out = S.optimum(union, ["method", "window_id"])
     return out.select("method", "window_id", "status", "ret", "vol", "sharpe", F.explode(F.arrays_zip("symbols", "w")).alias("_z")).select(
         "method", "window_id", "status", "ret", "vol", "sharpe", F.col("_z.symbols").alias("symbol"), F.col("_z.w").alias("w")
     )
@@ -365,6 +365,18 @@ def _facts(weights, cap):
 cte("brand_win", ("brand_ret", "win"), "SELECT CAST(n AS BIGINT) AS window_id, symbol, dt, ret FROM brand_ret JOIN win ON dt BETWEEN st AND te")
 
 
+mu_cte("b_", "brand_win")
+sample_cov_cte("b_", "brand_win")
+cte(
+    "b_prob",
+    ("b_wmu", "b_wcov"),
+    """SELECT window_id, symbols, mu, cov FROM (SELECT window_id, list(symbol ORDER BY symbol) AS symbols, list(mu ORDER BY symbol) AS mu FROM b_wmu GROUP BY window_id)
+    JOIN (SELECT window_id, list(cov ORDER BY i, j) AS cov FROM b_wcov GROUP BY window_id) USING (window_id)""",
+)
+exchange_cte("b_best", "b_prob", 1, 0.18)
+exchange_cte("b_least", "b_prob", 0, 1)
+
+
 def brand_train(spark, sf):
     returns = R.simple_returns(D.brand_bars(spark, sf)).select("symbol", "dt", "ret")
     return settle(B.split_rows(returns, windows(spark, sf)).filter("role = 'train'").drop("role"))
@@ -403,7 +415,7 @@ def _(spark, sf):
     rows = settle(with_even_prev(_problems(split(spark, sf)[0])))
     mean = F.aggregate("mu", F.lit(0.0), lambda a, x: a + x) / F.size("mu")
     tasks = rows.withColumns({"target": mean + 0.25 * (F.array_max("mu") - mean), "max_turnover": F.lit(0.5)})
-    out = S.portfolio_sweep(tasks, KEY).join(rows.select("window_id", "prev"), list(KEY))
+    out = S.optimum(tasks, KEY).join(rows.select("window_id", "prev"), list(KEY))
     moved = F.aggregate(F.zip_with("w", "prev", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     return out.select(
@@ -423,3 +435,58 @@ def _(spark, sf):
     """Dates on which a symbol has no return give no scenario."""
     train = split(spark, sf)[0].filter("not (symbol = 'ASIA' and day(dt) % 3 = 0)")
     return A.scenarios(train, KEY).select("window_id", F.size("symbols").alias("n_symbols"), F.size("scenarios").alias("n_dates"))
+
+
+@query(
+    "mv_best_brands",
+    with_ctes(["b_best", "b_prob"], f"SELECT window_id, UNNEST(symbols) AS symbol, 'optimal' AS status, {r('UNNEST(w)', 'w', 5)} FROM b_best JOIN b_prob USING (window_id)"),
+    digits=5,
+)
+def _(spark, sf):
+    """The best capped weights of 25 brands; the SQL finds them by its own search."""
+    rows = A.problems(*moments(brand_train(spark, sf)), KEY)
+    return A.mv_best(rows, KEY, cap=0.18).select("window_id", "symbol", "status", "w")
+
+
+def duality_gaps(weights, mu, cov):
+    """(window_id, point, gap, ret, vol) from long weights (window_id, point, symbol, w, lambda, target), by joins: what
+    the largest slope gains over the slopes of the weights, and the multiplier times the return beyond the target."""
+    at = ["window_id", "point"]
+    risk = weights.select(*at, F.col("symbol").alias("j"), F.col("w").alias("wj")).join(cov.select("window_id", "i", "j", "cov"), ["window_id", "j"])
+    slope = risk.groupBy(*at, F.col("i").alias("symbol")).agg(F.sum(F.col("cov") * F.col("wj")).alias("g"))
+    per = weights.join(slope, [*at, "symbol"]).join(mu.select("window_id", "symbol", "mu"), ["window_id", "symbol"])
+    b = F.col("lambda") * F.col("mu") - F.col("g")
+    beyond = F.first("lambda") * (F.sum(F.col("w") * F.col("mu")) - F.first("target"))
+    return per.groupBy(*at).agg(
+        (F.max(b) - F.sum(b * F.col("w")) + beyond).alias("gap"), F.sum(F.col("w") * F.col("mu")).alias("ret"), F.sqrt(F.sum(F.col("w") * F.col("g"))).alias("vol")
+    )
+
+
+_corner = "list_position(mu, list_max(mu))"
+
+
+@query(
+    "efficient_frontier_brands",
+    with_ctes(
+        ["b_least", "b_prob"],
+        f"""SELECT window_id, CAST(k AS BIGINT) AS point, 'optimal' AS status, {r('lo + k * (hi - lo) / 9', 'target')}, TRUE AS within_gap, TRUE AS reaches, TRUE AS rises,
+        {r('CASE k WHEN 0 THEN SQRT(least_var) WHEN 9 THEN SQRT(last_var) END', 'end_vol')} FROM
+        (SELECT window_id, list_min(mu) AS lo, list_max(mu) AS hi, cov[({_corner} - 1) * len(mu) + {_corner}] AS last_var,
+          list_sum(list_transform(range(len(mu) * len(mu)), lambda q: w[q // len(mu) + 1] * w[q % len(mu) + 1] * cov[q + 1])) AS least_var, UNNEST(range(10)) AS k
+         FROM b_prob JOIN b_least USING (window_id))""",
+    ),
+)
+def _(spark, sf):
+    """Ten least-risk portfolios of 25 brands per window. Gap, return and risk are recomputed from the weights by joins;
+    the SQL knows the targets, the least risk of all and the risk of the asset of largest return."""
+    mu, cov = (settle(x) for x in moments(brand_train(spark, sf)))
+    made = settle(A.efficient_frontier(A.problems(mu, cov, KEY), KEY))
+    long = made.select("window_id", "point", "target", "lambda", F.explode(F.arrays_zip("symbols", "w")).alias("_z")).select(
+        "window_id", "point", "target", "lambda", F.col("_z.symbols").alias("symbol"), F.col("_z.w").alias("w")
+    )
+    facts = made.select("window_id", "point", "target", "status").join(duality_gaps(long, mu, cov), ["window_id", "point"])
+    rises = F.col("vol") >= F.coalesce(F.lag("vol").over(Window.partitionBy("window_id").orderBy("point")), F.lit(0.0)) - 1e-9  # ten rows a window
+    return facts.select(
+        "window_id", "point", "status", "target", (F.abs("gap") <= 1e-4).alias("within_gap"), (F.col("ret") >= F.col("target") - 1e-7).alias("reaches"), rises.alias("rises"),
+        F.when(F.col("point").isin(0, 9), F.col("vol")).alias("end_vol"),
+    )

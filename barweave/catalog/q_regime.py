@@ -142,7 +142,7 @@ def adaptive(spark, sf):
     at = settle(schedule.filter("is_rebalance").select("window_id", "dt"))
     regimes = settle(asof_last(at, labels(spark, sf).select("dt", "regime"), "dt", "regime", default="Sideways"))
     train = returns.join(schedule.filter("role = 'train'").select("window_id", "dt"), "dt")
-    return returns, schedule, settle(G.regime_weights(train, regimes, N, CAP))
+    return returns, schedule, settle(G.regime_weights(train, regimes, CAP, grid=N))
 
 
 @query("regime_adaptive_weights", with_ctes(["aw"], f"SELECT window_id, symbol, {r('w')}, regime FROM aw"))

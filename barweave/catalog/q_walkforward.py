@@ -93,7 +93,7 @@ cte(
 
 
 def weights_of(train):
-    return B.strategy_weights(train, N, CAP, signals(train))
+    return B.strategy_weights(train, CAP, signals(train), grid=N)
 
 
 def evaluated(spark, sf):

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barweave.operators.optimum import chained, frontier_tasks, optimum
+from barweave.operators.tail import least_cvar
 from barweave.schemas import RISK_FREE, TRADING_DAYS
 
 GRID_MAX_ASSETS = 8
@@ -228,23 +230,26 @@ def _with_fallback(rows: DataFrame, best: DataFrame, key: list[str], item: str =
     ).select(*key, F.col("_z.symbols").alias(item), F.col("_z.w").alias("w"), "status")
 
 
-def off_grid(assets: int | None, cap: float | None, step: int) -> bool:
-    """Whether a problem needs continuous weights: many or unnamed assets, or a cap between grid steps."""
-    return assets is None or assets > GRID_MAX_ASSETS or (cap is not None and abs(cap * step - round(cap * step)) > TOL)
+def _long(solved: DataFrame, key: list[str], item: str, *more: str) -> DataFrame:
+    """A row for each weight of solved problems."""
+    out = solved.select(*key, *more, F.explode(F.arrays_zip("symbols", "w")).alias("_z"))
+    return out.select(*key, F.col("_z.symbols").alias(item), F.col("_z.w").alias("w"), *more)
 
 
-def mv_best(rows: DataFrame, key: Sequence[str], assets: int | None = None, step: int = 10, cap: float | None = None,
+def mv_best(rows: DataFrame, key: Sequence[str], grid: int | None = None, step: int = 10, cap: float | None = None,
             entropy: float = 0.0, turnover_penalty: float = 0.0, max_turnover: float | None = None,
             target: float | None = None, item: str = "symbol") -> DataFrame:
-    """Best grid weights by mu'w - w'Sigma w / 2 plus entropy minus the squared change from ``prev``;
+    """Best weights by mu'w - w'Sigma w / 2 plus entropy minus the squared change from ``prev``;
     with a target return the least variance that reaches it. ``rows`` are problems, with a ``prev``
-    array when turnover matters. Ties go to the largest weights in symbol order.
-
-    Without ``assets``, beyond GRID_MAX_ASSETS or with a cap between steps the weights are continuous."""
-    if off_grid(assets, cap, step):
-        from barweave.operators.sweep import best_weights
-
-        return best_weights(rows, key, item, cap=cap, entropy=entropy, turnover_penalty=turnover_penalty, max_turnover=max_turnover, target=target)
+    array when turnover matters. One law for any number of assets and any cap, see :mod:`optimum`.
+
+    ``grid`` asks for the best of the weights in steps of 1 / step instead, for universes of that many assets
+    (at most GRID_MAX_ASSETS): an exact check. Ties go to the largest weights in symbol order."""
+    if grid is None:
+        asked = {"cap": cap, "entropy": entropy, "turnover_penalty": turnover_penalty, "max_turnover": max_turnover, "target": target}
+        tasks = rows.withColumns({name: F.lit(v).cast("double") for name, v in asked.items() if v})
+        return _long(optimum(tasks, key), list(key), item, "status")
+    assets = grid
     key = list(key)
     w = F.col("w")
     prev = F.col("prev") if "prev" in rows.columns else None
@@ -274,18 +279,17 @@ def _simplex(assets: int, step: int) -> Column:
     return grow(F.lit(step), [], 0)
 
 
-def mv_chain(rows: DataFrame, key: Sequence[str], assets: int | None = None, step: int = 10, order: str = "window_id", cap: float | None = None,
+def mv_chain(rows: DataFrame, key: Sequence[str], grid: int | None = None, step: int = 10, order: str = "window_id", cap: float | None = None,
              entropy: float = 0.0, max_turnover: float = 0.3, item: str = "symbol") -> DataFrame:
-    """Grid weights window after window, each within ``max_turnover`` (absolute change) of the one before.
+    """Weights window after window, each within ``max_turnover`` (absolute change) of the one before.
 
     A window needs the choice of the previous one, so the windows of a key are folded inside one
-    row; keys run in parallel. The row holds the moments of the windows of one calendar and the grid.
-    Off the grid (see :func:`off_grid`) the weights are continuous.
+    row; keys run in parallel. The row holds the moments of the windows of one calendar (and the grid where
+    that is asked for, as in :func:`mv_best`).
     """
-    if off_grid(assets, cap, step):
-        from barweave.operators.sweep import weights_chain
-
-        return weights_chain(rows, key, order, cap, entropy, max_turnover, item)
+    if grid is None:
+        return chained(rows, key, order, cap, entropy, max_turnover, item)
+    assets = grid
     key = list(key)
     own = key or ["_k"]
     base = rows if key else rows.withColumn("_k", F.lit(0))
@@ -339,13 +343,13 @@ def _cvar(sorted_losses: Column, confidence: float) -> Column:
     return t + F.aggregate(beyond, F.lit(0.0), lambda a, x: a + (x - t)) / ((1 - confidence) * n)
 
 
-def min_cvar(rows: DataFrame, key: Sequence[str], assets: int | None = None, step: int = 10, confidence: float = 0.90,
+def min_cvar(rows: DataFrame, key: Sequence[str], grid: int | None = None, step: int = 10, confidence: float = 0.90,
              cap: float | None = None, item: str = "symbol") -> DataFrame:
-    """Weights of least CVaR, on the grid where it fits, else continuous. ``rows`` come from :func:`scenarios`."""
-    if off_grid(assets, cap, step):
-        from barweave.operators.sweep import least_cvar
-
-        return least_cvar(rows, key, confidence, cap, item)
+    """Weights of least CVaR, for any number of assets, or the best of a grid where that is asked for.
+    ``rows`` come from :func:`scenarios`."""
+    if grid is None:
+        return least_cvar(rows, key, confidence, cap, item).drop("gap")
+    assets = grid
     key = list(key)
     w = F.col("w")
     c = candidate_grid(rows, key, assets, step).filter(_feasible(w, assets, F.lit(cap).cast("double"), None, None))
@@ -370,12 +374,18 @@ def cvar_of_portfolio(returns: DataFrame, key: Sequence[str] = ("portfolio_id",)
     )
 
 
-def efficient_frontier(rows: DataFrame, key: Sequence[str], assets: int, step: int = 10, points: int = 10, rf: float = RISK_FREE) -> DataFrame:
-    """Least variance among candidates that reach each of ``points`` equally spaced target returns.
+def efficient_frontier(rows: DataFrame, key: Sequence[str], grid: int | None = None, step: int = 10, points: int = 10, rf: float = RISK_FREE) -> DataFrame:
+    """Least variance that reaches each of ``points`` equally spaced target returns, for any number of assets,
+    with ``status``, the duality ``gap`` and the return's multiplier ``lambda``.
 
-    A candidate names the targets it reaches by arithmetic, so targets and candidates are not joined.
+    With ``grid`` the best of the weights in steps of 1 / step: a candidate names the targets it reaches by
+    arithmetic, so targets and candidates are not joined.
     """
     key = list(key)
+    if grid is None:
+        out = optimum(frontier_tasks(rows, points), [*key, "point"], rf)
+        return out.select(*key, "point", "target", "ret", "vol", "sharpe", "symbols", "w", "lambda", "gap", "status")
+    assets = grid
     lo, hi = F.array_min("mu"), F.array_max("mu")
     gap = (hi - lo) / (points - 1)
     c = with_moments(candidate_grid(rows, key, assets, step), assets, rf).withColumns({"_lo": lo, "_gap": gap})

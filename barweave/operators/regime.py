@@ -131,8 +131,8 @@ def regime_transitions(labels: DataFrame, key: Sequence[str] = (), order: str =
 # ---- weights per regime ---------------------------------------------------------------------
 
 
-def regime_weights(train: DataFrame, regimes: DataFrame, assets: int, cap: float, confidence: float = 0.95, risk_model: str = "sample",
-                   step: int = 10) -> DataFrame:
+def regime_weights(train: DataFrame, regimes: DataFrame, cap: float, confidence: float = 0.95, risk_model: str = "sample",
+                   grid: int | None = None, step: int = 10) -> DataFrame:
     """(window_id, symbol, w, regime): equilibrium returns in Bull, least CVaR in Bear, inverse
     volatility otherwise. Each window is solved by its own method only.
 
@@ -146,8 +146,8 @@ def regime_weights(train: DataFrame, regimes: DataFrame, assets: int, cap: float
 
     bull, bear = F.col("regime") == "Bull", F.col("regime") == "Bear"
     parts = [
-        A.mv_best(window_problems(of(bull), risk_model, implied=BULL_AVERSION), key, assets, step, cap=cap).drop("status"),
-        A.min_cvar(A.scenarios(of(bear), key), key, assets, step, confidence, cap).drop("status"),
+        A.mv_best(window_problems(of(bull), risk_model, implied=BULL_AVERSION), key, grid, step, cap=cap).drop("status"),
+        A.min_cvar(A.scenarios(of(bear), key), key, grid, step, confidence, cap).drop("status"),
         A.inverse_vol_weights(of(~bull & ~bear), key, cap=cap),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(regimes.select(*key, "regime"), key)

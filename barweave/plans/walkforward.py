@@ -87,11 +87,12 @@ def window_problems(train: DataFrame, risk_model: str = "ledoit_wolf", implied:
     return A.problems(mu, cov, key)
 
 
-def strategy_weights(train: DataFrame, assets: int, cap: float, signals: DataFrame | None = None, risk_model: str = "ledoit_wolf",
-                     entropy: float = ENTROPY, confidence: float = CONFIDENCE, max_turnover: float = MAX_TURNOVER, step: int = 10) -> DataFrame:
+def strategy_weights(train: DataFrame, cap: float, signals: DataFrame | None = None, risk_model: str = "ledoit_wolf",
+                     entropy: float = ENTROPY, confidence: float = CONFIDENCE, max_turnover: float = MAX_TURNOVER, grid: int | None = None, step: int = 10) -> DataFrame:
     """(strategy, window_id, symbol, w) of every strategy; names carry the cap that was used.
 
-    ``signals`` (window_id, symbol, signal) add the forecast overlay on the capped weights.
+    ``signals`` (window_id, symbol, signal) add the forecast overlay on the capped weights. ``grid`` asks for
+    weights in steps, see :func:`allocation.mv_best`.
     """
     key = ["window_id"]
     tag = f"_capped_{round(cap * 100)}"
@@ -99,11 +100,11 @@ def strategy_weights(train: DataFrame, assets: int, cap: float, signals: DataFra
     rows = settle(window_problems(train, cov=cov))
     pooled = window_problems(train, cov=cov, implied=2.5)
     best = {
-        "mean_variance": A.mv_best(rows, key, assets, step, entropy=entropy),
-        f"mean_variance{tag}": A.mv_best(rows, key, assets, step, cap=cap, entropy=entropy),
-        "mean_variance_turnover_constrained": A.mv_chain(rows, [], assets, step, cap=cap, entropy=entropy, max_turnover=max_turnover),
-        f"cvar{tag}": A.min_cvar(A.scenarios(train, key), key, assets, step, confidence, cap),
-        f"black_litterman{tag}": A.mv_best(pooled, key, assets, step, cap=cap),
+        "mean_variance": A.mv_best(rows, key, grid, step, entropy=entropy),
+        f"mean_variance{tag}": A.mv_best(rows, key, grid, step, cap=cap, entropy=entropy),
+        "mean_variance_turnover_constrained": A.mv_chain(rows, [], grid, step, cap=cap, entropy=entropy, max_turnover=max_turnover),
+        f"cvar{tag}": A.min_cvar(A.scenarios(train, key), key, grid, step, confidence, cap),
+        f"black_litterman{tag}": A.mv_best(pooled, key, grid, step, cap=cap),
         "equal_weight": A.equal_weight(train, key),
     }
     if signals is not None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barweave.operators import allocation as A
-from barweave.operators.sweep import portfolio_sweep, solve_batch
+from barweave.operators.optimum import optimum
 from barweave.plans import walkforward as B
 
 GRID = np.array([(a, b, 10 - a - b) for a in range(11) for b in range(11 - a)]) / 10
@@ -24,23 +24,29 @@ def score(w, mu, cov, ent, pen, prev):
 
 
 @pytest.mark.parametrize("cap,ent,pen,limit", [(1.0, 0, 0, np.inf), (0.5, 0.03, 0, np.inf), (0.6, 0.0, 0.1, 0.3), (0.6, 0.02, 0.0, 0.3)])
-def test_sweep_is_no_worse_than_the_grid(problems, cap, ent, pen, limit):
+def test_optimum_is_no_worse_than_the_grid(spark, problems, cap, ent, pen, limit):
     mu, cov = problems
     b = len(mu)
     prev = np.array([0.4, 0.3, 0.3])
-    w, ok, still = solve_batch(mu, cov, *(np.full(b, float(v)) for v in (cap, ent, pen, limit, -np.inf)), np.tile(prev, (b, 1)))
-    assert ok.all() and np.allclose(w.sum(1), 1) and w.min() >= 0 and w.max() <= cap + 1e-9
+    rows = problem_rows(spark, mu, cov).withColumn("prev", F.array(*[F.lit(float(x)) for x in prev]))
+    asked = {"cap": cap, "entropy": float(ent), "turnover_penalty": float(pen), "max_turnover": None if limit == np.inf else limit}
+    got = optimum(rows.withColumns({k: F.lit(v).cast("double") for k, v in asked.items()}), ["id"]).orderBy("id").collect()
+    w = np.array([r.w for r in got])
+    assert {r.status for r in got} == {"optimal"} and np.allclose(w.sum(1), 1) and w.min() >= 0 and w.max() <= cap + 1e-9
     assert np.abs(w - prev).sum(1).max() <= limit + 1e-8
     own = np.array([score(w[k], mu[k : k + 1], cov[k : k + 1], ent, pen, prev)[0] for k in range(b)])
     fits = (GRID.max(1) <= cap + 1e-9) & (np.abs(GRID - prev).sum(1) <= limit + 1e-9)
-    assert (own >= score(GRID[fits], mu, cov, ent, pen, prev).max(1) - 1e-6).all()
+    best = score(GRID[fits], mu, cov, ent, pen, prev).max(1)
+    assert (own >= best - 1e-9).all()
+    # the gap bounds what any weights can gain: also those of the grid
+    assert (np.array([r.gap for r in got]) >= best - own - 1e-12).all() and max(r.gap for r in got) < 1e-7
 
 
 def test_sweep_frontier_and_infeasible(spark, problems):
     mu, cov = problems
     rows = [(k, ["a", "b", "c"], mu[k].tolist(), cov[k].ravel().tolist(), c, t) for k in range(5) for c, t in ((None, 0.0), (0.3, None), (None, 9.0))]
     df = spark.createDataFrame(rows, "id int, symbols array<string>, mu array<double>, cov array<double>, cap double, target double")
-    out = portfolio_sweep(df, ["id"]).collect()
+    out = optimum(df, ["id"]).collect()
     assert len(out) == 15
     for r in out:
         infeasible = r["cap"] is not None or r["target"] > max(mu[r["id"]])
@@ -131,15 +137,15 @@ def market(n, b=3, days=600, seed=1):
 @pytest.mark.parametrize("n,cap", [(3, 0.35), (8, 0.18), (25, 0.18), (100, 0.05)])
 def test_any_size_and_cap(spark, n, cap):
     _, mu, cov = market(n)
-    got = A.mv_best(problem_rows(spark, mu, cov), ["id"], n, cap=cap, entropy=0.01).toPandas()
-    assert set(got["status"]) <= {"optimal", "not_converged"} and len(got) == 3 * n
+    got = A.mv_best(problem_rows(spark, mu, cov), ["id"], cap=cap, entropy=0.01).toPandas()
+    assert set(got["status"]) == {"optimal"} and len(got) == 3 * n
     assert np.allclose(got.groupby("id").w.sum(), 1) and got.w.max() <= cap + 1e-9 and got.w.min() >= 0
 
 
 def test_infeasible_cap_and_wrong_size_say_so(spark):
     _, mu, cov = market(4)
     rows = problem_rows(spark, mu, cov)
-    assert {(r.status, r.w) for r in A.mv_best(rows, ["id"], 4, cap=0.22).collect()} == {("infeasible", 0.25)}
+    assert {(r.status, r.w) for grid in (4, None) for r in A.mv_best(rows, ["id"], grid, cap=0.22).collect()} == {("infeasible", 0.25)}
     with pytest.raises(Exception, match="the grid is for 3 assets"):
         A.mv_best(rows, ["id"], 3).collect()
     short = rows.withColumn("cov", F.slice("cov", 1, 15))
@@ -149,7 +155,7 @@ def test_infeasible_cap_and_wrong_size_say_so(spark):
 def test_target_and_turnover_together(spark):
     rows = spark.createDataFrame([(0, ["a", "b"], [0.1, 0.2], [0.04, 0.0, 0.0, 0.09], [0.5, 0.5])], "id int, symbols array<string>, mu array<double>, cov array<double>, prev array<double>")
     for target, limit, fits in ((0.15, 0.5, True), (0.17, 0.5, True), (0.18, 0.5, False), (0.175, 0.5, True)):
-        got = portfolio_sweep(rows.withColumns({"target": F.lit(target), "max_turnover": F.lit(limit)}), ["id"]).first()
+        got = optimum(rows.withColumns({"target": F.lit(target), "max_turnover": F.lit(limit)}), ["id"]).first()
         assert (got.status == "infeasible") != fits
         if fits:
             assert got.ret >= target - 1e-6 and abs(got.w[0] - 0.5) * 2 <= limit + 1e-6
@@ -159,15 +165,16 @@ def test_target_and_turnover_together(spark):
     fine = np.array([(i, j, 200 - i - j) for i in range(201) for j in range(201 - i)]) / 200
     fine = fine[(fine.max(1) <= cap) & (np.abs(fine - prev).sum(1) <= limit)]
     target = np.quantile(fine @ mu[0], 0.8)
-    w, ok, _ = solve_batch(mu, cov, *(np.array([float(v)]) for v in (cap, 0, 0, limit, target)), prev[None])
+    asked = problem_rows(spark, mu, cov).withColumns({"prev": F.array(*[F.lit(float(x)) for x in prev]), "cap": F.lit(cap), "max_turnover": F.lit(limit), "target": F.lit(float(target))})
+    w = np.array([optimum(asked, ["id"]).first().w])
     risk = np.einsum("ki,ij,kj->k", fine, cov[0], fine)[fine @ mu[0] >= target].min()
-    assert ok[0] and w[0] @ mu[0] >= target - 1e-6 and np.abs(w[0] - prev).sum() <= limit + 1e-6 and w[0] @ cov[0] @ w[0] <= risk + 1e-6
+    assert w[0] @ mu[0] >= target - 1e-6 and np.abs(w[0] - prev).sum() <= limit + 1e-6 and w[0] @ cov[0] @ w[0] <= risk + 1e-6
 
 
 def test_a_run_that_is_cut_short_says_so(spark):
     _, mu, cov = market(40)
     rows = problem_rows(spark, mu, cov)
-    assert "not_converged" in {r.status for r in portfolio_sweep(rows, ["id"], rounds=2).collect()}
+    assert "not_converged" in {r.status for r in optimum(rows, ["id"], rounds=2).collect()}
 
 
 def test_chain_of_any_size(spark):
@@ -180,15 +187,17 @@ def test_chain_of_any_size(spark):
 
 
 def test_cvar_of_any_size_and_incomplete_dates(spark):
-    from barweave.operators.sweep import cvar, cvar_weights
+    from barweave.operators.tail import cvar, cvar_weights, least_sum
 
     x, _, _ = market(3, b=1, days=300)
     best = min(cvar(-x[0] @ g, 0.9) for g in GRID)
-    assert cvar(-x[0] @ cvar_weights(x[0], 0.9, 1.0, 2000)[0], 0.9) <= best * 1.01
+    w, gap, status = cvar_weights(x[0], 0.9, 1.0)
+    assert cvar(-x[0] @ w, 0.9) <= best * 1.01 and status == "optimal" and cvar(-x[0] @ w, 0.9) - gap <= best and 0 <= gap <= 0.01 * best
+    assert cvar_weights(x[0], 0.9, 1.0, rounds=1)[2] == "not_converged" and least_sum(np.array([3.0, 1.0, 2.0]), 0.6) == 0.6 + 0.8
     x, _, _ = market(12, b=1, days=80)
     rows = [(0, d, f"s{i:02d}", float(v)) for d, day in enumerate(x[0]) for i, v in enumerate(day) if (d, i) not in {(3, 4), (7, 0)}]
     s = A.scenarios(spark.createDataFrame(rows, "id int, dt int, symbol string, ret double"), ["id"])
     one = s.first()
     assert len(one.scenarios) == 78 and {len(d) for d in one.scenarios} == {12}
-    got = A.min_cvar(s, ["id"], 12, cap=0.18).toPandas()
+    got = A.min_cvar(s, ["id"], cap=0.18).toPandas()
     assert np.isclose(got.w.sum(), 1) and got.w.max() <= 0.18 + 1e-9 and set(got["status"]) == {"optimal"}
