@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.operators.optimum import chained, frontier_tasks, optimum
+from barweave.operators.orderstats import order_statistics
 from barweave.operators.tail import least_cvar
 from barweave.schemas import RISK_FREE, TRADING_DAYS
 
@@ -362,12 +363,14 @@ def min_cvar(rows: DataFrame, key: Sequence[str], grid: int | None = None, step:
 
 
 def cvar_of_portfolio(returns: DataFrame, key: Sequence[str] = ("portfolio_id",), ret: str = "ret", confidence: float = 0.90) -> DataFrame:
-    """VaR (an order statistic) and CVaR of each portfolio's losses. ``confidence`` is the level, not the tail."""
+    """VaR (an order statistic) and CVaR of each portfolio's losses. ``confidence`` is the level, not the tail.
+
+    One portfolio may hold any number of returns: its losses are counted, never gathered."""
     key = list(key)
-    loss = returns.select(*key, (-F.col(ret)).alias("_loss"))
-    var = loss.groupBy(*key).agg(F.expr(f"percentile_disc({confidence}) WITHIN GROUP (ORDER BY _loss)").alias("var"))
+    loss = returns.select(*key, (-F.col(ret)).alias("_loss")).filter(F.col("_loss").isNotNull())
+    level = order_statistics(loss, key, F.col("_loss"), lambda n: [F.greatest(F.lit(1), F.ceil(F.round(n * confidence, 9)))])
     return (
-        loss.join(var, key)
+        loss.join(level.select(*key, F.col("ranked")[0].alias("var")), key)
         .groupBy(*key, "var")
         .agg((F.sum(F.greatest(F.col("_loss") - F.col("var"), F.lit(0.0))) / ((1 - confidence) * F.count(F.lit(1)))).alias("_x"))
         .select(*key, "var", (F.col("var") + F.col("_x")).alias("cvar"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barweave.operators import allocation as A
 from barweave.operators.features import scale_by_fit
+from barweave.operators.orderstats import percentiles
 from barweave.operators.series import over_rows
 from barweave.plans.walkforward import window_problems
 from barweave.schemas import TRADING_DAYS
@@ -25,15 +26,14 @@ BULL_AVERSION = 2.0
 
 
 def regime_rule_labels(features: DataFrame, key: Sequence[str] = (), value: str = "rolling_return", out: str = "regime") -> DataFrame:
-    """Lowest third of ``value`` is Bear, highest third Bull. Thresholds come from one aggregation
-    per key over a calendar-bounded series."""
+    """Lowest third of ``value`` is Bear, highest third Bull. The thresholds are exact order statistics of each key,
+    found by counting, so a key may have any number of rows. A row without a value is Sideways."""
     key = list(key)
     x = F.round(value, 9)
-    cuts = features.groupBy(*key).agg(
-        F.round(F.percentile(x, F.lit(1 / 3)), 9).alias("_lo"), F.round(F.percentile(x, F.lit(2 / 3)), 9).alias("_hi")
-    )
+    third = lambda k: F.round(F.col("percentiles")[k], 9)
+    cuts = percentiles(features, key, x, [1 / 3, 2 / 3]).select(*key, third(0).alias("_lo"), third(1).alias("_hi"))
     # without a key the thresholds are exactly one row
-    rows = features.join(cuts, key) if key else features.join(F.broadcast(cuts), F.lit(True))
+    rows = features.join(cuts, key, "left") if key else features.join(F.broadcast(cuts), F.lit(True), "left")
     label = F.when(x <= F.col("_lo"), "Bear").when(x > F.col("_hi"), "Bull").otherwise("Sideways")
     return rows.withColumn(out, label).drop("_lo", "_hi")
 
