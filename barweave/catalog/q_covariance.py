@@ -97,6 +97,20 @@ def _(spark, sf):
     return C.cov_oas(panel_rets(spark, sf))
 
 
+cte("gappy_ret", ("panel_ret",), "SELECT * FROM panel_ret WHERE NOT (symbol = 'ASIA' AND EXTRACT(DAY FROM dt) % 3 = 0)")
+cte("gappy_full", ("gappy_ret",), "SELECT * FROM gappy_ret WHERE dt IN (SELECT dt FROM gappy_ret GROUP BY dt HAVING COUNT(*) = (SELECT COUNT(DISTINCT symbol) FROM gappy_ret))")
+shrink_ctes("g_", "gappy_full")
+
+
+@query(
+    "cov_ledoit_wolf_incomplete",
+    with_ctes(["g_pop", "g_lw"], f"SELECT i, j, {r('((1 - a) * s + CASE WHEN i = j THEN a * m ELSE 0e0 END) * 252', 'cov')}, {r('a', 'shrinkage')} FROM g_pop, g_lw"),
+)
+def _(spark, sf):
+    """A panel with missing values: only dates on which every symbol has a return count."""
+    return C.cov_ledoit_wolf(panel_rets(spark, sf).filter("not (symbol = 'ASIA' and day(dt) % 3 = 0)"))
+
+
 @query(
     "portfolio_moments",
     with_ctes(

@@ -47,6 +47,10 @@ cte("met", ("ret",), metrics_sql("ret", "symbol"))
 cte("met_b", ("ret", "mkt_ret"), metrics_sql("ret", "symbol", BJ))
 
 
+def tick_rets(spark, sf):
+    return simple_returns(D.ticks(spark, sf), order="ts").withColumn("ret", F.col("ret") / 1000).filter("ret is not null")
+
+
 def _sel(*cols: str, src: str = "met") -> str:
     return with_ctes([src], f"SELECT symbol, {', '.join(cols)} FROM {src}")
 
@@ -91,6 +95,29 @@ def _(spark, sf):
     return M.max_drawdown(rets(spark, sf))
 
 
+_TICK_CURVE = f"""SELECT symbol, ret, eq / MAX(eq) OVER (PARTITION BY symbol ORDER BY ts {CUM}) - 1 AS dd FROM
+  (SELECT symbol, ts, ret / 1000 AS ret, PRODUCT(1 + ret / 1000) OVER (PARTITION BY symbol ORDER BY ts {CUM}) AS eq FROM tick_ret)"""
+
+
+@query("max_drawdown_ticks", with_ctes(["tick_ret"], f"SELECT symbol, {r('MIN(dd)', 'max_drawdown')} FROM ({_TICK_CURVE}) GROUP BY symbol"))
+def _(spark, sf):
+    """Ticks have no calendar bound: ranges are walked once and their states merge, without a curve."""
+    return M.max_drawdown(tick_rets(spark, sf), order="ts")
+
+
+@query(
+    "comprehensive_metrics_ticks",
+    with_ctes(
+        ["tick_ret"],
+        f"""SELECT symbol, {r('PRODUCT(1 + ret) - 1', 'total_return')}, {r('STDDEV_SAMP(ret) * SQRT(252e0)', 'annual_volatility')}, {r('MIN(dd)', 'max_drawdown')},
+        {r('MAX(ret)', 'best_day')}, {r('AVG(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END)', 'win_rate')} FROM ({_TICK_CURVE}) GROUP BY symbol""",
+    ),
+)
+def _(spark, sf):
+    m = M.comprehensive_metrics(tick_rets(spark, sf), order="ts")
+    return m.select("symbol", "total_return", "annual_volatility", "max_drawdown", "best_day", "win_rate")
+
+
 @query("day_stats", _sel(*PERF[5:], MORE[2]))
 def _(spark, sf):
     return M.day_stats(rets(spark, sf))

@@ -12,12 +12,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barweave.functions.exprs import ratio
 from barweave.schemas import TRADING_DAYS
+from barweave.session import settle
 
 TILE = 1024  # items per side of one partial product held in memory
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
@@ -127,23 +129,100 @@ def cov_sample(df: DataFrame, item: str = "symbol", on: str = "dt", value: str =
     return mirror(pair_sums(df, item, on, value, group).select(*group, "i", "j", cov.alias("cov")))
 
 
+_STATE = ["n", "width", "quart", "mean_i", "mean_j", "s", "cubic"]
+
+
+def _moment_states(days: DataFrame, group: list[str], item_type: T.DataType) -> DataFrame:
+    """States of batches of dates: (group, part, i, j, ...) for i <= j, counted from the batch's own means.
+
+    ``s`` sums the products, ``cubic`` x_i |x|^2 (on i = j) and ``quart`` |x|^4 of the centred vectors x. Dates of
+    fewer items than the batch's widest cannot be complete and only name their items (n = 0).
+    """
+    n_group = len(group)
+    schema = T.StructType([days.schema[g] for g in group] + [T.StructField("part", T.LongType())] + [T.StructField(c, item_type) for c in ("i", "j")] + [T.StructField(c, T.DoubleType()) for c in _STATE])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, values = batch.column(n_group), batch.column(n_group + 1)
+            groups = batch.select(list(range(n_group))).to_pandas() if n_group else None
+            gid = groups.groupby(group, sort=False, dropna=False).ngroup().to_numpy() if n_group else np.zeros(batch.num_rows, int)
+            for g in range(gid.max() + 1):
+                part += 1
+                mine = np.flatnonzero(gid == g)
+                frame = _batch_state([lists[int(k)].as_py() for k in mine], [values[int(k)].values.to_numpy(zero_copy_only=False) for k in mine])
+                frame.insert(0, "part", part)
+                for k, c in enumerate(group):
+                    frame.insert(k, c, groups[c].iloc[mine[0]])
+                fields = [batch.schema.field(k) for k in range(n_group)] + [pa.field("part", pa.int64())] + [pa.field(c, lists.type.value_type) for c in ("i", "j")] + [pa.field(c, pa.float64()) for c in _STATE]
+                yield pa.RecordBatch.from_pandas(frame, schema=pa.schema(fields), preserve_index=False)
+
+    return days.mapInArrow(run, schema)
+
+
+def _batch_state(names: list[list], values: list[np.ndarray]) -> pd.DataFrame:
+    """State of some dates of one group; ``names`` are sorted within a date."""
+    width = max(map(len, names))
+    wide = [k for k, n in enumerate(names) if len(n) == width]
+    every = sorted({x for n in names for x in n})
+    known = pd.DataFrame({"i": every, "j": every}).assign(**dict.fromkeys(_STATE, 0.0))
+    if len(every) > width:  # no date has all items seen here, so none is complete
+        return known
+    x = np.stack([values[k] for k in wide])
+    mean = x.mean(axis=0)
+    x = x - mean
+    drift = x.mean(axis=0)  # what rounding of the mean left
+    mean, x = mean + drift, x - drift
+    square = (x * x).sum(axis=1)
+    products, cubic = x.T @ x, x.T @ square
+    i, j = np.triu_indices(width)
+    named = np.array(every, object)
+    return pd.DataFrame({
+        "i": named[i], "j": named[j], "n": float(len(wide)), "width": float(width), "quart": float((square * square).sum()),
+        "mean_i": mean[i], "mean_j": mean[j], "s": products[i, j], "cubic": np.where(i == j, cubic[i], 0.0),
+    })
+
+
 def _shrinkage_inputs(df: DataFrame, item: str, on: str, value: str, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    n = F.col("n")
-    pop = mirror(
-        pair_sums(df, item, on, value, group).select(
-            *group, "i", "j", "n", ((F.col("sxy") - F.col("sx") * F.col("sy") / n) / n).alias("s")
-        )
+    """(pairs with population covariance, statistics with the sum of |x - mean|^4), from one read of the rows.
+
+    Only dates on which every item of the group has a value count; a group without such a date raises. States
+    of batches are moved to the common mean before they are added, so values at the level of prices do not cancel.
+    """
+    days = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*group, on)
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(item).alias("i"), F.col(value).cast("double").alias("v")))).alias("_row"))
+        .select(*group, F.transform("_row", lambda s: s["i"]).alias("_i"), F.transform("_row", lambda s: s["v"]).alias("_v"))
     )
     # without a group the whole panel is one matrix; a constant key lets the same plan serve both
-    keyed = pop.withColumn("_k", F.lit(0))
-    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("s")))
-    stats = keyed.groupBy("_k", *group).agg(
-        F.max("n").alias("t"),
-        F.count(F.when(F.col("i") == F.col("j"), 1)).cast("double").alias("p"),
-        trace.alias("trace"),
-        F.sum(F.col("s") * F.col("s")).alias("ss"),
+    own = ["_k", *group]
+    states = settle(_moment_states(days, group, df.schema[item].dataType).withColumn("_k", F.lit(0)))
+    p = states.groupBy(*own).agg(F.count_distinct("i").cast("double").alias("p"), F.max(F.when(F.col("n") > 0, F.col("width"))).alias("_width"))
+    none = F.raise_error(F.lit("shrinkage needs dates on which all items have a value")).cast("double")
+    p = p.select(*own, F.when(F.col("_width") == F.col("p"), F.col("p")).otherwise(none).alias("p"))
+    full = states.join(p, own).filter((F.col("n") > 0) & (F.col("width") == F.col("p")))
+    diagonal = F.col("i") == F.col("j")
+    means = full.filter(diagonal).groupBy(*own, "i").agg((F.sum(F.col("n") * F.col("mean_i")) / F.sum("n")).alias("_m"))
+    moved = full.join(means.withColumnRenamed("_m", "_mi"), [*own, "i"]).join(means.select(*own, F.col("i").alias("j"), F.col("_m").alias("_mj")), [*own, "j"])
+    moved = moved.withColumns({"_di": F.col("mean_i") - F.col("_mi"), "_dj": F.col("mean_j") - F.col("_mj")})
+    shift = F.col("_di") * F.col("_dj")
+    pop = mirror(moved.groupBy(*own, "i", "j").agg(F.sum("n").alias("n"), (F.sum(F.col("s") + F.col("n") * shift) / F.sum("n")).alias("s")))
+    own_row = lambda c: F.sum(F.when(diagonal, c).otherwise(0.0))
+    parts = moved.groupBy(*own, "part").agg(
+        F.first("n").alias("n"), F.first("quart").alias("quart"), F.sum(F.col("s") * shift * F.when(diagonal, 1.0).otherwise(2.0)).alias("dsd"),
+        own_row(F.col("_di") * F.col("_di")).alias("dd"), own_row(F.col("cubic") * F.col("_di")).alias("cd"), own_row(F.col("s")).alias("ss"),
+    )
+    # |x + d|^4 = (|x|^2 + 2 d'x + |d|^2)^2, summed over centred x
+    quart = F.col("quart") + 4 * F.col("dsd") + F.col("n") * F.col("dd") * F.col("dd") + 4 * F.col("cd") + 2 * F.col("dd") * F.col("ss")
+    fourth = parts.groupBy(*own).agg(F.sum(quart).alias("_qq"))
+    trace = F.sum(F.when(diagonal, F.col("s")))
+    stats = pop.groupBy(*own).agg(
+        F.max("n").alias("t"), F.count(F.when(diagonal, 1)).cast("double").alias("p"), trace.alias("trace"), F.sum(F.col("s") * F.col("s")).alias("ss")
     )
-    return keyed, stats.withColumn("m", F.col("trace") / F.col("p"))
+    return pop, stats.withColumn("m", F.col("trace") / F.col("p")).join(fourth, own)
 
 
 def _shrink(keyed: DataFrame, stats: DataFrame, group: list[str], days: int) -> DataFrame:
@@ -156,31 +235,19 @@ def _shrink(keyed: DataFrame, stats: DataFrame, group: list[str], days: int) ->
 
 def cov_ledoit_wolf(df: DataFrame, item: str = "symbol", on: str = "dt", value: str = "ret", group: Sequence[str] = (),
                     days: int = TRADING_DAYS) -> DataFrame:
-    """Shrinkage towards m * I with the Ledoit-Wolf (2004) intensity, on a complete panel."""
+    """Shrinkage towards m * I with the Ledoit-Wolf (2004) intensity, over the complete dates of the panel."""
     group = list(group)
     keyed, stats = _shrinkage_inputs(df, item, on, value, group)
-    means = df.groupBy(*group, item).agg(F.avg(value).alias("_mean"))
-    x = F.col(value) - F.col("_mean")
-    norms = (
-        df.join(means, [*group, item])
-        .groupBy(*group, on)
-        .agg(F.sum(x * x).alias("_q"))
-        .withColumn("_k", F.lit(0))
-        .groupBy("_k", *group)
-        .agg(F.sum(F.col("_q") * F.col("_q")).alias("_qq"))
-    )
     m, p, t = F.col("m"), F.col("p"), F.col("t")
     delta = (F.col("ss") - 2 * m * F.col("trace") + p * m * m) / p
     beta = (F.col("_qq") / t - F.col("ss")) / (p * t)
-    s = stats.join(norms, ["_k", *group]).withColumn(
-        "shrinkage", F.when(delta > 0, F.least(beta, delta) / delta).otherwise(F.lit(0.0))
-    )
+    s = stats.withColumn("shrinkage", F.when(delta > 0, F.least(beta, delta) / delta).otherwise(F.lit(0.0)))
     return _shrink(keyed, s, group, days)
 
 
 def cov_oas(df: DataFrame, item: str = "symbol", on: str = "dt", value: str = "ret", group: Sequence[str] = (),
             days: int = TRADING_DAYS) -> DataFrame:
-    """Oracle approximating shrinkage (Chen et al. 2010) towards m * I, on a complete panel."""
+    """Oracle approximating shrinkage (Chen et al. 2010) towards m * I, over the complete dates of the panel."""
     group = list(group)
     keyed, stats = _shrinkage_inputs(df, item, on, value, group)
     m, p, t = F.col("m"), F.col("p"), F.col("t")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from barweave.functions.exprs import annual_return, annualised, ratio_or_zero, sharpe
 from barweave.operators.returns import drawdown_curve
-from barweave.operators.series import over_rows
+from barweave.operators.segments import worst_falls
+from barweave.operators.series import calendar_bounded, over_rows
 from barweave.schemas import RISK_FREE, TRADING_DAYS
 
 
@@ -30,7 +31,10 @@ def annual_volatility(returns: DataFrame, key: Sequence[str] = ("symbol",), ret:
 
 
 def max_drawdown(returns: DataFrame, key: Sequence[str] = ("symbol",), order: str = "dt", ret: str = "ret") -> DataFrame:
-    return drawdown_curve(returns, key, order, ret).groupBy(*key).agg(F.min("drawdown").alias("max_drawdown"))
+    """Largest fall below the peak so far. Beyond the calendar bound no curve is made: pieces of a series merge."""
+    if calendar_bounded(returns, order):
+        return drawdown_curve(returns, key, order, ret).groupBy(*key).agg(F.min("drawdown").alias("max_drawdown"))
+    return worst_falls(returns, key, order, ret)
 
 
 def day_stats(returns: DataFrame, key: Sequence[str] = ("symbol",), ret: str = "ret") -> DataFrame:
@@ -61,18 +65,20 @@ def comprehensive_metrics(
     days: int = TRADING_DAYS,
     benchmark: DataFrame | None = None,
 ) -> DataFrame:
-    """All metrics in one row per key: one ordered pass for the drawdown, one aggregation.
+    """All metrics in one row per key: one ordered pass for the drawdown, one aggregation. Beyond the calendar bound
+    the drawdown comes from merged pieces of the series and is joined to the aggregation.
 
     ``benchmark`` has (order, bench_ret); relative metrics use the dates both have.
     """
     key = list(key)
-    rows = drawdown_curve(returns, key, order, ret)
+    bounded = calendar_bounded(returns, order)
+    rows = drawdown_curve(returns, key, order, ret) if bounded else returns
     r = F.col(ret)
     aggs = [
         F.count(ret).alias("_n"),
         _total(ret).alias("total_return"),
         annualised(F.stddev_samp(ret), days).alias("annual_volatility"),
-        F.min("drawdown").alias("max_drawdown"),
+        *([F.min("drawdown").alias("max_drawdown")] if bounded else []),
         *_day_stats(ret),
         F.count(F.when(r < 0, 1)).alias("_neg"),
         annualised(F.stddev_samp(F.when(r < 0, r)), days).alias("_down"),
@@ -91,6 +97,8 @@ def comprehensive_metrics(
             F.stddev_samp(r - b).alias("_sd"),
         ]
     m = rows.groupBy(*key).agg(*aggs)
+    if not bounded:
+        m = m.join(worst_falls(returns, key, order, ret), key, "left") if key else m.crossJoin(F.broadcast(worst_falls(returns, key, order, ret)))  # one row
     m = m.withColumn("annual_return", annual_return(F.col("total_return"), F.col("_n"), days))
     m = m.withColumn("sharpe_ratio", sharpe(F.col("annual_return"), F.col("annual_volatility"), rf))
     m = m.withColumns(

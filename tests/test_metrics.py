@@ -55,3 +55,27 @@ def test_excess_returns_align_on_date(spark, series):
     )
     out = M.excess_returns(both, "x", "y").collect()
     assert len(out) == 4 and all(r["ret"] > 0 for r in out)
+
+
+def test_worst_fall_of_pieces_equals_the_curve(spark):
+    """One key holds most rows; ranges, batches and keys are cut anywhere."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    rows = [(k, t, float(r)) for k, n in (("hot", 5000), ("b", 40), ("c", 1)) for t, r in enumerate(rng.normal(0, 0.02, n))] + [(None, 1, -0.5), (None, 2, 0.1), (None, 3, -0.5)]
+    df = spark.createDataFrame(rows + [("b", 99, None), ("none", 1, None)], "symbol string, ts long, ret double").repartition(7)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {r.symbol: r.max_drawdown for r in M.max_drawdown(df, order="ts").collect()}
+        for key in (None, "hot", "b", "c"):
+            level = np.cumprod([1 + r for k, _, r in rows if k == key])
+            assert abs(got[key] - (level / np.maximum.accumulate(level) - 1).min()) < 1e-12
+        assert set(got) == {None, "hot", "b", "c"}
+        whole = M.max_drawdown(df.filter("symbol = 'hot'"), (), order="ts").first()
+        assert abs(whole.max_drawdown - got["hot"]) < 1e-12 and M.max_drawdown(df.limit(0), order="ts").count() == 0
+        both = {r.symbol: r.max_drawdown for r in M.comprehensive_metrics(df.filter("symbol is not null"), order="ts").collect()}
+        assert abs(both["hot"] - got["hot"]) < 1e-12 and both["none"] is None
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
