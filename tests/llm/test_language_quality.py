@@ -66,7 +66,7 @@ def test_sketch_quantiles_are_near_and_merge(spark):
     values = sorted(random.Random(5).lognormvariate(0, 1) for _ in range(5000))
     rows = spark.createDataFrame([(v, k % 2) for k, v in enumerate(values)], "v double, part int")
     held = rows.groupBy("part", F.lit("r").alias("rule"), quality.bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"))
-    q = quality._quartiles(held, []).first()
+    q = quality.quantiles(held, [], {"lower": 0.25, "upper": 0.75}).first()
     assert abs(q["lower"] / values[1250] - 1) < 0.03 and abs(q["upper"] / values[3750] - 1) < 0.03 and q["rows"] == 5000
 
 
@@ -74,3 +74,24 @@ def test_clean_given_documents_are_kept(spark):
     rows = QUERIES["op4_adaptive_quality"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     got = {(r.quality, r.kept): r.n for r in rows.filter("not base_failed").groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
     assert got.get((1, False), 0) <= 0.01 * got[1, True] and got.get((0, True), 0) == 0
+
+
+def test_every_rule_fires_and_limits_come_from_the_sketch(spark):
+    rows = quality.base_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).cache()
+    found = quality.limits(quality.sketches(rows))
+    joined = quality.with_limits(rows.filter(~quality.base_failed()), found)
+    fired = joined.agg(*[F.count(F.when(~ok, 1)).alias(name) for name, ok in quality.fits().items()]).first()
+    assert all(fired[name] > 0 for name in quality.LIMITS if name != "limit_4"), fired
+    # without the bound of the language most limits are the same: they are the group's own
+    free = {(r.lang, r.source): r for r in quality.limits(quality.sketches(rows), bound=1e9).collect()}
+    own = sum(all(abs(free[r.lang, r.source][n] - r[n]) < 1e-12 for n in quality.LIMITS) for r in found.collect())
+    assert own >= 60 and len({round(r.limit_2, 9) for r in free.values()}) > 20
+    rows.unpersist()
+
+
+def test_junk_in_a_quarter_of_a_group_does_not_open_its_limit(spark):
+    rng = random.Random(9)
+    text = lambda junk: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) + "##" * (junk and i % 2) for i in range(90))
+    rows = [(k, text(k % 4 == 0 and k < 200), "en", "bad" if k < 200 else "good") for k in range(1200)]
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[k] for k in range(0, 200, 4)) and all(got[k] for k in range(1200) if k % 4 or k >= 200)
