@@ -1,10 +1,11 @@
 """Toxicity classifier that is kept from reacting to the mere mention of a group.
 
-Features are presences of byte 4- and 6-grams within words (word ends included) of the lower-cased text,
-hashed to buckets. A logistic model is fitted on those buckets whose rates differ most between the
-classes. Every labelled text that names a group is also read with the name exchanged for another of
-its kind; the squared change of the model's score is a penalty, so weight moves from the names to the
-words around them.
+Features are words and beginnings of words (4 to 8 bytes) of the lower-cased text, hashed to buckets; their values are
+their shares of the text's words, so long and short texts weigh alike. A logistic model is fitted on those buckets
+that toxic texts hold most beyond the others, and on the names of groups. Every labelled text is read twice
+more: one that names a group with the name exchanged for another of its kind, any other with two names of a
+kind put in at the same place. The squared change of the model's score from one to the other is a penalty, so
+weight stays away from names and on the words around them.
 
 Fitting uses at most ``sample`` labelled rows, those of least id hash: the one bounded part. Scoring
 reads all texts whole.
@@ -13,6 +14,7 @@ reads all texts whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,12 +27,13 @@ from pyspark.sql import types as T
 
 from barweave.llm.langid import held_out
 from barweave.llm.ranks import unused
-from barweave.llm.words import BYTE, SPACE, U, Text, rolled, runs, slices, span_hash
+from barweave.llm.words import BYTE, PUNCT, U, Text, mix, rolled, runs, slices, span_hash, words
 from barweave.session import settle
 
-BUCKETS, GRAMS = 1 << 20, (4, 6)
+BUCKETS, PREFIXES = 1 << 20, (4, 5, 6, 7, 8)
+MOST_SHARE, UNIT = 0.05, 0.02  #: shares count up to the first, in units of the second
 SAMPLE, FEATURES = 20_000, 2048
-PENALTY, RIDGE, STEPS, RATE = 1.0, 1e-5, 400, 0.05
+PENALTY, RIDGE, STEPS, RATE = 1.0, 1e-5, 200, 0.05
 #: names of groups that may stand for each other in a sentence
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("muslims", "christians", "jews", "hindus", "atheists"),
@@ -39,30 +42,27 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 )
 
 
-def features(text: Text, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) pairs in ascending order; with ``wanted`` only of marked buckets."""
-    texts = len(text.bounds) - 1
-    # a space before each text and one at the end
-    data = np.append(np.insert(text.data, text.bounds[:-1], 0x20), np.uint8(0x20))
-    doc = np.append(np.repeat(np.arange(texts), np.diff(text.bounds) + 1), texts)
-    space = SPACE[data]
-    data[space] = 0x20
-    prefix = rolled(BYTE[data])
-    spaces = np.concatenate(([0], np.cumsum(space)))
+def measured(text: Text, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, value) of the features of some texts, in ascending order; with ``wanted`` only of marked buckets."""
+    w = words(text, lower=False, separators=PUNCT)
+    prefix = rolled(BYTE[text.data])
     keys = []
-    for size in GRAMS:
-        start = np.arange(max(0, len(data) - size + 1))
-        # no space inside; one more byte past the end is the space before the next text
-        start = start[spaces[start + size - 1] == spaces[start + 1]]
-        bucket = span_hash(prefix, start, start + size) & U(BUCKETS - 1)
-        own = doc[start]
+    for size in (*PREFIXES, 0):
+        at = np.flatnonzero(w.end - w.start >= size)
+        value = span_hash(prefix, w.start[at], w.start[at] + size) if size else mix(w.hash + U(1))  # a whole word is no beginning
+        bucket, own = (value & U(BUCKETS - 1)).astype(np.int64), w.doc[at].astype(np.int64)
         if wanted is not None:
             hit = wanted[bucket]
             bucket, own = bucket[hit], own[hit]
-        keys.append(own.astype(np.int64) * BUCKETS + bucket.astype(np.int64))
-    key = np.unique(np.concatenate(keys))
-    key = key[key < texts * BUCKETS]
-    return key // BUCKETS, key % BUCKETS
+        keys.append(own * BUCKETS + bucket)
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    doc = key // BUCKETS
+    return doc, key % BUCKETS, np.minimum(count / w.per_doc[doc], MOST_SHARE) / UNIT
+
+
+def features(text: Text, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, bucket) pairs in ascending order."""
+    return measured(text, wanted)[:2]
 
 
 def exchange(text: str, terms: Sequence[Sequence[str]], pattern: re.Pattern) -> str:
@@ -71,6 +71,24 @@ def exchange(text: str, terms: Sequence[Sequence[str]], pattern: re.Pattern) ->
     return pattern.sub(lambda m: after[m[0]], text)
 
 
+def put_in(text: str, terms: Sequence[Sequence[str]]) -> tuple[str, str]:
+    """The text with a group name put in at some place, and with another of its kind there; place and names follow
+    from the text."""
+    h = zlib.crc32(text.encode())
+    kind = terms[h % len(terms)]
+    k = (h >> 8) % len(kind)
+    gaps = [m.start() for m in re.finditer(" ", text)]
+    at = gaps[(h >> 16) % len(gaps)] if gaps else len(text)
+    one, other = (f"{text[:at]} {name}{text[at:]}" for name in (kind[k], kind[(k + 1) % len(kind)]))
+    return one, other
+
+
+def name_buckets(terms: Sequence[Sequence[str]]) -> np.ndarray:
+    """Buckets that some group name falls into."""
+    names = sorted({n for kind in terms for n in kind})
+    return np.unique(np.concatenate([features(t)[1] for t in slices(pa.array(names, pa.string()))] or [np.zeros(0, np.int64)]))
+
+
 def _counts():
     """Texts of each class that hold a bucket."""
 
@@ -91,32 +109,32 @@ def _counts():
     return run
 
 
+ROWS = "label int, held array<short>, held_x array<float>, named array<short>, named_x array<float>, turned array<short>, turned_x array<float>"
+
+
 def _rows(chosen, terms: Sequence[Sequence[str]]):
-    """Chosen buckets of each text, and of the text with group names exchanged where it has any."""
+    """Places among the chosen buckets, and values, of each text as it is, with a group name, and with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(r"\b(?:" + "|".join(re.escape(t) for kind in terms for t in kind) + r")\b") if terms else re.compile(r"(?!)")
         wanted = np.zeros(BUCKETS, bool)
         wanted[chosen.value] = True
 
-        def of(column: pa.Array) -> list[list[int]]:
-            out: list[list[int]] = []
-            for text in slices(column):
-                doc, bucket = features(text, wanted)
-                out.extend(x.tolist() for x in np.split(bucket, np.searchsorted(doc, np.arange(1, len(text.bounds) - 1))))
-            return out
+        def of(texts: list[str]) -> list[pa.Array]:
+            places, values = [], []
+            for text in slices(pa.array(texts, pa.string())):
+                doc, bucket, value = measured(text, wanted)
+                cuts = np.searchsorted(doc, np.arange(1, len(text.bounds) - 1))
+                places.extend(np.split(np.searchsorted(chosen.value, bucket).astype(np.int16), cuts))
+                values.extend(np.split(value.astype(np.float32), cuts))
+            return [pa.array(places, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))]
 
         for batch in (part for whole in batches for part in runs(whole)):
-            plain = pc.utf8_lower(batch.column("text")).fill_null("")
-            swapped = [exchange(t, terms, pattern) for t in plain.to_pylist()]
-            names = pa.array([a != b for a, b in zip(plain.to_pylist(), swapped, strict=True)])
-            at, other = np.flatnonzero(names.to_numpy(zero_copy_only=False)), of(pa.array(swapped, pa.string()).filter(names))
-            turned: list[list[int] | None] = [None] * batch.num_rows
-            for k, x in zip(at, other, strict=True):
-                turned[k] = x
-            yield pa.RecordBatch.from_pydict(
-                {"label": batch.column("label"), "held": pa.array(of(plain), pa.list_(pa.int64())), "turned": pa.array(turned, pa.list_(pa.int64()))}
-            )
+            plain = pc.utf8_lower(batch.column("text")).fill_null("").to_pylist()
+            swapped = [exchange(t, terms, pattern) for t in plain]
+            pairs = [(a, b) if a != b or not terms else put_in(a, terms) for a, b in zip(plain, swapped, strict=True)]
+            columns = [batch.column("label"), *of(plain), *of([a for a, _ in pairs]), *of([b for _, b in pairs])]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROWS.split(", ")])
 
     return run
 
@@ -131,35 +149,35 @@ class Model:
 NOTHING = Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
 
 
-def fit(label: np.ndarray, held: list[np.ndarray], turned: list[np.ndarray | None], buckets: np.ndarray, penalty: float) -> Model:
+def fit(label: np.ndarray, held: tuple, named: tuple, turned: tuple, buckets: np.ndarray, penalty: float) -> Model:
     """Minimise log loss + ridge + penalty * mean squared score change, by full-batch descent with a step
-    size of its own for every weight (Adam), so that rare but telling features are learned too."""
+    size of its own for every weight (Adam), so that rare but telling features are learned too.
+
+    Texts are given as (places, values): two lists of arrays."""
 
-    def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        column = np.searchsorted(buckets, np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64))
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), column
+    def sparse(texts: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        places, values = texts
+        flat = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind)
+        return np.repeat(np.arange(len(places)), [len(p) for p in places]), flat(places, np.int64), flat(values, float)
 
     n, width = len(label), len(buckets)
-    row, column = sparse(held)
-    pairs = [(a, b) for a, b in zip(held, turned, strict=True) if b is not None]
-    row_a, column_a = sparse([a for a, _ in pairs])
-    row_b, column_b = sparse([b for _, b in pairs])
-    weights, bias = np.zeros(width), float(np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
-    value = np.append(weights, bias)
+    row, column, x = sparse(held)
+    (row_a, column_a, x_a), (row_b, column_b, x_b) = sparse(named), sparse(turned)
+    pairs = len(named[0])
+    value = np.append(np.zeros(width), np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
     mean, square = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
         weights, bias = value[:-1], value[-1]
-        score = np.bincount(row, weights[column], minlength=n) + bias
+        score = np.bincount(row, x * weights[column], minlength=n) + bias
         miss = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - label
-        slope = np.bincount(column, miss[row], minlength=width) / n + RIDGE * weights
-        if pairs:
-            change = np.bincount(row_a, weights[column_a], minlength=len(pairs)) - np.bincount(row_b, weights[column_b], minlength=len(pairs))
-            slope += 2 * penalty / len(pairs) * (np.bincount(column_a, change[row_a], minlength=width) - np.bincount(column_b, change[row_b], minlength=width))
+        slope = np.bincount(column, x * miss[row], minlength=width) / n + RIDGE * weights
+        if pairs and penalty:
+            change = np.bincount(row_a, x_a * weights[column_a], minlength=pairs) - np.bincount(row_b, x_b * weights[column_b], minlength=pairs)
+            slope += 2 * penalty / pairs * (np.bincount(column_a, x_a * change[row_a], minlength=width) - np.bincount(column_b, x_b * change[row_b], minlength=width))
         slope = np.append(slope, miss.mean())
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         value = value - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    weights, bias = value[:-1], float(value[-1])
-    return Model(buckets, weights, bias)
+    return Model(buckets, value[:-1], float(value[-1]))
 
 
 def train(
@@ -188,13 +206,14 @@ def train(
         return NOTHING
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     p0, p1, both = (F.col("neg") + 0.5) / (n0 + 1), (F.col("pos") + 0.5) / (n1 + 1), (F.col("neg") + F.col("pos") + 0.5) / (n0 + n1 + 1)
-    gap = F.abs(p1 - p0) / F.sqrt(both * (1 - both) * (1 / (n0 + 1) + 1 / (n1 + 1)) + 1e-12)
-    best = held.filter(F.col("pos") + F.col("neg") >= 3).orderBy(F.desc(F.round(gap, 6)), "bucket").limit(count).select("bucket").toArrow().to_pandas()
-    buckets = np.sort(best["bucket"].to_numpy(np.int64))
-    got = rows.mapInArrow(_rows(spark.sparkContext.broadcast(buckets), terms), "label int, held array<long>, turned array<long>").toArrow().to_pandas()
+    gap = (p1 - p0) / F.sqrt(both * (1 - both) * (1 / (n0 + 1) + 1 / (n1 + 1)) + 1e-12)
+    best = held.filter(F.col("pos") + F.col("neg") >= 4).orderBy(F.desc(F.round(gap, 6)), "bucket").limit(count).select("bucket").toArrow().to_pandas()
+    buckets = np.union1d(best["bucket"].to_numpy(np.int64), name_buckets(terms))
+    got = rows.mapInArrow(_rows(spark.sparkContext.broadcast(buckets), terms), ROWS).toArrow().to_pandas()
     # sums of floats follow the order of rows, which tasks do not fix
-    got = got.iloc[sorted(range(len(got)), key=lambda k: (got["label"].iat[k], got["held"].iat[k].tobytes()))]
-    return fit(got["label"].to_numpy(float), list(got["held"]), list(got["turned"]), buckets, penalty)
+    got = got.iloc[sorted(range(len(got)), key=lambda k: (got["label"].iat[k], got["held"].iat[k].tobytes(), got["held_x"].iat[k].tobytes(), got["named"].iat[k].tobytes(), got["turned"].iat[k].tobytes()))]
+    part = lambda name: (list(got[name]), list(got[f"{name}_x"]))
+    return fit(got["label"].to_numpy(float), part("held"), part("named"), part("turned"), buckets, penalty)
 
 
 def _scores(shared, name: str):
@@ -205,8 +224,8 @@ def _scores(shared, name: str):
         for batch in (part for whole in batches for part in runs(whole)):
             score = np.full(batch.num_rows, model.bias)
             for text in slices(batch.column("text"), fold=True):
-                doc, bucket = features(text, wanted)
-                score[text.first : text.first + len(text.bounds) - 1] += np.bincount(doc, weight[bucket], minlength=len(text.bounds) - 1)
+                doc, bucket, value = measured(text, wanted)
+                score[text.first : text.first + len(text.bounds) - 1] += np.bincount(doc, value * weight[bucket], minlength=len(text.bounds) - 1)
             value = np.round(1 / (1 + np.exp(-np.clip(score, -700, 700))), 6)
             value[np.isneginf(score)] = 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, name])

@@ -63,8 +63,9 @@ def test_features_stay_within_their_text():
     for text in slices(pa.array(texts)):
         for d, b in zip(*X.features(text)):
             together[text.first + d].add(int(b))
-    assert alone == together and together[0] == together[5] and len(together[3]) == 6
-    assert np.isfinite(X.fit(np.array([1.0, 0.0]), [np.array([3]), np.array([5])], [None, None], np.array([3, 5]), 1.0).bias)
+    assert alone == together and together[0] == together[5] and len(together[3]) == 3
+    one = ([np.array([0]), np.array([1])], [np.ones(1), np.ones(1)])
+    assert np.isfinite(X.fit(np.array([1.0, 0.0]), one, one, one, np.array([3, 5]), 1.0).bias)
 
 
 def test_repeated_ids_keep_the_sample_bounded(spark, monkeypatch):
@@ -97,3 +98,54 @@ def test_production_penalty_keeps_groups_neutral(spark):
     probe = spark.createDataFrame([(f"the {g} people went to work by train",) for g in ("muslim", "buddhist")], "text string")
     a, b = (r.score for r in X.scored(probe, X.train(docs, labels)).collect())
     assert abs(a - b) < 0.1
+
+
+def plain_scores(texts, model):
+    """Scores by a loop over words and their beginnings."""
+    import re
+
+    import pyarrow as pa
+
+    from barweave.llm.words import slices
+
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    known: dict[str, list[int]] = {}
+
+    def buckets(word):  # the hash of a word by itself; how often and where it counts is done here
+        if word not in known:
+            known[word] = [int(b) for t in slices(pa.array([word])) for b in X.measured(t)[1]]
+        return known[word]
+
+    out = []
+    for text in texts:
+        found = re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", (text or "").lower())
+        count = {}
+        for word in found:
+            for b in buckets(word):
+                count[b] = count.get(b, 0) + 1
+        score = model.bias + sum(weight.get(b, 0.0) * min(c / len(found), X.MOST_SHARE) / X.UNIT for b, c in count.items())
+        out.append(1 / (1 + np.exp(-score)))
+    return out
+
+
+def test_scores_equal_a_plain_computation(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.train(docs, X.learnable(labels, F.col("doc_id")))
+    some = docs.filter("doc_id % 7 = 0")
+    got = X.scored(some, model).select("text", "score").collect()
+    assert len(got) > 50 and np.abs(np.array([r.score for r in got]) - plain_scores([r.text for r in got], model)).max() < 1e-5
+
+
+def test_names_put_into_the_given_texts_change_little(spark):
+    """Neutral mentions: a group name put into given documents moves no score, and the penalty is at work there."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.train(docs, labels)
+    assert set(X.name_buckets(X.IDENTITY_TERMS).tolist()) <= set(model.buckets.tolist())
+    texts = [r.text.lower() for r in docs.filter("text is not null").limit(200).collect()]
+    pairs = [X.put_in(t, X.IDENTITY_TERMS) for t in texts]
+    assert all(a != b and len(a) > len(t) for (a, b), t in zip(pairs, texts))
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    a, b = ({r.k: r.score for r in X.scored(rows.select("k", F.col(c).alias("text")), model).collect()} for c in "ab")
+    assert max(abs(a[k] - b[k]) for k in a) < 0.02
