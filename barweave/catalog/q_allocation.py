@@ -84,13 +84,16 @@ cte(
     ("train",),
     "SELECT window_id, symbol, CASE WHEN window_id = 0 THEN 0.001e0 ELSE 0.5e0 * ret END AS signal FROM train WHERE symbol <> 'ASIA' OR window_id = 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY window_id, symbol ORDER BY dt DESC) = 1",
 )
-cte(
-    "zs",
-    ("signals", "wmu"),
-    """SELECT window_id, symbol, CASE WHEN ROUND(sd, 15) > 0 THEN GREATEST(-2e0, LEAST(2e0, (s - m) / sd)) ELSE 0e0 END AS z FROM
-    (SELECT window_id, symbol, s, AVG(s) OVER (PARTITION BY window_id) AS m, STDDEV_POP(s) OVER (PARTITION BY window_id) AS sd FROM
-    (SELECT w.window_id, w.symbol, COALESCE(g.signal, 0e0) AS s FROM wmu w LEFT JOIN signals g ON w.window_id = g.window_id AND w.symbol = g.symbol))""",
-)
+# for the strategies: the last training return of every symbol
+cte("full_signals", ("train",), "SELECT window_id, symbol, ret AS signal FROM train QUALIFY ROW_NUMBER() OVER (PARTITION BY window_id, symbol ORDER BY dt DESC) = 1")
+for _zs, _source in (("zs", "signals"), ("full_zs", "full_signals")):
+    cte(
+        _zs,
+        (_source, "wmu"),
+        f"""SELECT window_id, symbol, CASE WHEN ROUND(sd, 15) > 0 THEN GREATEST(-2e0, LEAST(2e0, (s - m) / sd)) ELSE 0e0 END AS z FROM
+        (SELECT window_id, symbol, s, AVG(s) OVER (PARTITION BY window_id) AS m, STDDEV_POP(s) OVER (PARTITION BY window_id) AS sd FROM
+        (SELECT w.window_id, w.symbol, COALESCE(g.signal, 0e0) AS s FROM wmu w LEFT JOIN {_source} g ON w.window_id = g.window_id AND w.symbol = g.symbol))""",
+    )
 cte(
     "tilt_raw",
     ("zs", "mv_cap"),
@@ -108,6 +111,11 @@ def signals(train):
     return last.select("window_id", "symbol", F.when(F.col("window_id") == 0, 0.001).otherwise(0.5 * F.col("ret")).alias("signal"))
 
 
+def full_signals(train):
+    """The last training return of every symbol."""
+    return R.latest_row(train, ("window_id", "symbol")).select("window_id", "symbol", F.col("ret").alias("signal"))
+
+
 def tilted(train, base, cap=CAP):
     z = A.signal_zscore(signals(train), base.select("window_id", "symbol"), KEY)
     return A.tilt_weights(base, z, KEY, cap=cap)

@@ -8,7 +8,7 @@ from barweave.catalog.oracle import cte, d, r, with_ctes
 from barweave.catalog.oracle_grid import (
     DESC, ENT, N, UNPIVOT, WS, best_ctes, candidate_ctes, cap_once, capped, cvar_ctes, shrunk_cov_cte,
 )
-from barweave.catalog.q_allocation import CAP, signals, split
+from barweave.catalog.q_allocation import CAP, full_signals, split
 from barweave.catalog.q_metrics import MORE, PERF, REL, metrics_sql
 from barweave.catalog.q_returns import bench, panel, rets
 from barweave.catalog.registry import query
@@ -74,9 +74,9 @@ cte(
 )
 cte(
     "s_tilt_raw",
-    ("zs", "s_cap"),
+    ("full_zs", "s_cap"),
     """SELECT window_id, symbol, CASE WHEN g < 0.1e0 THEN w ELSE w * EXP(0.2e0 * LEAST(1e0, g) * z) END AS w FROM
-    (SELECT m.window_id, m.symbol, m.w, z, AVG(ABS(z)) OVER (PARTITION BY m.window_id) AS g FROM s_cap m JOIN zs ON m.window_id = zs.window_id AND m.symbol = zs.symbol)""",
+    (SELECT m.window_id, m.symbol, m.w, z, AVG(ABS(z)) OVER (PARTITION BY m.window_id) AS g FROM s_cap m JOIN full_zs ON m.window_id = full_zs.window_id AND m.symbol = full_zs.symbol)""",
 )
 cte("s_tilt_norm", ("s_tilt_raw",), "SELECT window_id, symbol, w / SUM(w) OVER (PARTITION BY window_id) AS w FROM s_tilt_raw")
 cte("s_tilt", ("s_tilt_norm",), cap_once("s_tilt_norm", CAP))
@@ -93,7 +93,7 @@ cte(
 
 
 def weights_of(train):
-    return B.strategy_weights(train, CAP, signals(train), grid=N)
+    return B.strategy_weights(train, CAP, full_signals(train), grid=N)
 
 
 def evaluated(spark, sf):

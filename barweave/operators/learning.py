@@ -27,9 +27,10 @@ FOREST = {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 10, "featureSub
 BOOSTED = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5, "seed": SEED}
 TOP_FEATURES = 20
 GBT_SHARE = 0.6
+PATIENCE = 20
 WARM_UP = 252
 MIN_ROWS = 50
-# the stopping rule of boosting compares errors with a floor, so it sees returns in percent
+# boosting sees returns in percent
 SCALE = 100.0
 
 
@@ -128,17 +129,41 @@ def rf_return_model(train: DataFrame, **params) -> Model:
     return RandomForestRegressor(featuresCol="features", labelCol="y", predictionCol="yhat", **{**FOREST, **params}).fit(train)
 
 
-def gbt_return_model(train: DataFrame, validation: DataFrame | None = None, **params) -> Model:
-    """Boosted trees on (y, features); with validation rows boosting stops when they no longer gain."""
-    label = (F.col("y") * SCALE).alias("_y")
+def stopping_round(errors: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """(best round from 1, whether ``patience`` rounds after it brought no gain) of a validation curve.
+
+    The curve is read from its start, so a later and lower error behind the stop does not count.
+    """
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        if k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def gbt_return_model(train: DataFrame, validation: DataFrame | None = None, patience: int = PATIENCE, **params) -> Model:
+    """Boosted trees on (y, features); with validation rows boosting ends when ``patience`` rounds brought no gain,
+    and the model has the trees up to the best round.
+
+    Rounds come in doubled lots, and one pass over the validation rows gives the error after every round of a
+    lot. The first trees of a longer model are those of a shorter one, so the best model is fitted at its length.
+    """
     params = {**BOOSTED, **params}
-    if validation is not None:
-        params |= {"validationIndicatorCol": "_hold", "validationTol": 0.0}
-    est = GBTRegressor(featuresCol="features", labelCol="_y", predictionCol="yhat", **params)
-    rows = train.select(label, "features", F.lit(False).alias("_hold"))
-    if validation is not None:
-        rows = rows.unionByName(validation.select(label, "features", F.lit(True).alias("_hold")))
-    return est.fit(rows)
+    most = params.pop("maxIter")
+    rows = train.select((F.col("y") * SCALE).alias("_y"), "features")
+    fitted = lambda rounds: GBTRegressor(featuresCol="features", labelCol="_y", predictionCol="yhat", maxIter=rounds, **params).fit(rows)
+    if validation is None:
+        return fitted(most)
+    held = settle(validation.select((F.col("y") * SCALE).alias("_y"), "features"))
+    rounds = min(most, patience + 4)
+    while True:
+        model = fitted(rounds)
+        best, stopped = stopping_round(model.evaluateEachIteration(held, "squared"), patience)
+        if stopped or rounds == most:
+            return model if best == rounds else fitted(best)
+        rounds = min(most, 2 * rounds)
 
 
 def predict(model: Model, inputs: DataFrame, out: str = "yhat") -> DataFrame:

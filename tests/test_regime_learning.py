@@ -108,3 +108,22 @@ def test_feature_table_shuffles_once(spark):
     df = spark.createDataFrame([("a", date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0)], "symbol string, dt date, high double, low double, adj_close double, volume double")
     plan = X.feature_table(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_boosting_waits_on_a_plateau():
+    flat = [5.0, 4.0, *[4.5] * 19, 3.0, *[3.5] * 30, 1.0]
+    assert L.stopping_round(flat) == (22, True)  # nineteen rounds without gain are borne, thirty are not
+    assert L.stopping_round(flat, patience=5) == (2, True) and L.stopping_round([3.0, 2.0, 1.0]) == (3, False)
+    assert L.stopping_round([2.0, 2.0, 2.0], patience=2) == (1, True)
+
+
+def test_boosted_model_has_the_trees_of_its_best_round(table):
+    cols, df = table
+    parts = L.chronological_split(df, validation=True)
+    rows = {p: L.model_inputs(parts.filter(F.col("part") == p), cols).cache() for p in ("train", "validation")}
+    model = L.gbt_return_model(rows["train"], rows["validation"], patience=4, maxIter=24)
+    full = L.gbt_return_model(rows["train"], maxIter=24)
+    curve = full.evaluateEachIteration(rows["validation"].select((F.col("y") * L.SCALE).alias("_y"), "features"), "squared")
+    assert model.getNumTrees == L.stopping_round(curve, 4)[0] > 1 and full.getNumTrees == 24
+    a, b = (m.trees[k].toDebugString.split("\n", 1)[1] for m in (model, full) for k in (model.getNumTrees - 1,))
+    assert a == b
