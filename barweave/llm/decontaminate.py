@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from barweave.llm.jaccard import _small
 from barweave.llm.ranks import unused
-from barweave.llm.words import PUNCT, U, runs, shingles, slices, words
+from barweave.llm.words import PUNCT, U, runs, shingles, slices, tidy, words
 from barweave.session import settle
 
 WIDTH, SIMILARITY = 5, 0.75
@@ -160,7 +160,7 @@ def _shingled(width: int):
 
 def prepared(benchmark: DataFrame, width: int) -> DataFrame:
     """A row for every distinct word sequence of the benchmark: ids, n_words, shingles."""
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_shingled(width), "item_id long, item binary, n_words long, shingles array<long>")
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(tidy(_shingled(width)), "item_id long, item binary, n_words long, shingles array<long>")
     ids = F.transform(F.sort_array(F.collect_list(F.struct("item_id"))), lambda x: x["item_id"])  # a null id is an id
     return settle(rows.groupBy("item").agg(ids.alias("ids"), F.first("n_words").alias("n_words"), F.first("shingles").alias("shingles")).drop("item"))
 
@@ -323,7 +323,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     out = None
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     for shared, common, alone in broadcasts(benchmark, width):
-        part = rows.mapInArrow(finder(shared, common), HITS)
+        part = rows.mapInArrow(tidy(finder(shared, common)), HITS)
         part = part if alone else settle(part)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], HITS) if out is None else out
@@ -358,8 +358,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, le
     gone = None
     for shared, common, alone in broadcasts(benchmark, width):
         if alone:
-            return docs.mapInArrow(stays(shared, common), T.StructType(docs.schema.fields))
-        part = settle(docs.select("text").mapInArrow(texts(shared, common), "key string"))
+            return docs.mapInArrow(tidy(stays(shared, common)), T.StructType(docs.schema.fields))
+        part = settle(docs.select("text").mapInArrow(tidy(texts(shared, common)), "key string"))
         gone = part if gone is None else gone.union(part)
     if gone is None:
         return docs

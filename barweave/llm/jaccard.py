@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barweave.llm.graph import components
-from barweave.llm.words import U, distinct, mix, shingles, slices, words
+from barweave.llm.words import U, distinct, mix, shingles, slices, tidy, words
 from barweave.llm.ranks import unused
 from barweave.session import settle
 
@@ -268,10 +268,10 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
 def _links(pairs: DataFrame, heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs that link. Sets are read again only for nodes of pairs that their histograms allow."""
     x, y = heads.select("node", "n", "histogram").toDF("a", "n", "x"), heads.select("node", "n", "histogram").toDF("b", "m", "y")
-    near = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_near(percent), "a long, b long"))
+    near = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(_near(percent)), "a long, b long"))
     sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return settle(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct())
+    return settle(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a long, b long").distinct())
 
 
 def _across(live: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +320,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text", "doc_id").alias("row_key"))
     spec = "counted boolean, doc_id long, row_key long, node long, n long, histogram binary"
-    profiled = settle(rows.mapInArrow(_profiles(width), spec))
+    profiled = settle(rows.mapInArrow(tidy(_profiles(width)), spec))
     own = profiled.filter("not counted").drop("counted")
     heads = settle(
         own.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies"), F.max("histogram").alias("histogram"))
@@ -328,15 +328,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     table = spark.sparkContext.broadcast(_ranking(profiled.filter("counted")))
 
     spec = "token long, node long, n int, pos int"
-    postings = rows.select("text").mapInArrow(_postings(width, percent, table), spec)
+    postings = rows.select("text").mapInArrow(tidy(_postings(width, percent, table)), spec)
     shared = settle(postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token"))
     held = spark.sparkContext.broadcast(_held(shared))
-    live = rows.select("text").mapInArrow(_postings(width, percent, table, held), spec).join(shared, "token", "left_semi")
+    live = rows.select("text").mapInArrow(tidy(_postings(width, percent, table, held)), spec).join(shared, "token", "left_semi")
     live = settle(live.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         chosen = settle(heads.join(nodes, "node", "left_semi").select("row_key"))
-        return settle(rows.join(_small(chosen), "row_key", "left_semi").select("text").mapInArrow(_tokens(width, table), "node long, tokens binary"))
+        return settle(rows.join(_small(chosen), "row_key", "left_semi").select("text").mapInArrow(tidy(_tokens(width, table)), "node long, tokens binary"))
 
     # a node with very many copies is the likeliest centre of a group of near copies
     hubs = live.join(heads.select("node", "copies"), "node").groupBy("token").agg(F.max(F.struct("copies", "node", "n", "pos")).alias("hub"))

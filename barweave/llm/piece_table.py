@@ -1,10 +1,10 @@
-"""Ids of pieces of text, remembered by hash in arrays: some twenty bytes a piece, so a worker keeps a million."""
+"""Ids of pieces of text, remembered by hash in arrays: some twenty bytes a piece, so a worker keeps half a million."""
 
 from __future__ import annotations
 
 import numpy as np
 
-SLOTS, PROBES, LONGEST = 1 << 21, 8, 1 << 12
+SLOTS, PROBES, LONGEST = 1 << 20, 8, 1 << 12
 U = np.uint64
 
 

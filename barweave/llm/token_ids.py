@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from barweave.llm.elias_fano import Sequence, encode
 from barweave.llm.piece_table import Table, take
-from barweave.llm.words import BYTE, Text, U, mix, rolled, slices, span_hash
+from barweave.llm.words import BYTE, Text, U, mix, rolled, slices, span_hash, tidy
 from barweave.session import workspace
 
 END_ID = 0
@@ -229,7 +229,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     folder = folder or workspace(spark, "token-ids")
     tie = F.xxhash64("text")
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    made = ranged.mapInArrow(_writer(folder, tokenizer_path), "shard long, docs long, ids long").filter("docs > 0").collect()
+    made = ranged.mapInArrow(tidy(_writer(folder, tokenizer_path)), "shard long, docs long, ids long").filter("docs > 0").collect()
     root = folder.rstrip("/")
     return [Shard(r.shard, f"{root}/ids-{r.shard:06d}.bin", r.docs, r.ids) for r in sorted(made)]
 
@@ -291,7 +291,7 @@ def read_shards(spark: SparkSession, shards: list[Shard]) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from the files, a task for each shard."""
     bases = np.concatenate(([0], np.cumsum([s.ids for s in shards]))).astype(int).tolist()
     places = spark.range(0, len(shards), 1, max(1, len(shards)))
-    return places.mapInArrow(_reader(shards, bases), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return places.mapInArrow(tidy(_reader(shards, bases)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_id_report(docs: DataFrame, tokenizer_path: str) -> DataFrame:

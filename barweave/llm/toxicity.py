@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from barweave.llm.langid import held_out
 from barweave.llm.ranks import unused
-from barweave.llm.words import BYTE, PUNCT, U, Text, mix, rolled, runs, slices, span_hash, words
+from barweave.llm.words import BYTE, PUNCT, Text, U, mix, rolled, runs, slices, span_hash, tidy, words
 from barweave.session import settle
 
 BUCKETS, PREFIXES = 1 << 20, (4, 5, 6, 7, 8)
@@ -200,7 +200,7 @@ def train(
     # one text of an id, so that repeated ids do not pass the bound; only sampled texts are moved
     one = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r"))
     rows = settle(one.select("r.text", "r.label"))
-    held = rows.mapInArrow(_counts(), "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    held = rows.mapInArrow(tidy(_counts()), "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return NOTHING
@@ -209,7 +209,7 @@ def train(
     gap = (p1 - p0) / F.sqrt(both * (1 - both) * (1 / (n0 + 1) + 1 / (n1 + 1)) + 1e-12)
     best = held.filter(F.col("pos") + F.col("neg") >= 4).orderBy(F.desc(F.round(gap, 6)), "bucket").limit(count).select("bucket").toArrow().to_pandas()
     buckets = np.union1d(best["bucket"].to_numpy(np.int64), name_buckets(terms))
-    got = rows.mapInArrow(_rows(spark.sparkContext.broadcast(buckets), terms), ROWS).toArrow().to_pandas()
+    got = rows.mapInArrow(tidy(_rows(spark.sparkContext.broadcast(buckets), terms)), ROWS).toArrow().to_pandas()
     # sums of floats follow the order of rows, which tasks do not fix
     got = got.iloc[sorted(range(len(got)), key=lambda k: (got["label"].iat[k], got["held"].iat[k].tobytes(), got["held_x"].iat[k].tobytes(), got["named"].iat[k].tobytes(), got["turned"].iat[k].tobytes()))]
     part = lambda name: (list(got[name]), list(got[f"{name}_x"]))
@@ -236,7 +236,7 @@ def _scores(shared, name: str):
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with all columns and a score (0 to 1), from the text alone. A null or empty text has the base rate."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scores(shared, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(_scores(shared, name)), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def learnable(labels: DataFrame, doc_id: Column) -> DataFrame:
