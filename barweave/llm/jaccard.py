@@ -5,9 +5,11 @@ equal sets are one node. Two nodes link when 100 * intersection >= percent * uni
 
 Order 0 puts tokens that were counted often last and breaks ties by hash. Nodes that link must share
 a token within the prefixes that their sizes allow, so only prefix tokens are shuffled, and only those
-held in two or more places are kept. A pair then has to pass counts of tokens per hash bucket, whose
-smaller ones bound the intersection, and, with its sets at hand, orders 1 and 2, which permute the
-hashes: a pair that shares no prefix token under each of them is dropped before its sets are compared.
+held in two or more places are kept. Orders 1 and 2 permute the hashes. Under them a prefix runs up to a
+fixed place, a quarter of the order, and every node carries a bit map of its prefix. Linked sets of n and m
+tokens lack at most n - need of each other, so of p prefix tokens at least p - (n - need) must be shared:
+pairs have to share as many under each of these orders, too, before sets are read. What passes all orders has
+to pass counts of tokens per hash bucket, whose smaller ones bound the intersection, and is then compared exactly.
 
 A group of g near copies never becomes g * g pairs: each node first meets the most copied node of
 each of its tokens, links found so are closed to components, and only pairs of nodes in different
@@ -17,10 +19,11 @@ left out, so components are exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,12 @@ RUN_TOKENS = 1 << 21
 HELD_BITS = 1 << 25
 #: rows of live nodes that may be broadcast (8 bytes each); beyond it the same join shuffles
 BROADCAST_ROWS = 1 << 20
+#: pairs that a task looks at at a time
+NEAR_ROWS = 256
 LOW = U((1 << 56) - 1)
 SEEDS = (U(0x51A3C1D7E2B40F69), U(0x2C9277B5A5E1D3F8))
+#: where prefixes under the further orders end: a quarter of all places
+PREFIX = U(1 << 62)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -64,6 +71,30 @@ def shared_at_most(x: bytes, y: bytes) -> float:
     return int(np.minimum(a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)).sum())
 
 
+def prefix_maps(tokens: np.ndarray) -> list[bytes]:
+    """For each further order, a bit map of the tokens in its first quarter, behind their number (8 bytes)."""
+    size, out = 1 << max(8, (2 * len(tokens)).bit_length()), []
+    for seed in SEEDS:
+        moved = mix((tokens & LOW) ^ seed)
+        moved = moved[moved < PREFIX]
+        bit = np.zeros(size, bool)
+        bit[moved & U(size - 1)] = True
+        out.append(np.array([len(moved)], "<u8").tobytes() + np.packbits(bit, bitorder="little").tobytes())
+    return out
+
+
+def prefixes_allow(x: bytes, y: bytes, n: int, m: int, need: int) -> bool:
+    """Whether prefixes of sets of n and m tokens under one order can share what an intersection of ``need`` asks for."""
+    p, q = (int(np.frombuffer(v, "<u8", 1)[0]) for v in (x, y))
+    a, b = (np.frombuffer(v, np.uint8, offset=8) for v in (x, y))
+    size = min(len(a), len(b))  # the larger one is folded, as both places are the lowest bits
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+    both = int(np.bitwise_count(a & b).sum())
+    # tokens that share a bit with another of their own set may all be shared
+    shared = both + min(p - int(np.bitwise_count(a).sum()), q - int(np.bitwise_count(b).sum()))
+    return shared >= max(p - (n - need), q - (m - need))
+
+
 def _node(tokens: np.ndarray) -> int:
     """64 bits that name a set: equal for equal sets."""
     if not len(tokens):
@@ -98,6 +129,7 @@ def _profiles(width: int):
         first_of = np.zeros(n, bool)
         first_of[once] = True
         counts_of = [_histogram(s) if f and len(s) else None for s, f in zip(sets, first_of, strict=True)]
+        maps = [prefix_maps(s) if f and len(s) else None for s, f in zip(sets, first_of, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat([False, True], [n, len(tokens)])),
@@ -106,8 +138,9 @@ def _profiles(width: int):
                 pa.array(np.concatenate((nodes, tokens.astype(np.int64)))),
                 pa.array(np.concatenate(([len(s) for s in sets], counts)).astype(np.int64)),
                 pa.array([*counts_of, *[None] * len(tokens)], pa.binary()),
+                pa.array([*maps, *[None] * len(tokens)], pa.list_(pa.binary())),
             ],
-            names=["counted", "doc_id", "row_key", "node", "n", "histogram"],
+            names=["counted", "doc_id", "row_key", "node", "n", "histogram", "prefixes"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,31 +210,28 @@ def needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _reordered(tokens: np.ndarray, seed: np.uint64, k: int) -> np.ndarray:
-    moved = (tokens & ~LOW) | (mix((tokens & LOW) ^ seed) >> U(8))
-    return np.partition(moved, k - 1)[:k]
-
-
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Prefix filters under the further orders, then the exact comparison."""
-    need = needed(len(x), len(y), percent)
-    if need > min(len(x), len(y)):
-        return False
-    for seed in SEEDS:
-        a, b = _reordered(x, seed, len(x) - need + 1), _reordered(y, seed, len(y) - need + 1)
-        if not len(np.intersect1d(a, b)):
-            return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= need
+def _near(percent: int, dropped: Sequence[Accumulator] = ()):
+    """Pairs whose prefixes under every further order, and then whose histograms, allow a link.
 
+    ``dropped``: counters of the pairs that each order and the histogram drop (a task run again counts again).
+    """
 
-def _near(percent: int):
-    """Pairs whose histograms allow a link."""
+    def stopped(n: int, m: int, xs: list[bytes], ys: list[bytes], x: bytes, y: bytes) -> int | None:
+        need = needed(n, m, percent)
+        for order, (p, q) in enumerate(zip(xs, ys, strict=True)):
+            if not prefixes_allow(p, q, n, m, need):
+                return order
+        return None if shared_at_most(x, y) >= need else len(SEEDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("x", "y", "n", "m")]
-            hit = [shared_at_most(x, y) >= needed(n, m, percent) for x, y, n, m in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        for whole in batches:
+            for k in range(0, whole.num_rows, NEAR_ROWS):
+                batch = whole.slice(k, NEAR_ROWS)
+                columns = [batch.column(c).to_pylist() for c in ("n", "m", "xs", "ys", "x", "y")]
+                at = [stopped(*row) for row in zip(*columns, strict=True)]
+                for i, counter in enumerate(dropped):
+                    counter.add(at.count(i))
+                yield batch.select(["a", "b"]).filter(pa.array([i is None for i in at], pa.bool_()))
 
     return run
 
@@ -210,7 +240,8 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
-            hit = [linked(np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U), percent) for p, q in zip(x, y, strict=True)]
+            sets = ((np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)) for p, q in zip(x, y, strict=True))
+            hit = [len(np.intersect1d(p, q, assume_unique=True)) >= needed(len(p), len(q), percent) for p, q in sets]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return run
@@ -265,10 +296,11 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _links(pairs: DataFrame, heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs that link. Sets are read again only for nodes of pairs that their histograms allow."""
-    x, y = heads.select("node", "n", "histogram").toDF("a", "n", "x"), heads.select("node", "n", "histogram").toDF("b", "m", "y")
-    near = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(_near(percent)), "a long, b long"))
+def _links(pairs: DataFrame, heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, dropped: Sequence[Accumulator]) -> DataFrame:
+    """The pairs that link. Sets are read again only for nodes of pairs that all orders and the histograms allow."""
+    of = heads.select("node", "n", "prefixes", "histogram")
+    x, y = of.toDF("a", "n", "xs", "x"), of.toDF("b", "m", "ys", "y")
+    near = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "xs", "ys", "x", "y").mapInArrow(tidy(_near(percent, dropped)), "a long, b long"))
     sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
     return settle(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a long, b long").distinct())
@@ -309,21 +341,22 @@ def _across(live: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return _pairs(probe.join(index, ["token", "bin"]).filter("component <> component2"), percent)
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, dropped: Sequence[Accumulator] = ()) -> DataFrame:
     """doc_id, n_shingles, row_key (a hash of id and text) and component_id of every row of ``docs(doc_id, text)``; other columns are ignored.
 
     ``component_id`` is the least doc_id reachable by links, its own included. A null, empty or blank
     text has no shingles and links with nothing; fewer than ``width`` words are one shingle. Equal texts
     always share a component. Rows of one doc_id, or of a null one, each give a row; a null doc_id is never
-    a component_id unless all of the component are null. An empty table gives an empty table.
+    a component_id unless all of the component are null. An empty table gives an empty table. ``dropped`` may hold
+    three counters: candidate pairs that order 1, order 2 and the histogram drop.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text", "doc_id").alias("row_key"))
-    spec = "counted boolean, doc_id long, row_key long, node long, n long, histogram binary"
+    spec = "counted boolean, doc_id long, row_key long, node long, n long, histogram binary, prefixes array<binary>"
     profiled = settle(rows.mapInArrow(tidy(_profiles(width)), spec))
     own = profiled.filter("not counted").drop("counted")
     heads = settle(
-        own.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies"), F.max("histogram").alias("histogram"))
+        own.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies"), F.max("histogram").alias("histogram"), F.max("prefixes").alias("prefixes"))
     )
     table = spark.sparkContext.broadcast(_ranking(profiled.filter("counted")))
 
@@ -341,8 +374,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     # a node with very many copies is the likeliest centre of a group of near copies
     hubs = live.join(heads.select("node", "copies"), "node").groupBy("token").agg(F.max(F.struct("copies", "node", "n", "pos")).alias("hub"))
     toward = live.join(hubs.select("token", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("pos2")), "token")
-    links = _links(_pairs(toward, percent), heads, sets_of, percent)
-    further = _links(_across(live, components(links), percent), heads, sets_of, percent)
+    links = _links(_pairs(toward, percent), heads, sets_of, percent, dropped)
+    further = _links(_across(live, components(links), percent), heads, sets_of, percent, dropped)
     # pairs closed by the first links need no second look, so both tables together hold the components
     found = components(links.union(further))
 

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
+from barweave.llm import jaccard as J
 from barweave.llm.graph import components
 from barweave.llm.jaccard import jaccard_components, one_of_each
 from awkward import SMALL, clashing, docs, empty  # noqa: F401
@@ -97,3 +100,31 @@ def test_components_of_a_long_chain_and_a_star(spark):
 def test_no_join_of_everything(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("same words in every row of this table").alias("text"))
     assert {r.component_id for r in jaccard_components(docs).collect()} == {0}
+
+
+def test_prefixes_under_further_orders_lose_nothing():
+    rng = np.random.default_rng(4)
+    allowed = J.prefixes_allow
+    refused = 0
+    for _ in range(400):
+        n, new = int(rng.integers(1, 400)), rng.random() * 0.9
+        x = np.unique(rng.integers(0, 1 << 56, n, np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > new], rng.integers(0, 1 << 56, int(n * new * rng.random() * 2), np.uint64)]))
+        need, shared = J.needed(len(x), len(y), 75), len(np.intersect1d(x, y))
+        passed = [allowed(p, q, len(x), len(y), need) for p, q in zip(J.prefix_maps(x), J.prefix_maps(y))]
+        assert all(passed) or shared < need
+        refused += not all(passed)
+    assert refused > 50
+
+
+def test_each_order_drops_candidates_before_sets_are_read(spark):
+    """Texts that share a passage are candidates under order 0 and must be dropped by the prefixes under the others."""
+    rng = random.Random(2)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(rng.choice((30, 40))) for _ in range(60)]  # few texts hold each, so order 0 cannot put it last
+    rows = [(k, " ".join(fresh(40) + passages[k % 60] + fresh(10))) for k in range(300)]
+    dropped = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), dropped=dropped)
+    assert {r.component_id for r in got.collect()} == set(range(300))
+    first, second, histogram = (c.value for c in dropped)
+    assert first > 0 and second > 0 and first + second > histogram
