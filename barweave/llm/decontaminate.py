@@ -1,4 +1,4 @@
-"""Benchmark decontamination: exact similarity of all item-sized windows, with their SimHash distance.
+"""Benchmark decontamination: SimHash chooses item-sized windows, exact weighted similarity verifies them.
 
 Text is lower-cased and cut at everything but letters, digits and non-ASCII characters. A shingle is
 ``width`` words and weighs 1/2 + 1/(2 * items that hold it), at most 1, so wording that items share
@@ -6,13 +6,14 @@ counts less. Items are counted over the whole benchmark, those of equal words on
 document has as many words as the item it is held against (all words of a shorter document). Its
 fingerprint has 64 bits: bit k is set when the weights of shingles whose hash has bit k exceed the others.
 
-Every window is decided by the exact weighted Jaccard similarity of shingle sets, and where none reaches it by
-the plain one, so that wording shared by items does not hide an edited copy. Only items are held
-against a document of which it holds enough shingles to reach the similarity at all, a bound that
-loses nothing; sums over all windows of their distinct shingles are then taken at once. Fingerprints are
-reported, and choose windows only where a ``radius`` is asked for, which loses pairs: the 64 bits are four blocks
-of 16, and two fingerprints within ``radius`` agree in some block up to radius // 4 bits, so a table per
-block from value to items within that many bits finds every item within the radius.
+The 64 bits are four blocks of 16, and two fingerprints within ``radius`` agree in some block up to radius // 4
+bits, so a table per block from value to items within that many bits finds every item within the radius. What
+the tables give is verified by the exact weighted Jaccard similarity of the shingle sets. Only items are looked
+for of which a document holds enough shingles to reach the similarity at all, a bound that loses nothing.
+
+A similar window may lie outside any radius. An item that passed that bound but of which the fingerprints gave no
+window is therefore completed: by the weighted similarity of all its windows and, where none reaches it, by the
+plain one, so that wording shared by items does not hide an edited copy. ``by_fingerprint`` tells the two apart.
 
 Items are handled in groups of bounded size, a pass over the documents each; what
 several passes find is written, so a task holds one group. Beyond the group, 16 bytes
@@ -39,8 +40,10 @@ from barweave.session import settle
 
 WIDTH, SIMILARITY = 5, 0.75
 BLOCKS, BLOCK_BITS = 4, 16
-#: items and bytes of item text sent to the executors at a time
-GROUP_ITEMS, GROUP_BYTES = 4096, 4 << 20
+#: bits in which fingerprints may differ; tables of radius // BLOCKS bits serve 20 to 23 alike
+RADIUS = 23
+#: items and bytes of item text sent to the executors at a time; the tables of a block hold 8 KB an item
+GROUP_ITEMS, GROUP_BYTES = 2048, 4 << 20
 WINDOWS = 1 << 14  #: windows fingerprinted at a time
 BITS = np.array([bin(v).count("1") for v in range(1 << BLOCK_BITS)], np.uint8)
 
@@ -184,8 +187,8 @@ def _starts(width: int, span: int, place: np.ndarray, before: np.ndarray, amount
     return np.cumsum(step)[:width]
 
 
-def _search(value: np.ndarray, n_words: int, items: Items, at: np.ndarray, word: np.ndarray, width: int, least: float, radius: int | None) -> dict[int, tuple]:
-    """The best window of one document for each item: item -> (similarity, -start, words, distance).
+def _search(value: np.ndarray, n_words: int, items: Items, at: np.ndarray, word: np.ndarray, width: int, least: float, radius: int) -> dict[int, tuple]:
+    """The best window of one document for each item: item -> (similarity, -start, words, distance, by fingerprint).
 
     value: shingles in order; at: places of those that the benchmark holds; word: these in its vocabulary.
     """
@@ -212,20 +215,22 @@ def _search(value: np.ndarray, n_words: int, items: Items, at: np.ndarray, word:
         starts = len(part) - span + 1
         both = _starts(starts, span, mine, before[mine], each[mine])
         similar = np.round(both / (_starts(starts, span, every, before, each) + items.totals[m] - both), 9)
-        if similar.max(initial=0) < least - 1e-9:
+        chosen = items.near(np.arange(starts), part, each, span, m, radius)
+        by_fingerprint = bool((chosen & (similar >= least - 1e-9)).any())
+        if by_fingerprint:
+            similar = np.where(chosen, similar, 0)
+        elif similar.max(initial=0) < least - 1e-9:
             both = _starts(starts, span, mine, before[mine], np.ones(len(mine)))
             similar = np.round(both / (_starts(starts, span, every, before, np.ones(len(part))) + items.lengths[m] - both), 9)
         fits = np.flatnonzero((similar >= least - 1e-9) & (both > 1e-9))
-        if radius is not None and len(fits):
-            fits = fits[items.near(fits, part, each, span, m, radius)]
         if len(fits):
             k = int(fits[np.argmax(similar[fits])])
             own_print = fingerprints((each[k : k + span, None] * bits(part[k : k + span])).sum(0, keepdims=True))
-            best[int(m)] = (float(similar[k]), -(a + k), min(size, n_words), int(distance(own_print, items.print_of(m))[0]))
+            best[int(m)] = (float(similar[k]), -(a + k), min(size, n_words), int(distance(own_print, items.print_of(m))[0]), by_fingerprint)
     return best
 
 
-def search(column: pa.Array, items: Items, width: int, least: float, radius: int | None) -> Iterator[tuple[int, dict[int, tuple]]]:
+def search(column: pa.Array, items: Items, width: int, least: float, radius: int) -> Iterator[tuple[int, dict[int, tuple]]]:
     """(row, best windows) of every text that holds an item."""
     sieve = np.zeros(1 << 20, bool)
     sieve[items.vocabulary & U(len(sieve) - 1)] = True
@@ -289,14 +294,16 @@ def ready(shared, common) -> Items:
     return shared.value
 
 
-HITS = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming long"
+HITS = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming long, by_fingerprint boolean"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """A row for every document and benchmark item that it holds, with its best window.
 
     Columns: doc_id, item_id, similarity (weighted or, where no window reaches ``least`` so, plain; rounded to 6 digits), start_word and n_words of the window,
-    hamming (of the fingerprints). Of equally similar windows the first counts. Documents without a hit give no row;
+    hamming (of the fingerprints), by_fingerprint (the block tables gave the window; else it was completed). Of
+    equally similar windows the first counts. A text of any length is read in slices of bounded bytes, its words
+    and shingles as arrays. Documents without a hit give no row;
     repeated rows each give their own. A null or empty text holds nothing. An item without words is not looked
     for; an item of fewer than ``width`` words is only found where it is the whole document, as it would
     otherwise flag every use of a phrase. An empty table on either side gives an empty table.
@@ -309,13 +316,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
             for batch in batches:
                 ids = batch.column("doc_id")
                 rows = [
-                    (ids[row].as_py(), item, round(s, 6), -start, n, far)
+                    (ids[row].as_py(), item, round(s, 6), -start, n, far, chosen)
                     for row, found in search(batch.column("text"), items, width, least, radius)
-                    for m, (s, start, n, far) in sorted(found.items())
+                    for m, (s, start, n, far, chosen) in sorted(found.items())
                     for item in items.ids[m]
                 ]
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                columns = zip(*rows, strict=True) if rows else [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 
         return run
@@ -329,7 +336,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item.
 
     Of several groups of items, each writes the keys (of their bytes) of texts that hold one; these rows then go at once.

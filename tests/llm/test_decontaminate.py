@@ -55,12 +55,11 @@ def test_planted_passages_equal_brute_force(spark, monkeypatch):
     want = brute(docs, items)
     got = found(spark, docs, items)
     assert set(got) <= set(want)
-    near = {k for k, s in want.items() if s >= 0.85}
-    assert near <= set(got) and len(set(want) - set(got)) <= 0.02 * len(want)
+    assert set(want) <= set(got)
     assert all(abs(got[k] - want[k]) < 2e-6 for k in got)
     assert (200, 41) in got and (201, 41) not in got
-    monkeypatch.setattr(D, "GROUP_ITEMS", 7)  # several passes find the same, but for weights within a group
-    assert set(found(spark, docs, items)) >= near
+    monkeypatch.setattr(D, "GROUP_ITEMS", 7)  # several passes find the same
+    assert found(spark, docs, items) == got
 
 
 def test_given_tables(spark, docs, clashing, empty):
@@ -150,7 +149,30 @@ def test_every_pair_at_the_similarity_is_found(spark):
         w[rng.randrange(5, len(w) - 5)] = word()
         docs.append((k, " ".join(w)))
     want = holds(docs, items, False)
-    assert len(want) > 1000 and set(found(spark, docs, items)) >= want
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    chosen = {(r.doc_id, r.item_id): r.by_fingerprint for r in got.collect()}
+    assert len(want) > 1000 and set(chosen) >= want
+    # the block tables alone choose nearly all; the rest is completed
+    assert sum(chosen[k] for k in want) >= 0.99 * len(want)
+
+
+def test_emptied_tables_choose_nothing():
+    """The choice is made by the block tables: without them, or with a radius of 0, a copy is only completed."""
+    rng = random.Random(8)
+    item = [f"w{rng.randrange(10**5)}" for _ in range(60)]
+    copy = item[:20] + ["zzz"] + item[21:]
+    hold = lambda w: D.shingles(D.words(next(iter(D.slices(D.pa.array([" ".join(w)]), fold=True))), separators=D.PUNCT), 5)[1]
+    own, value = D.np.unique(hold(item)), hold(["a", "b", *copy, "c"])
+    items = D.Items([[1]], D.np.array([60]), [own], own, D.np.ones(len(own)))
+    at = D.np.flatnonzero(D.np.isin(value, own))
+    search = lambda radius: D._search(value, 63, items, at, D.np.searchsorted(own, value[at]), 5, 0.75, radius)[0]
+    assert search(23)[4] and search(23)[3] <= 23 and search(23)[1] == -2
+    assert not search(0)[4] and search(0)[:2] == search(23)[:2]
+    for table in items.blocks(23):
+        table[:] = 0
+    assert not search(23)[4]
+
+
 def test_repeated_items_do_not_raise_the_bar(spark):
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**5)}"
